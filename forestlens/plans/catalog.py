@@ -375,3 +375,203 @@ def q_csv_roundtrip(spark, sf_dir):
         F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.avg("l_discount").alias("avg_disc"),
         F.sum("l_tax").alias("sum_tax"), F.countDistinct("l_orderkey").alias("n_orders"),
         F.sum("l_linenumber").cast("long").alias("sum_line")))
+
+
+# ---------------------------------------------------------------------------
+# Encodings (F1-F6) on part / lineitem
+# ---------------------------------------------------------------------------
+
+def _freq_index_sql(col: str, src: str) -> str:
+    return (f"SELECT {col} AS v, row_number() OVER (ORDER BY count(*) DESC, {col}) - 1 AS idx "
+            f"FROM {src} GROUP BY {col}")
+
+
+@register("string_index", "F1 F4 F5", f"""
+WITH u AS (SELECT p_type FROM part WHERE p_size <= 25 UNION ALL SELECT p_type FROM part WHERE p_size > 25),
+i AS ({_freq_index_sql('p_type', 'u')})
+SELECT p.p_partkey, p.p_type, CAST(i.idx AS BIGINT) AS p_type_index FROM part p JOIN i ON i.v = p.p_type
+""")
+def q_string_index(spark, sf_dir):
+    """Label index fitted over train UNION ALL test slices (F5), applied to all rows."""
+    from forestlens.operators import model as mdl
+    part = fx.table(spark, sf_dir, "part")
+    lm = mdl.fit_label_index(part.filter(F.col("p_size") <= 25), "p_type", "p_type_index",
+                             test=part.filter(F.col("p_size") > 25))
+    return lm.transform(part.select("p_partkey", "p_type")).select(
+        "p_partkey", "p_type", F.col("p_type_index").cast("long").alias("p_type_index"))
+
+
+@register("one_hot", "F2 F3", f"""
+WITH t AS ({_freq_index_sql('p_type', 'part')}), b AS ({_freq_index_sql('p_brand', 'part')}),
+kt AS (SELECT count(*) AS k FROM t), kb AS (SELECT count(*) AS k FROM b)
+SELECT p.p_partkey,
+       CAST(CASE WHEN t.idx < kt.k - 1 THEN t.idx END AS INTEGER) AS p_type_slot,
+       CAST(CASE WHEN b.idx < kb.k - 1 THEN b.idx END AS INTEGER) AS p_brand_slot,
+       CAST(kt.k - 1 AS INTEGER) AS p_type_size, CAST(kb.k - 1 AS INTEGER) AS p_brand_size
+FROM part p JOIN t ON t.v = p.p_type JOIN b ON b.v = p.p_brand, kt, kb
+""")
+def q_one_hot(spark, sf_dir):
+    from forestlens.operators import features as fe
+    part = fx.table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
+    enc = fe.one_hot_pipeline(["p_type", "p_brand"]).fit(part).transform(part)
+    out = [F.col("p_partkey")]
+    for c in ("p_type", "p_brand"):
+        arr = fe.vector_as_array(c + fe.VEC_SUFFIX)
+        pos = F.array_position(arr, 1.0)
+        out += [F.when(pos > 0, pos - 1).cast("int").alias(f"{c}_slot"), F.size(arr).alias(f"{c}_size")]
+    return enc.select(*out)
+
+
+_ASSEMBLE_SQL = f"""
+WITH rf AS ({_freq_index_sql('l_returnflag', 'lineitem')}), ls AS ({_freq_index_sql('l_linestatus', 'lineitem')}),
+kr AS (SELECT count(*) AS k FROM rf), kl AS (SELECT count(*) AS k FROM ls),
+s AS (
+  SELECT 0 AS slot, sum(l_quantity) AS total FROM lineitem
+  UNION ALL SELECT 1 + rf.idx, count(*) FROM lineitem JOIN rf ON l_returnflag = rf.v
+            WHERE rf.idx < (SELECT k FROM kr) - 1 GROUP BY rf.idx
+  UNION ALL SELECT (SELECT k FROM kr), sum(l_discount) FROM lineitem
+  UNION ALL SELECT (SELECT k FROM kr) + 1 + ls.idx, count(*) FROM lineitem JOIN ls ON l_linestatus = ls.v
+            WHERE ls.idx < (SELECT k FROM kl) - 1 GROUP BY ls.idx
+  UNION ALL SELECT (SELECT k FROM kr) + (SELECT k FROM kl), sum(l_tax) FROM lineitem)
+SELECT CAST(slot AS INTEGER) AS slot, {_sql_round('total')} AS total FROM s
+"""
+
+
+@register("assemble_features", "F6", _ASSEMBLE_SQL)
+def q_assemble_features(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    from forestlens.operators import features as fe
+    li = fx.table(spark, sf_dir, "lineitem").select(*(fx.FOREST_CATEGORICAL + fx.FOREST_NUMERIC))
+    order = ["l_quantity", "l_returnflag_vec", "l_discount", "l_linestatus_vec", "l_tax"]
+    pipe = Pipeline(stages=[fe.one_hot_pipeline(fx.FOREST_CATEGORICAL), fe.assembler(order)])
+    return surface(fe.vector_slot_sums(pipe.fit(li).transform(li)))
+
+
+# ---------------------------------------------------------------------------
+# Random-forest jobs (X1-X4, F7-F11, S4-S7) on the separable lineitem fixture
+# ---------------------------------------------------------------------------
+
+FOREST_TREES, FOREST_DEPTH = 20, 10
+_RESULTS: dict = {}
+
+
+def _dense_sql(pred_sql: str, domain: ev.ClassDomain) -> str:
+    return f"""
+WITH p AS ({pred_sql}),
+c AS (SELECT actual, predicted, count(*) AS n FROM p GROUP BY actual, predicted),
+d AS (SELECT * FROM {fx.domain_values_sql(domain)})
+SELECT a.class_idx AS actual_idx, a.class AS actual, b.class_idx AS predicted_idx, b.class AS predicted,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM d a CROSS JOIN d b LEFT JOIN c ON c.actual = a.class AND c.predicted = b.class
+"""
+
+
+def _forest(spark, sf_dir, preset: str):
+    """Fitted results are shared between queries of one session and scale."""
+    from forestlens.plans import experiments as xp
+    key = (spark.sparkContext.applicationId, sf_dir, preset)
+    if key in _RESULTS:
+        return _RESULTS[key]
+    li = fx.table(spark, sf_dir, "lineitem")
+    common = dict(categorical=fx.FOREST_CATEGORICAL, features=fx.FOREST_FEATURES)
+    if preset == "x1":
+        r = xp.x1_multiclass_split(fx.forest_all_seen(li), FOREST_TREES, FOREST_DEPTH,
+                                   classes=["normal", "neptune", "smurf"], **common)
+    elif preset == "x2":
+        train, test = fx.forest_frames(li)
+        r = xp.x2_unseen_classes(train, test, FOREST_TREES, FOREST_DEPTH, classes=fx.FOREST_DOMAIN.classes,
+                                 train_classes=fx.FOREST_DOMAIN.train_classes, **common)
+    elif preset == "x3":
+        train, test = fx.forest_frames(li)
+        r = xp.x3_binary(train, test, FOREST_TREES, FOREST_DEPTH, **common)
+    elif preset == "x4":
+        train, test = fx.forest_frames(li)
+        r = xp.x4_binary_on_multiclass(clean.binarize_dataset(train, "attack_type"), test,
+                                       FOREST_TREES, FOREST_DEPTH, **common)
+    else:
+        raise KeyError(preset)
+    _RESULTS[key] = r
+    return r
+
+
+_X2_PRED_SQL = f"""
+SELECT attack_type AS actual, CASE WHEN attack_type = 'novel' THEN 'smurf' ELSE attack_type END AS predicted
+FROM ({fx.FOREST_TEST_SQL}) te
+"""
+
+
+@register("forest_unseen_classes", "X2 F5 F7 F8 F9 F10 F11", _dense_sql(_X2_PRED_SQL, fx.FOREST_DOMAIN))
+def q_forest_unseen_classes(spark, sf_dir):
+    r = _forest(spark, sf_dir, "x2")
+    return ev.confusion_matrix(r.predictions, r.domain(), r.actual, "predicted_label")
+
+
+@register("forest_multiclass_split", "X1 F4 U2 U3", """
+SELECT CAST(count(*) AS BIGINT) AS total_rows, CAST(0 AS BIGINT) AS errors, TRUE AS split_ratio_within_2pct,
+       1.0 AS precision, 1.0 AS recall, 1.0 AS f1
+FROM lineitem
+""")
+def q_forest_multiclass_split(spark, sf_dir):
+    r = _forest(spark, sf_dir, "x1")
+    e = r.evaluation(checkpoint=True)
+    cells = e.matrix.agg(F.sum("n").alias("scored"),
+                         F.coalesce(F.sum(F.when(F.col("actual") != F.col("predicted"), F.col("n"))), F.lit(0))
+                         .alias("errors")).first()
+    m = e.overall.first()
+    n_train = r.train.count()
+    total = n_train + cells["scored"]
+    ratio_ok = total == 0 or abs(n_train / total - 0.8) <= 0.02
+    return surface(spark.createDataFrame(
+        [(total, cells["errors"], ratio_ok, m["precision"], m["recall"], m["f1"])],
+        "total_rows bigint, errors bigint, split_ratio_within_2pct boolean, precision double, recall double, "
+        "f1 double"))
+
+
+@register("forest_binary_triplets", "X3 S5 P1 P2", f"""
+WITH te AS ({fx.FOREST_TEST_SQL})
+SELECT attack_type, CASE WHEN attack_type = 'normal' THEN 'normal' ELSE 'anomaly' END AS attack_type_bin,
+       CASE WHEN attack_type = 'normal' THEN 'normal' ELSE 'anomaly' END AS predicted_label,
+       CAST(count(*) AS BIGINT) AS n
+FROM te GROUP BY ALL
+""")
+def q_forest_binary_triplets(spark, sf_dir):
+    r = _forest(spark, sf_dir, "x3")
+    path = sinks.write_triplets(r.predictions, scratch_path(spark, "triplets"), "attack_type", "attack_type_bin",
+                                "predicted_label")
+    back = src.read_typed_csv(spark, path, T.StructType(
+        [T.StructField(c, T.StringType()) for c in ("attack_type", "attack_type_bin", "predicted_label")]))
+    return back.groupBy("attack_type", "attack_type_bin", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("forest_binary_on_multiclass", "X4 S4 C4", f"""
+WITH te AS ({fx.FOREST_TEST_SQL}), tr AS ({fx.FOREST_TRAIN_SQL}),
+v AS (SELECT count(DISTINCT l) AS k FROM (
+        SELECT CASE WHEN attack_type = 'normal' THEN 'normal' ELSE 'anomaly' END AS l FROM tr
+        UNION ALL SELECT attack_type FROM te) u)
+SELECT attack_type, CASE WHEN attack_type = 'normal' THEN 'normal' ELSE 'anomaly' END AS predicted_label,
+       CAST(count(*) AS BIGINT) AS n, CAST(max(v.k) AS INTEGER) AS vocabulary_size
+FROM te, v GROUP BY ALL
+""")
+def q_forest_binary_on_multiclass(spark, sf_dir):
+    r = _forest(spark, sf_dir, "x4")
+    path = sinks.write_pairs(r.predictions, scratch_path(spark, "pairs"), "attack_type", "predicted_label")
+    back = src.read_typed_csv(spark, path, T.StructType(
+        [T.StructField(c, T.StringType()) for c in ("attack_type", "predicted_label")]))
+    return back.groupBy("attack_type", "predicted_label").agg(
+        F.count(F.lit(1)).alias("n"), F.lit(len(r.labels)).cast("int").alias("vocabulary_size"))
+
+
+@register("model_reload", "S6 S7", _dense_sql(_X2_PRED_SQL, fx.FOREST_DOMAIN))
+def q_model_reload(spark, sf_dir):
+    """Save the pipeline spec and the fitted model, load both, rescore the test set."""
+    from forestlens.operators import model as mdl
+    r = _forest(spark, sf_dir, "x2")
+    out = scratch_path(spark, "model")
+    spec = mdl.build_pipeline(fx.FOREST_CATEGORICAL, fx.FOREST_FEATURES,
+                              mdl.forest(FOREST_TREES, FOREST_DEPTH, "attack_type_index"), labels=r.labels)
+    sinks.save_pipeline(spec, out)
+    sinks.save_model(r.model, out)
+    if len(sinks.load_pipeline(out).getStages()) != len(spec.getStages()):
+        raise RuntimeError("reloaded pipeline spec differs")
+    loaded = sinks.load_model(out)
+    return ev.confusion_matrix(mdl.score(loaded, r.test), r.domain(), r.actual, "predicted_label")
