@@ -81,7 +81,7 @@ class ClassDomain:
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         """``(class_idx int, class string, in_train boolean)``."""
-        return spark.range(1).select(F.explode(self.class_structs()).alias("c")).select(
+        return spark.range(0, 1, 1, 1).select(F.explode(self.class_structs()).alias("c")).select(
             F.col("c.idx").alias("class_idx"), F.col("c.name").alias("class"), F.col("c.seen").alias("in_train"))
 
 
@@ -109,11 +109,13 @@ def stray_labels(counts: DataFrame, domain: ClassDomain) -> DataFrame:
 
 def require_in_domain(counts: DataFrame, domain: ClassDomain) -> DataFrame:
     """Lazily fail the job if a label is outside the domain (the check runs inside
-    the same job as the aggregate, no extra pass)."""
+    the same job as the aggregate, no extra pass). The predicate references the
+    aggregated count, so the optimizer keeps it above the aggregate: it runs once
+    per matrix cell, not once per raw row."""
     ok = domain.contains(F.col("actual")) & domain.contains(F.col("predicted"))
     msg = F.concat(F.lit("label outside the class domain: actual="), F.coalesce(F.col("actual"), F.lit("NULL")),
                    F.lit(", predicted="), F.coalesce(F.col("predicted"), F.lit("NULL")))
-    return counts.filter(F.when(~ok, F.raise_error(msg)).otherwise(F.lit(True)))
+    return counts.filter(F.when(~ok, F.raise_error(msg)).otherwise(F.col("n") >= 0))
 
 
 def dense_matrix(counts: DataFrame, domain: ClassDomain, keys: Sequence[str] | str | None = None,
@@ -131,7 +133,7 @@ def dense_matrix(counts: DataFrame, domain: ClassDomain, keys: Sequence[str] | s
     if keys:
         base = counts.select(*keys).distinct()
     else:
-        base = counts.sparkSession.range(1).select(F.lit(0).alias("_one"))
+        base = counts.sparkSession.range(0, 1, 1, 1).select(F.lit(0).alias("_one"))
     structs = domain.class_structs()
     grid = (base.select(*keys, F.explode(structs).alias("_a"))
             .select(*keys, "_a", F.explode(structs).alias("_p"))

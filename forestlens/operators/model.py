@@ -18,7 +18,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame
 
 from forestlens.operators.features import assembler, one_hot_stage, index_stage
-from forestlens.operators.split import union_labels
+from forestlens.operators.split import spread, union_labels
 
 
 def label_indexer(label: str, out: str = "label_index", handle_invalid: str = "error") -> StringIndexer:
@@ -43,23 +43,31 @@ def label_unindexer(labels: Sequence[str], in_col: str = "prediction", out: str
 
 def forest(num_trees: int, max_depth: int, label_col: str = "label_index", features: str = "features",
            prediction: str = "prediction", seed: int = 42, subset: str = "auto", max_bins: int = 32,
-           max_memory_mb: int = 512, checkpoint_interval: int = 10, **kw) -> RandomForestClassifier:
-    """F8: random forest; other settings default (gini, 32 bins)."""
+           max_memory_mb: int = 1024, checkpoint_interval: int = 10, cache_node_ids: bool | None = None,
+           **kw) -> RandomForestClassifier:
+    """F8: random forest; other settings default (gini, 32 bins). Node-id caching
+    (with checkpoints every ``checkpoint_interval`` levels) pays off for deep
+    trees; by default it is on from depth 15."""
+    if cache_node_ids is None:
+        cache_node_ids = max_depth >= 15
     return RandomForestClassifier(
         numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy=subset, labelCol=label_col,
         featuresCol=features, predictionCol=prediction, seed=seed, maxBins=max_bins,
-        maxMemoryInMB=max_memory_mb, cacheNodeIds=True, checkpointInterval=checkpoint_interval, **kw)
+        maxMemoryInMB=max_memory_mb, cacheNodeIds=cache_node_ids, checkpointInterval=checkpoint_interval, **kw)
 
 
 def build_pipeline(categorical: Sequence[str], features: Sequence[str], classifier: RandomForestClassifier,
                    labels: Sequence[str] | None = None, label_stage: StringIndexer | None = None,
-                   handle_invalid: str = "error", predicted_label: str = "predicted_label") -> Pipeline:
+                   handle_invalid: str = "error", predicted_label: str = "predicted_label",
+                   index_model: StringIndexerModel | None = None) -> Pipeline:
     """[index + one-hot of the categorical columns] -> [label index (X1 only)]
     -> assembler -> forest -> un-index. ``labels`` is the label array for the
-    un-indexer when the label index was fitted outside the pipeline (F5)."""
+    un-indexer when the label index was fitted outside the pipeline (F5).
+    ``index_model`` is an already fitted categorical indexer (see
+    :func:`fit_categorical_index`), passed through by the pipeline fit."""
     stages = []
     if categorical:
-        stages += [index_stage(categorical, handle_invalid), one_hot_stage(categorical, handle_invalid)]
+        stages += [index_model or index_stage(categorical, handle_invalid), one_hot_stage(categorical, handle_invalid)]
     if label_stage is not None:
         stages.append(label_stage)
     stages += [assembler(features, classifier.getFeaturesCol()), classifier]
@@ -68,8 +76,26 @@ def build_pipeline(categorical: Sequence[str], features: Sequence[str], classifi
     return Pipeline(stages=stages)
 
 
+def fit_categorical_index(train: DataFrame, categorical: Sequence[str], handle_invalid: str = "error"
+                          ) -> tuple[StringIndexerModel | None, list[str], list[str]]:
+    """Fit the categorical vocabularies in one pass and find the single-valued
+    columns (which the one-hot encoder rejects) from them, without another scan.
+    Returns (indexer model over the usable columns, usable columns, dropped)."""
+    cols = list(categorical)
+    if not cols:
+        return None, [], []
+    m = index_stage(cols, handle_invalid).fit(train)
+    dropped = [c for c, labels in zip(cols, m.labelsArray) if len(labels) < 2]
+    if not dropped:
+        return m, cols, []
+    keep = [c for c in cols if c not in dropped]
+    return (index_stage(keep, handle_invalid).fit(train) if keep else None), keep, dropped
+
+
 def fit(pipeline: Pipeline, train: DataFrame, cache: bool = True) -> PipelineModel:
-    """F10. The (projected) training frame is persisted only for the fit."""
+    """F10. The (projected) training frame is spread over the task slots if it
+    arrives in fewer partitions, and persisted only for the fit."""
+    train = spread(train)
     if not cache:
         return pipeline.fit(train)
     persisted = train.persist(StorageLevel.MEMORY_AND_DISK)
@@ -91,5 +117,6 @@ def fit_with_label_stage(pipeline: Pipeline, train: DataFrame, label_stage_model
 
 
 def score(model: PipelineModel, test: DataFrame) -> DataFrame:
-    """batch scoring (lazy)."""
-    return model.transform(test)
+    """batch scoring (lazy). Per-row tree evaluation is CPU-bound, so an
+    input with fewer partitions than task slots is spread first."""
+    return model.transform(spread(test))

@@ -44,7 +44,13 @@ def category_rollup(df: DataFrame, label: str, category_map: dict[str, list[str]
                     total_name: str = "TOTAL") -> DataFrame:
     """R2: class -> category, both counts per category, plus a grand-total row
     (``ROLLUP``). Classes outside the map roll up to ``unknown``."""
-    per_class = class_counts(df, label, cols).withColumn("category", category_of(label, category_map, unknown))
+    return rollup_class_counts(class_counts(df, label, cols), label, category_map, unknown, total_name)
+
+
+def rollup_class_counts(per_class: DataFrame, label: str, category_map: dict[str, list[str]] = CATEGORY_MAP,
+                        unknown: str = UNKNOWN_CATEGORY, total_name: str = "TOTAL") -> DataFrame:
+    """R2 on per-class ``(label, count, dedup_count)`` rows (class-sized input)."""
+    per_class = per_class.withColumn("category", category_of(label, category_map, unknown))
     rolled = per_class.rollup("category").agg(
         F.sum("count").cast("long").alias("count"), F.sum("dedup_count").cast("long").alias("dedup_count"),
         F.grouping("category").alias("_g"))
@@ -95,12 +101,15 @@ def excluded_tail(attr: DataFrame, min_errors: int = 20, normal: str = NORMAL_LA
                     F.coalesce(F.sum("labeled_normal"), F.lit(0)).cast("long").alias("instances"))
 
 
-def unseen_class_rows(train: DataFrame, test: DataFrame, label: str, test_label: str | None = None) -> DataFrame:
+def unseen_class_rows(train: DataFrame, test: DataFrame, label: str, test_label: str | None = None,
+                      weight: str | None = None) -> DataFrame:
     """Test rows whose class never occurs in training, and the total.
 
     Both sides are reduced to one row per class before the join, so neither
-    raw side is shuffled by the join."""
-    test_counts = test.groupBy(F.col(test_label or label).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    raw side is shuffled by the join. ``weight`` counts a test row that many times
+    (for pre-aggregated input)."""
+    n = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
+    test_counts = test.groupBy(F.col(test_label or label).alias("_c")).agg(n.alias("_n"))
     seen = train.select(F.col(label).alias("_c")).distinct().withColumn("_seen", F.lit(True))
     j = test_counts.join(seen, "_c", "left")
     unseen = F.col("_seen").isNull()

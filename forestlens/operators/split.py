@@ -34,6 +34,14 @@ def persisted_split(df: DataFrame, weights: Sequence[float] = (0.8, 0.2), seed:
     return base, [s for s in base.randomSplit(list(weights), seed)]
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions than the
+    cluster has task slots (a small file read as a few splits). Large inputs
+    already have more splits than slots, so this adds no shuffle at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def release(*dfs: DataFrame) -> None:
     """Unpersist exactly the frames that were persisted."""
     for d in dfs:

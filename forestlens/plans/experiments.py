@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
@@ -85,30 +86,35 @@ def run_experiment(train: DataFrame, test: DataFrame | None, cfg: ExperimentConf
 
     categorical = list(cfg.categorical)
     feats = list(cfg.features)
-    dropped: list[str] = []
-    if cfg.drop_constant and categorical:
-        dropped = fe.constant_columns(train, categorical)
-        if dropped:
-            categorical = [c for c in categorical if c not in dropped]
-            feats = [f for f in feats if f not in {d + fe.VEC_SUFFIX for d in dropped}]
+    needed = sorted(set(categorical) | {f for f in feats if not f.endswith(fe.VEC_SUFFIX)} | {target})
+    train_in = sp.spread(train.select(*needed))
+    if cfg.cache_train:
+        train_in = train_in.persist(StorageLevel.MEMORY_AND_DISK)
+    # Vocabularies of all categorical columns in one pass; constant columns are
+    # found from them (no separate scan) and left out, as the encoder rejects them.
+    index_model, categorical, dropped = mdl.fit_categorical_index(train_in, categorical, cfg.handle_invalid)
+    if dropped and not cfg.drop_constant:
+        raise ValueError(f"single-valued categorical columns: {dropped}")
+    feats = [f for f in feats if f not in {d + fe.VEC_SUFFIX for d in dropped}]
 
     clf = mdl.forest(cfg.num_trees, cfg.max_depth, LABEL_INDEX, seed=cfg.seed)
-    needed = sorted(set(categorical) | {f for f in feats if not f.endswith(fe.VEC_SUFFIX)} | {target})
-    train_in = train.select(*needed)
     if cfg.label_scope == "train":                      # X1: label index is a stage, fit on train
         stage = mdl.label_indexer(target, LABEL_INDEX)
         pipe = mdl.build_pipeline(categorical, feats, clf, labels=None, label_stage=stage,
-                                  handle_invalid=cfg.handle_invalid)
+                                  handle_invalid=cfg.handle_invalid, index_model=index_model)
         n_cat = 2 if categorical else 0
-        model = mdl.fit_with_label_stage(pipe, train_in, n_cat, PREDICTED_LABEL, cfg.cache_train)
+        model = mdl.fit_with_label_stage(pipe, train_in, n_cat, PREDICTED_LABEL, cache=False)
         labels = list(model.stages[n_cat].labels)
     elif cfg.label_scope == "union":                    # X2-X4: index over train UNION ALL test
-        lm = mdl.fit_label_index(train, target, LABEL_INDEX, test=test)
+        lm = mdl.fit_label_index(train_in, target, LABEL_INDEX, test=test)
         labels = list(lm.labels)
-        pipe = mdl.build_pipeline(categorical, feats, clf, labels=labels, handle_invalid=cfg.handle_invalid)
-        model = mdl.fit(pipe, lm.transform(train_in), cfg.cache_train)
+        pipe = mdl.build_pipeline(categorical, feats, clf, labels=labels, handle_invalid=cfg.handle_invalid,
+                                  index_model=index_model)
+        model = mdl.fit(pipe, lm.transform(train_in), cache=False)
     else:
         raise ValueError("label_scope must be 'train' or 'union'")
+    if cfg.cache_train:
+        train_in.unpersist()
 
     predictions = mdl.score(model, test)
     return ExperimentResult(cfg, model, labels, train, test, predictions, target, dropped, persisted)
