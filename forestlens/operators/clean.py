@@ -38,6 +38,14 @@ def quarantine(df: DataFrame, rule: Column) -> tuple[DataFrame, DataFrame]:
     return df.filter(~bad), df.filter(bad)
 
 
+def write_quarantined(df: DataFrame, rule: Column, path: str, status: str = "status",
+                      fmt: str = "parquet", mode: str = "overwrite") -> str:
+    """C3 at scale: kept and rejected rows written in one pass, partitioned by
+    ``status`` (``<path>/status=kept``, ``<path>/status=rejected``)."""
+    tag_by_rule(df, rule, status).write.mode(mode).partitionBy(status).format(fmt).save(path)
+    return path
+
+
 def illegal_service_rule(service: str = "service", value: str = "icmp") -> Column:
     """The study's illegal-record rule: a protocol name found in the service column."""
     return F.col(service) == F.lit(value)

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NAN = float("nan")
+# Largest domain whose k^2 grid is broadcast explicitly (1M cells).
+GRID_BROADCAST_MAX_CLASSES = 1000
 
 
 @dataclass(frozen=True)
@@ -140,7 +142,12 @@ def dense_matrix(counts: DataFrame, domain: ClassDomain, keys: Sequence[str] | s
             .select(*keys,
                     F.col("_a.idx").alias("actual_idx"), F.col("_a.name").alias("actual"),
                     F.col("_p.idx").alias("predicted_idx"), F.col("_p.name").alias("predicted")))
-    joined = grid.join(counts, on=[*keys, "actual", "predicted"], how="left")
+    on = [*keys, "actual", "predicted"]
+    if not keys and len(domain) <= GRID_BROADCAST_MAX_CLASSES:
+        # The grid's size is known (k^2 rows): broadcast it and stream the counts.
+        joined = counts.join(F.broadcast(grid), on=on, how="right")
+    else:
+        joined = grid.join(counts, on=on, how="left")
     return joined.select(*keys, "actual_idx", "actual", "predicted_idx", "predicted",
                          F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
 

@@ -79,14 +79,15 @@ def q_confusion_matrix(spark, sf_dir):
     return _rule_matrix(spark, sf_dir)
 
 
-_PER_CLASS_SQL = f"""
-WITH m AS ({_DENSE_SQL}),
+def _per_class_sql(dense_sql: str, domain: ev.ClassDomain) -> str:
+    return f"""
+WITH m AS ({dense_sql}),
 s AS (
   SELECT d.class_idx, d.class,
          (SELECT sum(n) FROM m WHERE m.actual = d.class) AS support,
          (SELECT sum(n) FROM m WHERE m.predicted = d.class) AS predicted_total,
          (SELECT sum(n) FROM m WHERE m.actual = d.class AND m.predicted = d.class) AS tp
-  FROM {fx.domain_values_sql(_DOM)}),
+  FROM {fx.domain_values_sql(domain)}),
 t AS (SELECT sum(support) AS total FROM s),
 r AS (
   SELECT s.*, CASE WHEN predicted_total = 0 THEN 0.0 ELSE tp / predicted_total END AS precision,
@@ -102,6 +103,9 @@ FROM r
 """
 
 
+_PER_CLASS_SQL = _per_class_sql(_DENSE_SQL, _DOM)
+
+
 @register("per_class_metrics", "E3 E5 E7 E9", _PER_CLASS_SQL)
 def q_per_class_metrics(spark, sf_dir):
     return surface(ev.per_class_metrics(_rule_matrix(spark, sf_dir)))
@@ -299,9 +303,8 @@ FROM events GROUP BY ALL
 """)
 def q_quarantine(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events").select("event_type", "value")
-    kept, rejected = clean.quarantine(e, (F.col("event_type") == "error") & (F.col("value") > 100))
-    both = kept.withColumn("status", F.lit("kept")).unionByName(rejected.withColumn("status", F.lit("rejected")))
-    return surface(both.groupBy("event_type", "status").agg(
+    tagged = clean.tag_by_rule(e, (F.col("event_type") == "error") & (F.col("value") > 100))
+    return surface(tagged.groupBy("event_type", "status").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum")))
 
 
@@ -575,3 +578,12 @@ def q_model_reload(spark, sf_dir):
         raise RuntimeError("reloaded pipeline spec differs")
     loaded = sinks.load_model(out)
     return ev.confusion_matrix(mdl.score(loaded, r.test), r.domain(), r.actual, "predicted_label")
+
+
+@register("forest_unseen_metrics", "X2 E3 E5 E7 E9", _per_class_sql(_dense_sql(_X2_PRED_SQL, fx.FOREST_DOMAIN),
+                                                                    fx.FOREST_DOMAIN))
+def q_forest_unseen_metrics(spark, sf_dir):
+    """Per-class metrics of the forest's predictions (the test-only class has
+    recall 0 and is never predicted; the class it falls to loses precision)."""
+    r = _forest(spark, sf_dir, "x2")
+    return surface(ev.per_class_metrics(ev.confusion_matrix(r.predictions, r.domain(), r.actual, "predicted_label")))
