@@ -511,7 +511,7 @@ def q_forest_unseen_classes(spark, sf_dir):
 
 @register("forest_multiclass_split", "X1 F4 U2 U3", """
 SELECT CAST(count(*) AS BIGINT) AS total_rows, CAST(0 AS BIGINT) AS errors, TRUE AS split_ratio_within_2pct,
-       1.0 AS precision, 1.0 AS recall, 1.0 AS f1
+       CAST(1.0 AS DOUBLE) AS precision, CAST(1.0 AS DOUBLE) AS recall, CAST(1.0 AS DOUBLE) AS f1
 FROM lineitem
 """)
 def q_forest_multiclass_split(spark, sf_dir):
