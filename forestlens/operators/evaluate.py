@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NAN = float("nan")
-# Largest domain whose k^2 grid is broadcast explicitly (1M cells).
+# Largest domain for which the checked counts (at most k^2 rows) are broadcast explicitly.
 GRID_BROADCAST_MAX_CLASSES = 1000
 
 
@@ -127,6 +127,7 @@ def dense_matrix(counts: DataFrame, domain: ClassDomain, keys: Sequence[str] | s
 
     The k^2 grid is produced by two generators over the (tiny) distinct key rows,
     then left-joined to the aggregated counts: no join touches raw rows."""
+    # Outer joins can only broadcast the non-preserved side, here the counts.
     keys = _cols(keys)
     if on_unknown == "error":
         counts = require_in_domain(counts, domain)
@@ -143,9 +144,10 @@ def dense_matrix(counts: DataFrame, domain: ClassDomain, keys: Sequence[str] | s
                     F.col("_a.idx").alias("actual_idx"), F.col("_a.name").alias("actual"),
                     F.col("_p.idx").alias("predicted_idx"), F.col("_p.name").alias("predicted")))
     on = [*keys, "actual", "predicted"]
-    if not keys and len(domain) <= GRID_BROADCAST_MAX_CLASSES:
-        # The grid's size is known (k^2 rows): broadcast it and stream the counts.
-        joined = counts.join(F.broadcast(grid), on=on, how="right")
+    if on_unknown == "error" and not keys and len(domain) <= GRID_BROADCAST_MAX_CLASSES:
+        # After the domain check every count row is a distinct domain pair, so the
+        # counts side has at most k^2 rows: a proven bound, broadcast it.
+        joined = grid.join(F.broadcast(counts), on=on, how="left")
     else:
         joined = grid.join(counts, on=on, how="left")
     return joined.select(*keys, "actual_idx", "actual", "predicted_idx", "predicted",
