@@ -587,3 +587,23 @@ def q_forest_unseen_metrics(spark, sf_dir):
     recall 0 and is never predicted; the class it falls to loses precision)."""
     r = _forest(spark, sf_dir, "x2")
     return surface(ev.per_class_metrics(ev.confusion_matrix(r.predictions, r.domain(), r.actual, "predicted_label")))
+
+
+# ---------------------------------------------------------------------------
+# De-duplication of whole texts (C2, R1) on documents
+# ---------------------------------------------------------------------------
+
+@register("dedup_documents", "C2", "SELECT DISTINCT lang, text FROM documents")
+def q_dedup_documents(spark, sf_dir):
+    """Exact de-duplication on the whole text (no prefix, no hashing shortcut)."""
+    return clean.dedup_rows(fx.table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@register("document_distribution", "R1 C2", """
+SELECT lang, CAST(sum(n) AS BIGINT) AS count, CAST(count(*) AS BIGINT) AS dedup_count
+FROM (SELECT lang, text, count(*) AS n FROM documents GROUP BY lang, text) d
+GROUP BY lang
+""")
+def q_document_distribution(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents").select("lang", "text")
+    return reports.class_distribution(docs, "lang")
