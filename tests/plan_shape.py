@@ -50,3 +50,32 @@ def joins_above_raw_scans(nodes):
                 bad.append(an)
                 break
     return bad
+
+
+def _children(node):
+    kids = [node.children().apply(i) for i in range(node.children().size())]
+    for attr in ("plan", "executedPlan"):  # query stages / adaptive wrapper
+        try:
+            inner = getattr(node, attr)()
+            if hasattr(inner, "children"):
+                kids.append(inner)
+        except Exception:  # noqa: BLE001
+            pass
+    return kids
+
+
+def shuffle_records_written(df) -> list[int]:
+    """After an action: records written by each shuffle exchange of the executed plan."""
+    out, seen, todo = [], set(), [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        key = node.hashCode()
+        if key in seen:
+            continue
+        seen.add(key)
+        if node.nodeName().startswith("Exchange") and not node.nodeName().startswith("BroadcastExchange"):
+            m = node.metrics()
+            if m.contains("shuffleRecordsWritten"):
+                out.append(int(m.apply("shuffleRecordsWritten").value()))
+        todo.extend(_children(node))
+    return out
