@@ -165,14 +165,18 @@ def confusion_matrix(pred: DataFrame, domain: ClassDomain, actual: str = "actual
 def per_class_metrics(matrix: DataFrame, keys: Sequence[str] | str | None = None) -> DataFrame:
     """Per class: support, predicted_total, tp, precision, recall, f1, class_ratio.
 
-    Input is a dense matrix (so every domain class appears). Each cell contributes
+    Input is a dense matrix (so every domain class appears), or sparse counts
+    (then only classes that occur are listed, without indices). Each cell contributes
     to its row class (support, tp) and to its column class (predicted_total); one
     aggregate over the k^2 cells gives all sums."""
     keys = _cols(keys)
+    if "actual_idx" not in matrix.columns:      # sparse counts: no indices, classes by name
+        matrix = matrix.withColumn("actual_idx", F.lit(None).cast("int")) \
+                       .withColumn("predicted_idx", F.lit(None).cast("int"))
     contrib = matrix.select(*keys, F.explode(F.array(
         F.struct(F.col("actual_idx").alias("class_idx"), F.col("actual").alias("class"),
                  F.col("n").alias("support"),
-                 F.when(F.col("actual_idx") == F.col("predicted_idx"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp"),
+                 F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp"),
                  F.lit(0).cast("long").alias("predicted_total")),
         F.struct(F.col("predicted_idx").alias("class_idx"), F.col("predicted").alias("class"),
                  F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("tp"),
@@ -215,8 +219,11 @@ def metrics_table(pred: DataFrame, domain: ClassDomain, actual: str = "actual",
     """One metrics row per split value in one job (``split, precision, recall, f1``).
     Without a split column there is one row, numbered 0 as in the study's file."""
     keys = [split] if split else []
-    m = confusion_matrix(pred, domain, actual, predicted, keys)
-    om = overall_metrics(per_class_metrics(m, keys), keys)
+    # Weighted metrics need no zero cells (a class with neither support nor
+    # predictions adds 0 to both sums), so the domain-checked sparse counts are
+    # used directly: no per-split grid, no join.
+    counts = require_in_domain(confusion_counts(pred, actual, predicted, keys), domain)
+    om = overall_metrics(per_class_metrics(counts, keys), keys)
     if split:
         return om.withColumnRenamed(split, "split")
     return om.select(F.lit(0).alias("split"), "precision", "recall", "f1")

@@ -130,7 +130,8 @@ FROM w
 
 @register("overall_metrics", "E4 E6 E8", _OVERALL_SQL)
 def q_overall_metrics(spark, sf_dir):
-    return surface(ev.overall_metrics(ev.per_class_metrics(_rule_matrix(spark, sf_dir))))
+    pred = fx.rule_predictions(fx.table(spark, sf_dir, "lineitem"))
+    return surface(ev.metrics_table(pred, _DOM).drop("split"))
 
 
 _BY_SPLIT_SQL = f"""
