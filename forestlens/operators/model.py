@@ -3,9 +3,9 @@
 Training uses MLlib's distributed random forest (histogram aggregation per tree
 level). The training input is projected to the columns the pipeline needs and
 persisted for the fit, which reads it several times (vocabularies, split
-candidates, the bagged input), then released. Node ids are cached and
-checkpointed to the session's checkpoint folder so deep trees don't build
-long lineages."""
+candidates, the bagged input), then released. For deep trees node ids are
+cached and checkpointed to the session's checkpoint folder, so long chains of
+levels don't build long lineages."""
 
 from __future__ import annotations
 

@@ -38,8 +38,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition only when the input has fewer partitions than the
     cluster has task slots (a small file read as a few splits). Large inputs
     already have more splits than slots, so this adds no shuffle at scale."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a Spark Connect session): leave as is
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def release(*dfs: DataFrame) -> None:

@@ -473,7 +473,7 @@ FROM d a CROSS JOIN d b LEFT JOIN c ON c.actual = a.class AND c.predicted = b.cl
 def _forest(spark, sf_dir, preset: str):
     """Fitted results are shared between queries of one session and scale."""
     from forestlens.plans import experiments as xp
-    key = (spark.sparkContext.applicationId, sf_dir, preset)
+    key = (spark.conf.get("spark.app.id", None) or id(spark), sf_dir, preset)
     if key in _RESULTS:
         return _RESULTS[key]
     li = fx.table(spark, sf_dir, "lineitem")
