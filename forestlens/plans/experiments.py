@@ -121,8 +121,12 @@ def run_experiment(train: DataFrame, test: DataFrame | None, cfg: ExperimentConf
 
 
 def write_outputs(result: ExperimentResult, out_dir: str, pairs: bool = False, triplets: bool = False,
-                  matrix: bool = True, save_model: bool = False) -> dict[str, str]:
-    """metrics.csv / matrix.csv layouts (S2, S3), pairs / triplets (S4, S5), model."""
+                  matrix: bool = True, save_model: bool = False, single_files: bool = True) -> dict[str, str]:
+    """metrics.csv / matrix.csv layouts (S2, S3), pairs / triplets (S4, S5), model.
+
+    The metrics and the matrix (bounded by the class count) end up as the single
+    files ``metrics.csv`` and ``matrix.csv``; pairs and triplets (one line per
+    scored row) stay distributed directories."""
     out = out_dir.rstrip("/")
     paths: dict[str, str] = {}
     if matrix:
@@ -130,6 +134,10 @@ def write_outputs(result: ExperimentResult, out_dir: str, pairs: bool = False, t
         om = e.overall.selectExpr("0 AS split", "precision", "recall", "f1")
         paths["metrics"] = sinks.write_metrics(om, f"{out}/metrics")
         paths["matrix"] = sinks.write_confusion_matrix(e.matrix, result.domain(), f"{out}/matrix")
+        if single_files:
+            spark = result.predictions.sparkSession
+            paths["metrics"] = sinks.publish_single_file(spark, paths["metrics"], f"{out}/metrics.csv")
+            paths["matrix"] = sinks.publish_single_file(spark, paths["matrix"], f"{out}/matrix.csv")
     if pairs:
         paths["pairs"] = sinks.write_pairs(result.predictions, f"{out}/pairs", result.config.label, PREDICTED_LABEL)
     if triplets:

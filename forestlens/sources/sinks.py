@@ -17,6 +17,27 @@ METRICS_HEADER = ["Split #", "Precision", "Recall", "F1"]
 MATRIX_CORNER = "A\\P"
 
 
+def publish_single_file(spark, out_dir: str, target: str) -> str:
+    """Move the one ``part-*`` file of a single-partition output directory to
+    ``target`` (e.g. ``<dir>/metrics.csv``) through the Hadoop FileSystem API, so
+    it works on any cluster file system; the directory is then removed. Only
+    used for outputs bounded by the class count."""
+    jvm = spark._jvm
+    hconf = spark._jsc.hadoopConfiguration()
+    src_dir = jvm.org.apache.hadoop.fs.Path(out_dir)
+    fs = src_dir.getFileSystem(hconf)
+    parts = [st.getPath() for st in fs.listStatus(src_dir) if st.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise RuntimeError(f"expected one part file in {out_dir}, found {len(parts)}")
+    dst = jvm.org.apache.hadoop.fs.Path(target)
+    if fs.exists(dst):
+        fs.delete(dst, False)
+    if not fs.rename(parts[0], dst):
+        raise RuntimeError(f"could not move {parts[0]} to {target}")
+    fs.delete(src_dir, True)
+    return target
+
+
 def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> str:
     """``metrics.csv`` layout: header ``Split #,Precision,Recall,F1``."""
     out = metrics.select(
