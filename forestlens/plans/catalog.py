@@ -608,3 +608,29 @@ GROUP BY lang
 def q_document_distribution(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select("lang", "text")
     return reports.class_distribution(docs, "lang")
+
+
+# ---------------------------------------------------------------------------
+# Streaming: running confusion counts over a record stream (F11/E1 incrementally)
+# ---------------------------------------------------------------------------
+
+@register("stream_confusion_counts", "E1 streaming", """
+WITH p AS (""" + fx.RULE_PREDICTIONS_SQL + """)
+SELECT actual, predicted, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY actual, predicted
+""")
+def q_stream_confusion_counts(spark, sf_dir):
+    """The lineitem file read as a stream (one file per trigger); the counts live
+    in the state store under a checkpoint in the shared folder. Returns the
+    snapshot after all available input is processed."""
+    import uuid
+    from forestlens.streaming import scoring
+    schema = fx.table(spark, sf_dir, "lineitem").schema
+    stream = scoring.read_record_stream(spark, sf_dir.rstrip("/"), schema, glob="lineitem.parquet",
+                                        max_files_per_trigger=1)
+    table = f"running_counts_{uuid.uuid4().hex[:8]}"
+    q = scoring.start_running_matrix(fx.rule_predictions(stream), "actual", "predicted", table)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.table(table).select("actual", "predicted", F.col("n").cast("long").alias("n"))
