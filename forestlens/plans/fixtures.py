@@ -57,9 +57,10 @@ def domain_values_sql(domain: ClassDomain) -> str:
 
 
 # --- binary predictions of multi-class records (attribution reports) --------
-# Test rows: l_linenumber > 4. Train rows (vocabulary only): l_linenumber <= 4
-# and l_quantity < 40, so the *_4 and *_5 classes occur only in test.
-def attack_label(lineitem_cols=None):
+# Train rows: lines 1-4; test rows: lines 5-7 (together the whole table). In the
+# test rows only, quantities of 40 and more carry a "new_" class, so those
+# classes never occur in training.
+def attack_label():
     return (F.when(F.col("l_returnflag") == "A", F.lit("normal"))
             .otherwise(F.concat(F.lower("l_returnflag"), F.lower("l_linestatus"), F.lit("_"),
                                 F.floor(F.col("l_quantity") / 10).cast("int").cast("string"))))
@@ -69,22 +70,24 @@ def binary_rule_predictions(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(train, test): train carries ``attack_type``; test also ``predicted_bin``."""
     pred = (F.when((F.col("l_discount") == 0.0) | ((F.col("l_returnflag") == "A") & (F.col("l_discount") < 0.09)),
                    F.lit("normal")).otherwise(F.lit("anomaly")))
-    test = lineitem.filter(F.col("l_linenumber") > 4).select(attack_label().alias("attack_type"),
+    test_label = F.when((F.col("l_returnflag") != "A") & (F.col("l_quantity") >= 40),
+                        F.concat(F.lit("new_"), attack_label())).otherwise(attack_label())
+    test = lineitem.filter(F.col("l_linenumber") > 4).select(test_label.alias("attack_type"),
                                                             pred.alias("predicted_bin"))
-    train = lineitem.filter((F.col("l_linenumber") <= 4) & (F.col("l_quantity") < 40)) \
-        .select(attack_label().alias("attack_type"))
+    train = lineitem.filter(F.col("l_linenumber") <= 4).select(attack_label().alias("attack_type"))
     return train, test
 
 
 ATTACK_LABEL_SQL = ("CASE WHEN l_returnflag = 'A' THEN 'normal' ELSE lower(l_returnflag) || lower(l_linestatus) "
                     "|| '_' || CAST(CAST(floor(l_quantity / 10) AS INTEGER) AS VARCHAR) END")
 BINARY_TEST_SQL = f"""
-SELECT {ATTACK_LABEL_SQL} AS attack_type,
+SELECT CASE WHEN l_returnflag <> 'A' AND l_quantity >= 40 THEN 'new_' || ({ATTACK_LABEL_SQL})
+            ELSE {ATTACK_LABEL_SQL} END AS attack_type,
        CASE WHEN l_discount = 0.0 OR (l_returnflag = 'A' AND l_discount < 0.09) THEN 'normal' ELSE 'anomaly' END
          AS predicted_bin
 FROM lineitem WHERE l_linenumber > 4
 """
-BINARY_TRAIN_SQL = f"SELECT {ATTACK_LABEL_SQL} AS attack_type FROM lineitem WHERE l_linenumber <= 4 AND l_quantity < 40"
+BINARY_TRAIN_SQL = f"SELECT {ATTACK_LABEL_SQL} AS attack_type FROM lineitem WHERE l_linenumber <= 4"
 
 
 # --- separable labels for the forest (train lines 1-5, test lines 6-7) -------
