@@ -54,6 +54,27 @@ def start_running_matrix(pred_stream: DataFrame, actual: str, predicted: str, ta
     return w.start()
 
 
+def start_running_matrix_table(pred_stream: DataFrame, actual: str, predicted: str, path: str,
+                               checkpoint_location: str | None = None, trigger: dict | None = None,
+                               fmt: str = "parquet") -> StreamingQuery:
+    """Same running counts, published to a table in shared storage: each
+    micro-batch carries the complete counts (at most k^2 rows per key), written
+    by ``foreachBatch`` as an overwrite of ``path``. Replaying a batch after a
+    failure rewrites the same snapshot, so the table is idempotent."""
+    spark = pred_stream.sparkSession
+    loc = checkpoint_location or scratch_path(spark, "stream-table")
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        # a shuffle of the (<= k^2) output rows keeps the stateful stage parallel
+        batch.repartition(1).write.mode("overwrite").format(fmt).save(path)
+
+    w = (running_confusion_counts(pred_stream, actual, predicted).writeStream
+         .outputMode("complete").foreachBatch(publish).option("checkpointLocation", loc))
+    if trigger:
+        w = w.trigger(**trigger)
+    return w.start()
+
+
 def matrix_from_counts(counts: DataFrame, domain: ClassDomain) -> dict[str, DataFrame]:
     """Batch view over a snapshot of the running counts: dense matrix and metrics."""
     m = dense_matrix(counts, domain)

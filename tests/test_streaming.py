@@ -21,3 +21,19 @@ def test_running_counts_equal_batch_counts(spark):
     assert got == want
     views = scoring.matrix_from_counts(snap, fx.RULE_DOMAIN)
     assert views["matrix"].count() == len(fx.RULE_DOMAIN) ** 2
+
+
+def test_running_counts_published_to_a_table(spark, tmp_path):
+    batch = fx.table(spark, SF_SMALL, "lineitem")
+    stream = scoring.read_record_stream(spark, SF_SMALL, batch.schema, glob="lineitem.parquet")
+    out = str(tmp_path / "counts")
+    q = scoring.start_running_matrix_table(fx.rule_predictions(stream), "actual", "predicted", out,
+                                           checkpoint_location=str(tmp_path / "ckpt"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = sorted((r["actual"], r["predicted"], r["n"]) for r in spark.read.parquet(out).collect())
+    want = sorted((r["actual"], r["predicted"], r["n"])
+                  for r in ev.confusion_counts(fx.rule_predictions(batch)).collect())
+    assert got == want
