@@ -3,7 +3,8 @@
 Row-level outputs (pairs, triplets, binarized records) are written in parallel,
 one file per partition. Only the metrics table and the confusion matrix, whose
 size is bounded by the number of splits and k^2 cells, are written as one file,
-in the study's layout."""
+in the study's layout; they are brought to one partition by a (tiny) shuffle,
+never by coalescing, which would pull the upstream stage into one task."""
 
 from __future__ import annotations
 
@@ -43,7 +44,7 @@ def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> str
     out = metrics.select(
         F.col("split").alias(METRICS_HEADER[0]), F.col("precision").alias(METRICS_HEADER[1]),
         F.col("recall").alias(METRICS_HEADER[2]), F.col("f1").alias(METRICS_HEADER[3]))
-    (out.coalesce(1).sortWithinPartitions(METRICS_HEADER[0])
+    (out.repartition(1).sortWithinPartitions(METRICS_HEADER[0])
      .write.mode(mode).option("header", True).csv(path))
     return path
 
@@ -62,7 +63,7 @@ def matrix_wide(matrix: DataFrame, domain: ClassDomain) -> DataFrame:
 def write_confusion_matrix(matrix: DataFrame, domain: ClassDomain, path: str, mode: str = "overwrite") -> str:
     """S3: write the dense matrix as ``A\\P,<classes>`` CSV, rows in domain order."""
     wide = matrix_wide(matrix, domain)
-    (wide.coalesce(1).sortWithinPartitions("actual_idx").drop("actual_idx")
+    (wide.repartition(1).sortWithinPartitions("actual_idx").drop("actual_idx")
      .write.mode(mode).option("header", True).option("escape", "\u0000").csv(path))
     return path
 
