@@ -45,10 +45,12 @@ def register_binarizer(spark: SparkSession, name: str = "binarizer",
 
 def category_of(col, category_map: dict[str, list[str]], unknown: str = UNKNOWN_CATEGORY) -> Column:
     """Map a class label to its category; labels outside the map get ``unknown``."""
+    from forestlens.operators.evaluate import sql_string
     c = _col(col)
     expr = None
     for category, members in category_map.items():
-        cond = c.isin(list(members))
+        # one literal array per category, parsed JVM-side in one call
+        cond = F.array_contains(F.expr("array(" + ", ".join(sql_string(m) for m in members) + ")"), c)
         expr = F.when(cond, F.lit(category)) if expr is None else expr.when(cond, F.lit(category))
     return F.lit(unknown) if expr is None else expr.otherwise(F.lit(unknown))
 

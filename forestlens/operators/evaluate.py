@@ -28,6 +28,11 @@ NAN = float("nan")
 GRID_BROADCAST_MAX_CLASSES = 1000
 
 
+def sql_string(value: str) -> str:
+    """A Spark SQL string literal for ``value``."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class ClassDomain:
     """Ordered class list (matrix order) plus the classes seen in training.
@@ -61,25 +66,31 @@ class ClassDomain:
     def seen(self, c: str) -> bool:
         return True if self.train_classes is None else c in self.train_classes
 
+    # The domain literals below are built as one SQL expression each (parsed on
+    # the JVM side in one call) instead of one client call per class; they are
+    # evaluated on aggregated, class-sized frames only.
+    def _names_array(self, names=None) -> Column:
+        names = self.classes if names is None else names
+        return F.expr("array(" + ", ".join(sql_string(c) for c in names) + ")") if names else \
+            F.array().cast("array<string>")
+
     def contains(self, col: Column) -> Column:
         """TRUE if the label is in the domain; NULL labels count as outside."""
-        return F.coalesce(col.isin(list(self.classes)), F.lit(False))
+        return F.coalesce(F.array_contains(self._names_array(), col), F.lit(False))
 
     def index_of(self, col: Column) -> Column:
         """Position of the label in the domain (int), -1 if absent."""
-        arr = F.array(*[F.lit(c) for c in self.classes])
-        return (F.array_position(arr, col) - 1).cast("int")
+        return (F.array_position(self._names_array(), col) - 1).cast("int")
 
     def in_train_of(self, col: Column) -> Column:
         if self.train_classes is None:
             return F.lit(True)
-        return F.coalesce(col.isin(sorted(self.train_classes)), F.lit(False))
+        return F.coalesce(F.array_contains(self._names_array(sorted(self.train_classes)), col), F.lit(False))
 
     def class_structs(self) -> Column:
-        return F.array(*[
-            F.struct(F.lit(i).alias("idx"), F.lit(c).alias("name"), F.lit(self.seen(c)).alias("seen"))
-            for i, c in enumerate(self.classes)
-        ])
+        return F.expr("array(" + ", ".join(
+            f"named_struct('idx', {i}, 'name', {sql_string(c)}, 'seen', {'true' if self.seen(c) else 'false'})"
+            for i, c in enumerate(self.classes)) + ")")
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         """``(class_idx int, class string, in_train boolean)``."""

@@ -43,11 +43,12 @@ def surface(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles and turn NaN into NULL on the query surface."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        q = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(F.round(c, digits))
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            out.append(f"CASE WHEN isnan({q}) THEN CAST(NULL AS DOUBLE) ELSE round({q}, {digits}) END AS {q}")
+        else:
+            out.append(q)
+    return df.selectExpr(*out)
 
 
 def _sql_round(expr: str) -> str:
