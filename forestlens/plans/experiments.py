@@ -60,8 +60,9 @@ class ExperimentResult:
         classes = self.config.classes or self.labels
         return ev.ClassDomain.of(classes, self.config.train_classes)
 
-    def evaluation(self, checkpoint: bool = True) -> ev.Evaluation:
-        return ev.evaluate(self.predictions, self.domain(), self.actual, PREDICTED_LABEL, checkpoint=checkpoint)
+    def evaluation(self, checkpoint: bool = True, predictions: DataFrame | None = None) -> ev.Evaluation:
+        pred = self.predictions if predictions is None else predictions
+        return ev.evaluate(pred, self.domain(), self.actual, PREDICTED_LABEL, checkpoint=checkpoint)
 
     def pairs(self) -> DataFrame:
         return self.predictions.select(self.config.label, PREDICTED_LABEL)
@@ -131,20 +132,32 @@ def write_outputs(result: ExperimentResult, out_dir: str, pairs: bool = False, t
     scored row) stay distributed directories."""
     out = out_dir.rstrip("/")
     paths: dict[str, str] = {}
-    if matrix:
-        e = result.evaluation(checkpoint=True)
-        om = e.overall.selectExpr("0 AS split", "precision", "recall", "f1")
-        paths["metrics"] = sinks.write_metrics(om, f"{out}/metrics")
-        paths["matrix"] = sinks.write_confusion_matrix(e.matrix, result.domain(), f"{out}/matrix")
-        if single_files:
-            spark = result.predictions.sparkSession
-            paths["metrics"] = sinks.publish_single_file(spark, paths["metrics"], f"{out}/metrics.csv")
-            paths["matrix"] = sinks.publish_single_file(spark, paths["matrix"], f"{out}/matrix.csv")
-    if pairs:
-        paths["pairs"] = sinks.write_pairs(result.predictions, f"{out}/pairs", result.config.label, PREDICTED_LABEL)
-    if triplets:
-        paths["triplets"] = sinks.write_triplets(result.predictions, f"{out}/triplets", result.config.label,
-                                                 result.config.label + "_bin", PREDICTED_LABEL)
+    label, cfg = result.config.label, result.config
+    cols = [label] + ([label + "_bin"] if cfg.binarize else []) + [PREDICTED_LABEL]
+    scored = result.predictions.select(*dict.fromkeys(cols))
+    shared = matrix and (pairs or triplets)
+    if shared:
+        # Score once: the label columns of the predictions feed both the matrix
+        # and the row-level files (a lost block is re-scored from the model).
+        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if matrix:
+            e = result.evaluation(checkpoint=True, predictions=scored)
+            om = e.overall.selectExpr("0 AS split", "precision", "recall", "f1")
+            paths["metrics"] = sinks.write_metrics(om, f"{out}/metrics")
+            paths["matrix"] = sinks.write_confusion_matrix(e.matrix, result.domain(), f"{out}/matrix")
+            if single_files:
+                spark = result.predictions.sparkSession
+                paths["metrics"] = sinks.publish_single_file(spark, paths["metrics"], f"{out}/metrics.csv")
+                paths["matrix"] = sinks.publish_single_file(spark, paths["matrix"], f"{out}/matrix.csv")
+        if pairs:
+            paths["pairs"] = sinks.write_pairs(scored, f"{out}/pairs", label, PREDICTED_LABEL)
+        if triplets:
+            paths["triplets"] = sinks.write_triplets(scored, f"{out}/triplets", label, label + "_bin",
+                                                     PREDICTED_LABEL)
+    finally:
+        if shared:
+            scored.unpersist()
     if save_model:
         paths["model"] = sinks.save_model(result.model, out)
     return paths
