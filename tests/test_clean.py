@@ -50,3 +50,17 @@ def test_union_is_positional(spark):
     a = spark.createDataFrame([("x", 1)], "l string, k int")
     b = spark.createDataFrame([("y", 2)], "l string, k int")
     assert [r["l"] for r in sp.union_labels(a, b, "l").collect()] == ["x", "y"]
+
+
+def test_quarantine_written_in_one_pass_and_binarized_dataset(spark, tmp_path):
+    from forestlens.sources import sinks
+    df = spark.createDataFrame([("icmp", "smurf"), ("http", "normal"), ("http", "neptune")],
+                               "service string, attack_type string")
+    out = clean.write_quarantined(df, clean.illegal_service_rule(), str(tmp_path / "q"))
+    back = spark.read.parquet(out)
+    assert {(r["service"], r["status"]) for r in back.collect()} == {
+        ("icmp", "rejected"), ("http", "kept")}
+    assert (tmp_path / "q" / "status=rejected").is_dir() and (tmp_path / "q" / "status=kept").is_dir()
+    path = sinks.write_records(clean.binarize_dataset(df), str(tmp_path / "bin"))
+    lines = sorted("".join(p.read_text() for p in (tmp_path / "bin").glob("part-*.csv")).splitlines())
+    assert lines == ["http,anomaly", "http,normal", "icmp,anomaly"]
