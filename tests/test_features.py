@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from forestlens.operators import features as fe, model as mdl
 

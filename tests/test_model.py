@@ -3,7 +3,7 @@ exactly, the test-only class lands on the class it was carved out of."""
 import pytest
 from pyspark.sql import functions as F
 
-from forestlens.operators import clean, evaluate as ev, model as mdl
+from forestlens.operators import clean, model as mdl
 from forestlens.plans import experiments as xp, fixtures as fx
 from forestlens.sources import sinks
 from tests.conftest import SF_SMALL
@@ -23,11 +23,6 @@ def x2(frames):
                                 train_classes=fx.FOREST_DOMAIN.train_classes, **COMMON)
 
 
-def _expected(test):
-    return test.select("attack_type", F.when(F.col("attack_type") == "novel", "smurf")
-                       .otherwise(F.col("attack_type")).alias("exp"))
-
-
 def test_x2_predictions_follow_rule(x2):
     wrong = x2.predictions.filter(
         F.col("predicted_label") != F.when(F.col("attack_type") == "novel", "smurf").otherwise(F.col("attack_type")))

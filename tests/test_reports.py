@@ -1,5 +1,3 @@
-import pytest
-
 from forestlens.operators import evaluate as ev, reports
 from forestlens.schema import ALL_CLASSES, TRAIN_CLASSES
 from tests import goldens as g

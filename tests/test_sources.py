@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from forestlens.operators import evaluate as ev
 from forestlens.schema import BIN_CLASSES, connection_feature_order, connection_schema

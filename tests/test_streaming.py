@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from forestlens.operators import evaluate as ev
 from forestlens.plans import fixtures as fx
 from forestlens.streaming import scoring
