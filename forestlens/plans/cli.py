@@ -4,6 +4,11 @@
   spark-submit forestlens/plans/cli.py x2|x3|x4 train-file test-file output-directory num-trees max-depth
 
 Inputs are headerless connection-record CSV (``--format parquet`` for Parquet).
+``--clean`` applies the study's preprocessing to raw files: trailing period
+stripped from labels, training records de-duplicated, test records with the
+illegal service value set aside: the test file is converted once to Parquet
+under ``<output-directory>/test_clean`` with ``status=kept`` / ``status=rejected``
+partitions, and the job reads the kept partition.
 Outputs: x1, x2 metrics + matrix; x3 metrics + matrix + triplets; x4 pairs.
 """
 
@@ -14,6 +19,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from forestlens.operators import clean
 from forestlens.plans import experiments as xp
 from forestlens.sources.csv import read_connections
 
@@ -28,6 +34,7 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     ap.add_argument("args", nargs="+")
     ap.add_argument("--format", choices=["csv", "parquet"], default="csv")
     ap.add_argument("--seed", type=int, default=42)
+    ap.add_argument("--clean", action="store_true", help="strip label periods, de-dup train, set aside illegal rows")
     ns = ap.parse_args(argv)
     need = 4 if ns.job == "x1" else 5
     if len(ns.args) != need:
@@ -36,9 +43,19 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     trees, depth = int(ns.args[-2]), int(ns.args[-1])
     out = ns.args[-3]
     if ns.job == "x1":
-        r = xp.x1_multiclass_split(_read(spark, ns.args[0], ns.format), trees, depth, seed=ns.seed)
+        data = _read(spark, ns.args[0], ns.format)
+        if ns.clean:
+            data = clean.dedup_rows(clean.strip_label_suffix(data))
+        r = xp.x1_multiclass_split(data, trees, depth, seed=ns.seed)
         return xp.write_outputs(r, out)
     train, test = _read(spark, ns.args[0], ns.format), _read(spark, ns.args[1], ns.format)
+    if ns.clean:
+        train = clean.dedup_rows(clean.strip_label_suffix(train))
+        # One pass over the raw test file: kept and rejected rows written as
+        # Parquet partitions; the job then reads the kept partition only.
+        staged = clean.write_quarantined(clean.strip_label_suffix(test), clean.illegal_service_rule(),
+                                         f"{out}/test_clean")
+        test = spark.read.parquet(staged).filter("status = 'kept'").drop("status")
     if ns.job == "x2":
         return xp.write_outputs(xp.x2_unseen_classes(train, test, trees, depth, seed=ns.seed), out)
     if ns.job == "x3":

@@ -36,3 +36,20 @@ def test_cli_jobs(spark, tmp_path):
     assert set(p4) == {"pairs"}
     p1 = cli.main(["x1", str(train), str(tmp_path / "x1"), "3", "4"])
     assert set(p1) == {"metrics", "matrix"} and set(p2) == {"metrics", "matrix"}
+
+
+def test_cli_clean_raw_files(spark, tmp_path):
+    train, test = tmp_path / "train.csv", tmp_path / "test.csv"
+    raw_train = _records(60).replace("normal\n", "normal.\n").replace("smurf\n", "smurf.\n")
+    train.write_text(raw_train + raw_train)                       # duplicated records
+    raw_test = _records(30).replace("normal\n", "normal.\n").replace("smurf\n", "smurf.\n")
+    illegal = TEMPLATE.format(dur=0, proto="icmp", svc="icmp", src=1, dst=0, logged=0, cnt=1, label="smurf.")
+    test.write_text(raw_test + illegal + "\n")
+    paths = cli.main(["x2", str(train), str(test), str(tmp_path / "out"), "3", "4", "--clean"])
+    matrix = (tmp_path / "out" / "matrix.csv").read_text().splitlines()
+    total = sum(float(v) for line in matrix[1:] for v in line.split(",")[1:])
+    assert total == 30.0 and set(paths) == {"metrics", "matrix"}
+    staged = spark.read.parquet(str(tmp_path / "out" / "test_clean"))
+    rejected = staged.filter("status = 'rejected'").collect()
+    assert len(rejected) == 1 and rejected[0]["service"] == "icmp"
+    assert staged.filter("status = 'kept'").count() == 30
