@@ -635,3 +635,33 @@ def q_stream_confusion_counts(spark, sf_dir):
     finally:
         q.stop()
     return spark.table(table).select("actual", "predicted", F.col("n").cast("long").alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# The study's job path end to end: 42-field headerless CSV -> clean -> X2
+# ---------------------------------------------------------------------------
+
+_RECORD_PRED_SQL = f"""
+SELECT attack_type AS actual, CASE WHEN attack_type = 'mailbomb' THEN 'smurf' ELSE attack_type END AS predicted
+FROM ({fx.RECORD_TEST_SQL}) te
+"""
+
+
+@register("connection_records_job", "S1 C1 C2 F1-F11 X2", _dense_sql(_RECORD_PRED_SQL, fx.RECORD_DOMAIN))
+def q_connection_records_job(spark, sf_dir):
+    """Records derived from the whole lineitem table are written as raw
+    headerless CSV, read back with the 42-field schema, cleaned (label period
+    stripped, training records de-duplicated) and run through the X2 job with
+    the default 40-feature order; the result is the dense matrix."""
+    from forestlens.plans import experiments as xp
+    train_raw, test_raw = fx.connection_records(fx.table(spark, sf_dir, "lineitem"))
+    root = scratch_path(spark, "records")
+    sinks.write_records(train_raw, f"{root}/train")
+    sinks.write_records(test_raw, f"{root}/test")
+    train = clean.dedup_rows(clean.strip_label_suffix(src.read_connections(spark, f"{root}/train")))
+    test = clean.strip_label_suffix(src.read_connections(spark, f"{root}/test"))
+    r = xp.x2_unseen_classes(train, test, FOREST_TREES, FOREST_DEPTH, classes=fx.RECORD_DOMAIN.classes,
+                             train_classes=fx.RECORD_DOMAIN.train_classes)
+    if sorted(r.dropped_constant) != ["is_guest_login", "is_host_login", "land"]:
+        raise RuntimeError(f"unexpected constant columns: {r.dropped_constant}")
+    return ev.confusion_matrix(r.predictions, r.domain(), r.actual, "predicted_label")

@@ -133,5 +133,48 @@ SELECT CASE WHEN l_returnflag = 'A' THEN 'normal' WHEN l_returnflag = 'R' THEN '
 FROM lineitem WHERE l_linenumber <= 5
 """
 
+# --- connection records derived from lineitem (the full 42-field job path) ----
+# protocol_type and service carry the label (from l_returnflag); the other
+# fields are lineitem values or constants (land, is_host_login, is_guest_login
+# are single-valued, so the pipeline leaves them out). Labels end with the
+# period of the raw files. Test rows (lines 6-7): N on line 7 -> mailbomb.
+RECORD_DOMAIN = ClassDomain.of(["normal", "neptune", "smurf", "mailbomb"],
+                               train_classes=["normal", "neptune", "smurf"])
+
+
+def connection_records(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
+    from forestlens.schema import CONNECTION_FIELDS
+    rf = F.col("l_returnflag")
+    base = F.when(rf == "A", "normal").when(rf == "R", "neptune").otherwise("smurf")
+    derived = {
+        "duration": F.col("l_linenumber"),
+        "protocol_type": F.when(rf == "A", "tcp").when(rf == "R", "udp").otherwise("icmp"),
+        "service": F.when(rf == "A", "http").when(rf == "R", "private").otherwise("ecr_i"),
+        "flag": F.when(F.col("l_linestatus") == "O", "SF").otherwise("S0"),
+        "src_bytes": (F.col("l_quantity") * 100).cast("int"),
+        "dst_bytes": F.col("l_extendedprice").cast("int"),
+        "logged_in": F.when(F.col("l_tax") > 0.04, "1").otherwise("0"),
+        "count": (F.col("l_discount") * 100).cast("int"),
+        "srv_count": F.col("l_linenumber"),
+        "serror_rate": F.col("l_discount"),
+        "rerror_rate": F.col("l_tax"),
+        "dst_host_count": (F.col("l_suppkey") % 256).cast("int"),
+    }
+    defaults = {"int": F.lit(0), "double": F.lit(0.0), "string": F.lit("0")}
+    cols = [derived.get(n, defaults[t]).cast(t).alias(n) for n, t in CONNECTION_FIELDS[:-1]]
+    train = lineitem.filter(F.col("l_linenumber") <= 5).select(*cols, F.concat(base, F.lit(".")).alias("attack_type"))
+    test_label = F.when((rf == "N") & (F.col("l_linenumber") == 7), F.lit("mailbomb")).otherwise(base)
+    test = lineitem.filter(F.col("l_linenumber") > 5).select(*cols, F.concat(test_label, F.lit(".")).alias("attack_type"))
+    return train, test
+
+
+RECORD_TEST_SQL = """
+SELECT CASE WHEN l_returnflag = 'A' THEN 'normal'
+            WHEN l_returnflag = 'R' THEN 'neptune'
+            WHEN l_linenumber = 7 THEN 'mailbomb'
+            ELSE 'smurf' END AS attack_type
+FROM lineitem WHERE l_linenumber > 5
+"""
+
 # --- events: label cleaning / distribution fixtures ------------------------
 EVENT_CATEGORIES = {"normal": ["view", "click", "purchase"], "dos": ["error"]}  # 'signup' -> unknown

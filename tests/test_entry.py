@@ -9,7 +9,7 @@ from tests.conftest import SF_SMALL
 
 FAST = ["confusion_matrix", "per_class_metrics", "overall_metrics", "metrics_by_split", "heatmap_cells",
         "false_normal_attribution", "class_distribution", "category_rollup", "string_index", "one_hot",
-        "assemble_features", "csv_roundtrip", "unseen_class_rows", "matrix_csv_layout"]
+        "assemble_features", "csv_roundtrip", "unseen_class_rows", "matrix_csv_layout", "connection_records_job"]
 
 
 def test_entry_smoke(spark):
