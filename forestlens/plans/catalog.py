@@ -518,12 +518,15 @@ FROM lineitem
 """)
 def q_forest_multiclass_split(spark, sf_dir):
     r = _forest(spark, sf_dir, "x1")
-    e = r.evaluation(checkpoint=True)
-    cells = e.matrix.agg(F.sum("n").alias("scored"),
-                         F.coalesce(F.sum(F.when(F.col("actual") != F.col("predicted"), F.col("n"))), F.lit(0))
-                         .alias("errors")).first()
-    m = e.overall.first()
-    n_train = r.train.count()
+    try:
+        e = r.evaluation(checkpoint=True)
+        cells = e.matrix.agg(F.sum("n").alias("scored"),
+                             F.coalesce(F.sum(F.when(F.col("actual") != F.col("predicted"), F.col("n"))), F.lit(0))
+                             .alias("errors")).first()
+        m = e.overall.first()
+        n_train = r.train.count()
+    finally:
+        r.release()     # the persisted input; a later call re-derives the same splits from the scan
     total = n_train + cells["scored"]
     ratio_ok = total == 0 or abs(n_train / total - 0.8) <= 0.02
     return surface(spark.createDataFrame(
