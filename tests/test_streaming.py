@@ -35,3 +35,24 @@ def test_running_counts_published_to_a_table(spark, tmp_path):
     want = sorted((r["actual"], r["predicted"], r["n"])
                   for r in ev.confusion_counts(fx.rule_predictions(batch)).collect())
     assert got == want
+
+
+def test_scoring_a_stream_with_a_fitted_pipeline(spark):
+    from forestlens.plans import experiments as xp
+    li = fx.table(spark, SF_SMALL, "lineitem")
+    train, test = fx.forest_frames(li)
+    r = xp.x2_unseen_classes(train, test, 3, 4, classes=fx.FOREST_DOMAIN.classes,
+                             train_classes=fx.FOREST_DOMAIN.train_classes,
+                             categorical=fx.FOREST_CATEGORICAL, features=fx.FOREST_FEATURES)
+    stream = scoring.read_record_stream(spark, SF_SMALL, li.schema, glob="lineitem.parquet")
+    _, test_stream = fx.forest_frames(stream)
+    q = scoring.start_running_matrix(scoring.score_stream(r.model, test_stream), "attack_type", "predicted_label",
+                                     "scored_stream_counts")
+    try:
+        q.processAllAvailable()
+        got = sorted((x["actual"], x["predicted"], x["n"]) for x in spark.table("scored_stream_counts").collect())
+    finally:
+        q.stop()
+    want = sorted((x["actual"], x["predicted"], x["n"])
+                  for x in ev.confusion_counts(r.predictions, "attack_type", "predicted_label").collect())
+    assert got == want and sum(n for _, _, n in got) == test.count()
