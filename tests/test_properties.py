@@ -45,3 +45,35 @@ def test_metrics_match_brute_force(spark, rows):
         assert (math.isnan(g_) and math.isnan(w)) or abs(g_ - w) < 1e-12
     dense = ev.confusion_matrix(df, dom).collect()
     assert len(dense) == 16 and sum(r["n"] for r in dense) == len(rows)
+
+
+records = st.lists(st.tuples(st.sampled_from(["x", "y", "z"]), st.integers(0, 3), st.sampled_from(["p", "q"])),
+                   min_size=0, max_size=50)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=records)
+def test_class_counts_match_brute_force(spark, rows):
+    from forestlens.operators import reports
+    df = spark.createDataFrame(rows, "label string, a int, b string")
+    got = {r["label"]: (r["count"], r["dedup_count"]) for r in reports.class_counts(df, "label").collect()}
+    want = {}
+    for lab in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == lab]
+        want[lab] = (len(mine), len(set(mine)))
+    assert got == want
+
+
+cells = st.dictionaries(st.tuples(st.sampled_from(CLASSES), st.sampled_from(CLASSES)), st.integers(1, 10 ** 6),
+                        max_size=16)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(c=cells)
+def test_matrix_csv_round_trip(spark, tmp_path_factory, c):
+    from forestlens.sources import csv as src, sinks
+    dom = ev.ClassDomain.of(CLASSES)
+    counts = spark.createDataFrame([(a, p, n) for (a, p), n in c.items()], "actual string, predicted string, n long")
+    path = sinks.write_confusion_matrix(ev.dense_matrix(counts, dom), dom, str(tmp_path_factory.mktemp("m")))
+    back = {(r["actual"], r["predicted"]): r["n"] for r in src.read_matrix_csv(spark, path).collect()}
+    assert back == {(a, p): c.get((a, p), 0) for a in CLASSES for p in CLASSES}
