@@ -9,7 +9,9 @@ stripped from labels, training records de-duplicated, test records with the
 illegal service value set aside: the test file is converted once to Parquet
 under ``<output-directory>/test_clean`` with ``status=kept`` / ``status=rejected``
 partitions, and the job reads the kept partition.
-Outputs: x1, x2 metrics + matrix; x3 metrics + matrix + triplets; x4 pairs.
+Outputs: x1, x2 metrics + matrix; x3 metrics + matrix + triplets; x4 pairs
+(``--reports``: plus the attribution tables false_normal.csv, correct_anomaly.csv,
+excluded_tail.csv).
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     ap.add_argument("--format", choices=["csv", "parquet"], default="csv")
     ap.add_argument("--seed", type=int, default=42)
     ap.add_argument("--clean", action="store_true", help="strip label periods, de-dup train, set aside illegal rows")
+    ap.add_argument("--reports", action="store_true", help="x4: also write the attribution tables (R3-R5)")
     ns = ap.parse_args(argv)
     need = 4 if ns.job == "x1" else 5
     if len(ns.args) != need:
@@ -60,8 +63,11 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
         return xp.write_outputs(xp.x2_unseen_classes(train, test, trees, depth, seed=ns.seed), out)
     if ns.job == "x3":
         return xp.write_outputs(xp.x3_binary(train, test, trees, depth, seed=ns.seed), out, triplets=True)
-    return xp.write_outputs(xp.x4_binary_on_multiclass(train, test, trees, depth, seed=ns.seed), out,
-                            pairs=True, matrix=False)
+    r = xp.x4_binary_on_multiclass(train, test, trees, depth, seed=ns.seed)
+    paths = xp.write_outputs(r, out, pairs=True, matrix=False)
+    if ns.reports:
+        paths.update(xp.write_attribution_reports(r, out))
+    return paths
 
 
 if __name__ == "__main__":

@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
-from forestlens.operators import clean, evaluate as ev, features as fe, model as mdl, split as sp
+from forestlens.operators import clean, evaluate as ev, features as fe, model as mdl, reports, split as sp
 from forestlens.schema import (
     ALL_CLASSES, BIN_CLASSES, CATEGORICAL_COLUMNS, LABEL_COLUMN, TRAIN_CLASSES, connection_feature_order,
 )
@@ -163,6 +163,30 @@ def write_outputs(result: ExperimentResult, out_dir: str, pairs: bool = False, t
     return paths
 
 
+def attribution_reports(result: ExperimentResult, train_classes: Sequence[str] = TRAIN_CLASSES,
+                        min_errors: int = 20, min_correct: int = 100) -> dict[str, DataFrame]:
+    """The notes' tables after the binary-on-multiclass job (X4): per actual class,
+    rows labeled normal / anomaly (R3, by errors), correct anomalies (R4), and the
+    classes below the error threshold (R5). "In training" refers to the
+    multi-class training classes, which X4 itself never sees."""
+    dom = ev.ClassDomain.of(sorted(set(train_classes)), train_classes)
+    attr = reports.label_attribution(result.predictions, result.config.label, PREDICTED_LABEL, domain=dom)
+    return {"false_normal": reports.false_normal_attribution(attr, min_errors),
+            "correct_anomaly": reports.correct_anomaly_attribution(attr, min_correct),
+            "excluded_tail": reports.excluded_tail(attr, min_errors)}
+
+
+def write_attribution_reports(result: ExperimentResult, out_dir: str, **kw) -> dict[str, str]:
+    """R3-R5 as ``<dir>/<name>.csv`` with headers (class-sized tables, one file each)."""
+    spark = result.predictions.sparkSession
+    paths = {}
+    for name, df in attribution_reports(result, **kw).items():
+        tmp = f"{out_dir.rstrip('/')}/{name}"
+        df.repartition(1).write.mode("overwrite").option("header", True).csv(tmp)
+        paths[name] = sinks.publish_single_file(spark, tmp, f"{tmp}.csv")
+    return paths
+
+
 # --- presets ------------------------------------------------------------------
 
 def x1_multiclass_split(data: DataFrame, num_trees: int = 50, max_depth: int = 20, **kw) -> ExperimentResult:

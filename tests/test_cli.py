@@ -32,8 +32,12 @@ def test_cli_jobs(spark, tmp_path):
     assert float(rows["mailbomb"][ALL_CLASSES.index("smurf")]) == 5.0
     p3 = cli.main(["x3", str(train), str(test), str(tmp_path / "x3"), "3", "4"])
     assert set(p3) == {"metrics", "matrix", "triplets"}
-    p4 = cli.main(["x4", str(train), str(test), str(tmp_path / "x4"), "3", "4"])
-    assert set(p4) == {"pairs"}
+    p4 = cli.main(["x4", str(train), str(test), str(tmp_path / "x4"), "3", "4", "--reports"])
+    assert set(p4) == {"pairs", "false_normal", "correct_anomaly", "excluded_tail"}
+    fn = (tmp_path / "x4" / "false_normal.csv").read_text().splitlines()
+    assert fn[0] == "attack_type,labeled_normal,labeled_anomaly,in_train"
+    tail = (tmp_path / "x4" / "excluded_tail.csv").read_text().splitlines()
+    assert tail[0] == "labels,instances"
     p1 = cli.main(["x1", str(train), str(tmp_path / "x1"), "3", "4"])
     assert set(p1) == {"metrics", "matrix"} and set(p2) == {"metrics", "matrix"}
 
