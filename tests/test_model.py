@@ -68,3 +68,18 @@ def test_x1_split_invariants(spark):
         assert m["precision"] == 1.0 and m["recall"] == 1.0
     finally:
         r.release()
+
+
+def test_x4_attribution_reports(spark, frames):
+    train, test = frames
+    r = xp.x4_binary_on_multiclass(clean.binarize_dataset(train), test, 10, 8, **COMMON)
+    rep = xp.attribution_reports(r, min_errors=20, min_correct=100)
+    assert rep["false_normal"].count() == 0
+    counts = {x["attack_type"]: x["n"] for x in test.groupBy("attack_type").count().withColumnRenamed(
+        "count", "n").collect()}
+    got = {x["attack_type"]: (x["labeled_anomaly"], x["labeled_normal"], x["in_train"])
+           for x in rep["correct_anomaly"].collect()}
+    want = {c: (n, 0, c != "novel") for c, n in counts.items() if c != "normal" and n >= 100}
+    assert got == want
+    tail = rep["excluded_tail"].first()
+    assert (tail["labels"], tail["instances"]) == (0, 0)
