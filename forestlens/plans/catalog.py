@@ -668,3 +668,55 @@ def q_connection_records_job(spark, sf_dir):
     if sorted(r.dropped_constant) != ["is_guest_login", "is_host_login", "land"]:
         raise RuntimeError(f"unexpected constant columns: {r.dropped_constant}")
     return ev.confusion_matrix(r.predictions, r.domain(), r.actual, "predicted_label")
+
+
+# ---------------------------------------------------------------------------
+# One dense matrix per split in one job (E1 with keys, E10's matrices)
+# ---------------------------------------------------------------------------
+
+@register("confusion_matrix_by_split", "E1 E10", f"""
+WITH p AS ({fx.RULE_PREDICTIONS_SQL}),
+c AS (SELECT split, actual, predicted, count(*) AS n FROM p GROUP BY split, actual, predicted),
+s AS (SELECT DISTINCT split FROM p),
+d AS (SELECT * FROM {fx.domain_values_sql(_DOM)})
+SELECT s.split, a.class_idx AS actual_idx, a.class AS actual, b.class_idx AS predicted_idx, b.class AS predicted,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM s CROSS JOIN d a CROSS JOIN d b
+LEFT JOIN c ON c.split = s.split AND c.actual = a.class AND c.predicted = b.class
+""")
+def q_confusion_matrix_by_split(spark, sf_dir):
+    """Dense matrices for every split value: the k^2 grid is generated per distinct
+    split (a class-sized frame) and left-joined to the per-split counts."""
+    return _rule_matrix(spark, sf_dir, keys=["split"])
+
+
+@register("per_class_metrics_by_split", "E3 E5 E7 E9 E10", f"""
+WITH m AS (
+  WITH p AS ({fx.RULE_PREDICTIONS_SQL}),
+  c AS (SELECT split, actual, predicted, count(*) AS n FROM p GROUP BY split, actual, predicted),
+  s AS (SELECT DISTINCT split FROM p),
+  d AS (SELECT * FROM {fx.domain_values_sql(_DOM)})
+  SELECT s.split, a.class_idx AS actual_idx, a.class AS actual, b.class_idx AS predicted_idx, b.class AS predicted,
+         coalesce(c.n, 0) AS n
+  FROM s CROSS JOIN d a CROSS JOIN d b
+  LEFT JOIN c ON c.split = s.split AND c.actual = a.class AND c.predicted = b.class),
+k AS (
+  SELECT m.split, d.class_idx, d.class,
+         sum(CASE WHEN m.actual = d.class THEN n ELSE 0 END) AS support,
+         sum(CASE WHEN m.predicted = d.class THEN n ELSE 0 END) AS predicted_total,
+         sum(CASE WHEN m.actual = d.class AND m.predicted = d.class THEN n ELSE 0 END) AS tp
+  FROM m CROSS JOIN {fx.domain_values_sql(_DOM)} GROUP BY m.split, d.class_idx, d.class),
+r AS (
+  SELECT k.*, CASE WHEN predicted_total = 0 THEN 0.0 ELSE tp / predicted_total END AS precision,
+         CASE WHEN support = 0 THEN NULL ELSE tp / support END AS recall,
+         support / sum(support) OVER (PARTITION BY split) AS class_ratio
+  FROM k)
+SELECT split, class_idx, class, CAST(support AS BIGINT) AS support, CAST(predicted_total AS BIGINT) AS predicted_total,
+       CAST(tp AS BIGINT) AS tp, {_sql_round('precision')} AS precision, {_sql_round('recall')} AS recall,
+       {_sql_round('CASE WHEN precision + recall = 0 THEN NULL ELSE 2 * precision * recall / (precision + recall) END')}
+         AS f1,
+       {_sql_round('class_ratio')} AS class_ratio
+FROM r
+""")
+def q_per_class_metrics_by_split(spark, sf_dir):
+    return surface(ev.per_class_metrics(_rule_matrix(spark, sf_dir, keys=["split"]), keys=["split"]))

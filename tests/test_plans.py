@@ -8,7 +8,7 @@ from tests.plan_shape import ancestors, formatted, joins_above_raw_scans, plan_t
 PLAN_QUERIES = ["confusion_matrix", "per_class_metrics", "overall_metrics", "false_normal_attribution",
                 "correct_anomaly_attribution", "excluded_tail", "unseen_class_rows", "class_distribution",
                 "category_rollup", "dedup_rows", "quarantine", "union_all_vocab", "string_index", "one_hot",
-                "assemble_features"]
+                "assemble_features", "confusion_matrix_by_split", "per_class_metrics_by_split"]
 
 
 @pytest.mark.parametrize("name", PLAN_QUERIES)
