@@ -14,8 +14,17 @@ from pyspark.sql import functions as F
 from forestlens.operators.evaluate import ClassDomain
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The table's DataFrame, one handle per session and path: file listing and
+    schema resolution happen once, later queries reuse the (immutable) handle."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.conf.get("spark.app.id", None) or id(spark), path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 # --- noisy rule predictions on lineitem (evaluation queries) ----------------
