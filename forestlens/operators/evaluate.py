@@ -159,6 +159,15 @@ def dense_matrix(counts: DataFrame, domain: ClassDomain, keys: Sequence[str] | s
         # After the domain check every count row is a distinct domain pair, so the
         # counts side has at most k^2 rows: a proven bound, broadcast it.
         joined = grid.join(F.broadcast(counts), on=on, how="left")
+    elif keys:
+        # Key values may be NULL (a split with no id): match them null-safely.
+        g, c = grid.alias("_g"), counts.alias("_c")
+        cond = [F.col(f"_g.{k}").eqNullSafe(F.col(f"_c.{k}")) for k in keys] + [
+            F.col("_g.actual") == F.col("_c.actual"), F.col("_g.predicted") == F.col("_c.predicted")]
+        joined = g.join(c, on=cond, how="left").select(
+            *[F.col(f"_g.{k}").alias(k) for k in keys],
+            *[F.col(f"_g.{x}").alias(x) for x in ("actual_idx", "actual", "predicted_idx", "predicted")],
+            F.col("_c.n").alias("n"))
     else:
         joined = grid.join(counts, on=on, how="left")
     return joined.select(*keys, "actual_idx", "actual", "predicted_idx", "predicted",

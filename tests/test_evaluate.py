@@ -100,3 +100,12 @@ def test_domain_guards():
         ev.ClassDomain.of(["a", "a"])
     with pytest.raises(ValueError):
         ev.ClassDomain(tuple(str(i) for i in range(5000)))
+
+
+def test_null_split_key_keeps_its_counts(spark):
+    dom = ev.ClassDomain.of(["a", "b"])
+    rows = [(None, "a", "a"), (None, "a", "b"), (1, "b", "b")]
+    pred = spark.createDataFrame(rows, "s int, actual string, predicted string")
+    m = ev.confusion_matrix(pred, dom, keys="s").collect()
+    assert len(m) == 8 and sum(r["n"] for r in m) == 3
+    assert {(r["s"], r["actual"], r["predicted"]): r["n"] for r in m}[(None, "a", "b")] == 1
