@@ -345,8 +345,14 @@ def q_split_invariants(spark, sf_dir):
     base, (train, test) = sp.persisted_split(li, (0.8, 0.2), 42)
     try:
         total = base.count()
-        n_train, n_test = train.count(), test.count()
-        overlap = train.join(test, "row_key", "inner").count()
+        # Both split sizes and the overlap in one aggregate: keys are unique in
+        # the base, so covered - distinct keys counts rows present in both splits.
+        tagged = train.select("row_key", F.lit(0).alias("s")).union(test.select("row_key", F.lit(1).alias("s")))
+        row = tagged.agg(F.count(F.lit(1)).alias("covered"), F.sum("s").alias("n_test"),
+                         F.count_distinct("row_key").alias("keys")).first()
+        n_test = row["n_test"] or 0
+        n_train = row["covered"] - n_test
+        overlap = row["covered"] - row["keys"]
     finally:
         sp.release(base)
     ratio_ok = total == 0 or abs(n_train / total - 0.8) <= 0.02
