@@ -70,5 +70,12 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     return paths
 
 
+def run() -> int:
+    """Console entry point: run the job, print the written paths, exit 0."""
+    for name, path in main(sys.argv[1:]).items():
+        print(f"{name}\t{path}")
+    return 0
+
+
 if __name__ == "__main__":
-    print(main(sys.argv[1:]))
+    sys.exit(run())
