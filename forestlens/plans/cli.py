@@ -1,7 +1,7 @@
 """Command line for the four jobs, with the study's argument lists:
 
-  spark-submit forestlens/plans/cli.py x1 input-file output-directory num-trees max-depth
-  spark-submit forestlens/plans/cli.py x2|x3|x4 train-file test-file output-directory num-trees max-depth
+  spark-submit jobs.py x1 input-file output-directory num-trees max-depth
+  spark-submit jobs.py x2|x3|x4 train-file test-file output-directory num-trees max-depth
 
 Inputs are headerless connection-record CSV (``--format parquet`` for Parquet).
 ``--clean`` applies the study's preprocessing to raw files: trailing period
