@@ -190,18 +190,17 @@ def per_class_metrics(matrix: DataFrame, keys: Sequence[str] | str | None = None
     to its row class (support, tp) and to its column class (predicted_total); one
     aggregate over the k^2 cells gives all sums."""
     keys = _cols(keys)
-    if "actual_idx" not in matrix.columns:      # sparse counts: no indices, classes by name
-        matrix = matrix.withColumn("actual_idx", F.lit(None).cast("int")) \
-                       .withColumn("predicted_idx", F.lit(None).cast("int"))
-    contrib = matrix.select(*keys, F.explode(F.array(
-        F.struct(F.col("actual_idx").alias("class_idx"), F.col("actual").alias("class"),
-                 F.col("n").alias("support"),
-                 F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp"),
-                 F.lit(0).cast("long").alias("predicted_total")),
-        F.struct(F.col("predicted_idx").alias("class_idx"), F.col("predicted").alias("class"),
-                 F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("tp"),
-                 F.col("n").alias("predicted_total")),
-    )).alias("c")).select(*keys, "c.*")
+    sparse = "actual_idx" not in matrix.columns     # sparse counts: no indices, classes by name
+    a_idx = F.lit(None).cast("int") if sparse else F.col("actual_idx")
+    p_idx = F.lit(None).cast("int") if sparse else F.col("predicted_idx")
+    zero = F.lit(0).cast("long")
+    n = F.col("n").cast("long")
+    contrib = matrix.select(*keys, F.inline(F.array(
+        F.struct(a_idx.alias("class_idx"), F.col("actual").alias("class"), n.alias("support"),
+                 F.when(F.col("actual") == F.col("predicted"), n).otherwise(zero).alias("tp"),
+                 zero.alias("predicted_total")),
+        F.struct(p_idx.alias("class_idx"), F.col("predicted").alias("class"), zero.alias("support"),
+                 zero.alias("tp"), n.alias("predicted_total")))))
     sums = contrib.groupBy(*keys, "class_idx", "class").agg(
         F.sum("support").alias("support"), F.sum("tp").alias("tp"), F.sum("predicted_total").alias("predicted_total"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -209,15 +208,13 @@ def per_class_metrics(matrix: DataFrame, keys: Sequence[str] | str | None = None
     tp = F.col("tp").cast("double")
     precision = F.when(F.col("predicted_total") == 0, F.lit(0.0)).otherwise(tp / F.col("predicted_total"))
     recall = F.when(F.col("support") == 0, F.lit(NAN)).otherwise(tp / F.col("support"))
-    out = sums.withColumn("_total", total).select(
+    # f1 reuses the two expressions; Catalyst evaluates common subexpressions once
+    f1 = F.when(precision + recall == 0, F.lit(NAN)).otherwise(
+        F.lit(2.0) * ((precision * recall) / (precision + recall)))
+    return sums.select(
         *keys, "class_idx", "class", "support", "predicted_total", "tp",
-        precision.alias("precision"), recall.alias("recall"),
-        F.when(F.col("_total") > 0, F.col("support") / F.col("_total")).alias("class_ratio"))
-    p, r = F.col("precision"), F.col("recall")
-    f1 = F.when(p + r == 0, F.lit(NAN)).otherwise(F.lit(2.0) * ((p * r) / (p + r)))
-    return out.withColumn("f1", f1).select(
-        *keys, "class_idx", "class", "support", "predicted_total", "tp",
-        "precision", "recall", "f1", "class_ratio")
+        precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
+        F.when(total > 0, F.col("support") / total).alias("class_ratio"))
 
 
 # --- E4/E6/E8/E10 -----------------------------------------------------------
