@@ -87,10 +87,20 @@ class ClassDomain:
             return F.lit(True)
         return F.coalesce(F.array_contains(self._names_array(sorted(self.train_classes)), col), F.lit(False))
 
-    def class_structs(self) -> Column:
-        return F.expr("array(" + ", ".join(
+    def _structs_sql(self) -> str:
+        return "array(" + ", ".join(
             f"named_struct('idx', {i}, 'name', {sql_string(c)}, 'seen', {'true' if self.seen(c) else 'false'})"
-            for i, c in enumerate(self.classes)) + ")")
+            for i, c in enumerate(self.classes)) + ")"
+
+    def class_structs(self) -> Column:
+        return F.expr(self._structs_sql())
+
+    def cell_structs(self) -> Column:
+        """All k^2 (actual, predicted) cells, built at run time from the k-class
+        literal by nested ``transform`` (no k^2-sized literal in the plan)."""
+        d = self._structs_sql()
+        return F.expr(f"flatten(transform({d}, a -> transform({d}, p -> named_struct("
+                      "'actual_idx', a.idx, 'actual', a.name, 'predicted_idx', p.idx, 'predicted', p.name))))")
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         """``(class_idx int, class string, in_train boolean)``."""
@@ -136,7 +146,7 @@ def dense_matrix(counts: DataFrame, domain: ClassDomain, keys: Sequence[str] | s
     """Dense long matrix ``(keys..., actual_idx, actual, predicted_idx, predicted, n)``
     with every domain cell present (zeros kept) for each key value seen.
 
-    The k^2 grid is produced by two generators over the (tiny) distinct key rows,
+    The k^2 grid is produced by one generator over the (tiny) distinct key rows,
     then left-joined to the aggregated counts: no join touches raw rows."""
     # Outer joins can only broadcast the non-preserved side, here the counts.
     keys = _cols(keys)
@@ -148,12 +158,7 @@ def dense_matrix(counts: DataFrame, domain: ClassDomain, keys: Sequence[str] | s
         base = counts.select(*keys).distinct()
     else:
         base = counts.sparkSession.range(0, 1, 1, 1).select(F.lit(0).alias("_one"))
-    structs = domain.class_structs()
-    grid = (base.select(*keys, F.explode(structs).alias("_a"))
-            .select(*keys, "_a", F.explode(structs).alias("_p"))
-            .select(*keys,
-                    F.col("_a.idx").alias("actual_idx"), F.col("_a.name").alias("actual"),
-                    F.col("_p.idx").alias("predicted_idx"), F.col("_p.name").alias("predicted")))
+    grid = base.select(*keys, F.inline(domain.cell_structs()))
     on = [*keys, "actual", "predicted"]
     if on_unknown == "error" and not keys and len(domain) <= GRID_BROADCAST_MAX_CLASSES:
         # After the domain check every count row is a distinct domain pair, so the
