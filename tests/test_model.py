@@ -83,3 +83,16 @@ def test_x4_attribution_reports(spark, frames):
     assert got == want
     tail = rep["excluded_tail"].first()
     assert (tail["labels"], tail["instances"]) == (0, 0)
+
+
+def test_deep_trees_use_node_id_cache_and_checkpoints(spark, frames):
+    """Depth >= 15 switches on node-id caching with checkpoints in the session's
+    checkpoint folder (the study's jobs use depth 20)."""
+    train, test = frames
+    r = xp.x2_unseen_classes(train, test, 5, 16, classes=fx.FOREST_DOMAIN.classes,
+                             train_classes=fx.FOREST_DOMAIN.train_classes, **COMMON)
+    clf = r.model.stages[-2]
+    assert clf.getOrDefault("cacheNodeIds") and clf.getOrDefault("checkpointInterval") == 10
+    wrong = r.predictions.filter(
+        F.col("predicted_label") != F.when(F.col("attack_type") == "novel", "smurf").otherwise(F.col("attack_type")))
+    assert wrong.count() == 0
