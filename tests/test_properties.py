@@ -77,3 +77,20 @@ def test_matrix_csv_round_trip(spark, tmp_path_factory, c):
     path = sinks.write_confusion_matrix(ev.dense_matrix(counts, dom), dom, str(tmp_path_factory.mktemp("m")))
     back = {(r["actual"], r["predicted"]): r["n"] for r in src.read_matrix_csv(spark, path).collect()}
     assert back == {(a, p): c.get((a, p), 0) for a in CLASSES for p in CLASSES}
+
+
+labels = st.lists(st.one_of(st.none(), st.text(alphabet="ab.'\\\\ ", max_size=6)), min_size=1, max_size=20)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=labels)
+def test_strip_and_binarize_semantics(spark, values):
+    from forestlens.functions import binarize, strip_suffix
+    df = spark.createDataFrame([(v,) for v in values], "l string")
+    rows = df.select(strip_suffix("l").alias("s"), binarize(strip_suffix("l")).alias("b"),
+                     binarize(binarize(strip_suffix("l"))).alias("bb")).collect()
+    for v, r in zip(values, rows):
+        want = None if v is None else (v[:-1] if v.endswith(".") else v)
+        assert r["s"] == want
+        assert r["b"] == (None if want is None else ("normal" if want == "normal" else "anomaly"))
+        assert r["bb"] == r["b"]

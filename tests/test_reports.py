@@ -63,3 +63,11 @@ def test_heatmap_cells(spark):
     assert cells[("back", "pod")]["opacity"] == 0.0
     m = cells[("mailbomb", "normal")]
     assert (m["x"], m["y"], m["actual_in_train"], m["predicted_in_train"]) == (22, 25, False, True)
+
+
+def test_category_map_with_names_needing_escapes(spark):
+    from forestlens.functions import category_of
+    cmap = {"odd": ["it's", "back\\slash"], "plain": ["x"]}
+    df = spark.createDataFrame([("it's",), ("back\\slash",), ("x",), ("y",), (None,)], "c string")
+    got = [r[0] for r in df.select(category_of("c", cmap)).collect()]
+    assert got == ["odd", "odd", "plain", "unknown", "unknown"]
