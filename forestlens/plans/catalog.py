@@ -726,3 +726,17 @@ FROM r
 """)
 def q_per_class_metrics_by_split(spark, sf_dir):
     return surface(ev.per_class_metrics(_rule_matrix(spark, sf_dir, keys=["split"]), keys=["split"]))
+
+
+_X3_PRED_SQL = f"""
+SELECT CASE WHEN attack_type = 'normal' THEN 'normal' ELSE 'anomaly' END AS actual,
+       CASE WHEN attack_type = 'normal' THEN 'normal' ELSE 'anomaly' END AS predicted
+FROM ({fx.FOREST_TEST_SQL}) te
+"""
+
+
+@register("forest_binary_matrix", "X3 E1", _dense_sql(_X3_PRED_SQL, fx.FOREST_BIN_DOMAIN))
+def q_forest_binary_matrix(spark, sf_dir):
+    """X3's matrix: binarized actual labels against the binary model's predictions."""
+    r = _forest(spark, sf_dir, "x3")
+    return ev.confusion_matrix(r.predictions, r.domain(), r.actual, "predicted_label")
