@@ -109,3 +109,9 @@ def test_null_split_key_keeps_its_counts(spark):
     m = ev.confusion_matrix(pred, dom, keys="s").collect()
     assert len(m) == 8 and sum(r["n"] for r in m) == 3
     assert {(r["s"], r["actual"], r["predicted"]): r["n"] for r in m}[(None, "a", "b")] == 1
+
+
+def test_domain_frame(spark):
+    dom = ev.ClassDomain.of(["x", "y", "z"], train_classes=["x", "z"])
+    rows = [(r["class_idx"], r["class"], r["in_train"]) for r in dom.to_df(spark).orderBy("class_idx").collect()]
+    assert rows == [(0, "x", True), (1, "y", False), (2, "z", True)]

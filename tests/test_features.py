@@ -36,3 +36,11 @@ def test_assembler_and_slot_sums(spark):
     assert sums == {0: 6.0, 1: 2.0}
     with pytest.raises(Exception):
         fe.assembler(["q"]).transform(spark.createDataFrame([(None,)], "q double")).collect()
+
+
+def test_single_column_mini_pipeline(spark):
+    df = spark.createDataFrame([("tcp",), ("udp",), ("tcp",), ("icmp",)], "protocol_type string")
+    out = fe.column_one_hot_pipeline("protocol_type").fit(df).transform(df)
+    vecs = {r["protocol_type"]: r["protocol_type_vec"].toArray().tolist() for r in out.collect()}
+    # tcp most frequent -> index 0; icmp/udp tie -> alphabetical; last one dropped
+    assert vecs == {"tcp": [1.0, 0.0], "icmp": [0.0, 1.0], "udp": [0.0, 0.0]}
