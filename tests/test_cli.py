@@ -57,3 +57,17 @@ def test_cli_clean_raw_files(spark, tmp_path):
     rejected = staged.filter("status = 'rejected'").collect()
     assert len(rejected) == 1 and rejected[0]["service"] == "icmp"
     assert staged.filter("status = 'kept'").count() == 30
+
+
+def test_cli_parquet_inputs(spark, tmp_path):
+    from forestlens.sources.csv import read_connections
+    train_csv, test_csv = tmp_path / "train.csv", tmp_path / "test.csv"
+    train_csv.write_text(_records(60))
+    test_csv.write_text(_records(30, novel=True))
+    read_connections(spark, str(train_csv)).write.parquet(str(tmp_path / "train.parquet"))
+    read_connections(spark, str(test_csv)).write.parquet(str(tmp_path / "test.parquet"))
+    paths = cli.main(["x2", str(tmp_path / "train.parquet"), str(tmp_path / "test.parquet"), str(tmp_path / "out"),
+                      "3", "4", "--format", "parquet"])
+    matrix = (tmp_path / "out" / "matrix.csv").read_text().splitlines()
+    assert set(paths) == {"metrics", "matrix"}
+    assert sum(float(v) for line in matrix[1:] for v in line.split(",")[1:]) == 30.0
