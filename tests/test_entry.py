@@ -8,8 +8,11 @@ import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
 
 FAST = ["confusion_matrix", "per_class_metrics", "overall_metrics", "metrics_by_split", "heatmap_cells",
-        "false_normal_attribution", "class_distribution", "category_rollup", "string_index", "one_hot",
-        "assemble_features", "csv_roundtrip", "unseen_class_rows", "matrix_csv_layout", "connection_records_job"]
+        "false_normal_attribution", "correct_anomaly_attribution", "excluded_tail", "class_distribution",
+        "category_rollup", "string_index", "one_hot", "assemble_features", "csv_roundtrip", "unseen_class_rows",
+        "matrix_csv_layout", "connection_records_job", "confusion_matrix_by_split", "per_class_metrics_by_split",
+        "dedup_rows", "dedup_documents", "document_distribution", "strip_label_suffix", "quarantine",
+        "binarize_label", "union_all_vocab", "split_invariants", "stream_confusion_counts"]
 
 
 def test_entry_smoke(spark):
@@ -33,7 +36,7 @@ def _norm(v):
 @pytest.mark.parametrize("name", FAST)
 def test_query_matches_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "events", "part"):
+    for t in ("lineitem", "events", "part", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     df = entry.queries()[name](spark, SF_SMALL)
     cols = sorted(df.columns)
