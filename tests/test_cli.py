@@ -53,6 +53,10 @@ def test_cli_clean_raw_files(spark, tmp_path):
     matrix = (tmp_path / "out" / "matrix.csv").read_text().splitlines()
     total = sum(float(v) for line in matrix[1:] for v in line.split(",")[1:])
     assert total == 30.0 and set(paths) == {"metrics", "matrix"}
+    p1 = cli.main(["x1", str(train), str(tmp_path / "x1"), "3", "4", "--clean"])
+    m1 = (tmp_path / "x1" / "matrix.csv").read_text().splitlines()
+    # 60 distinct records after de-duplicating the doubled file; the 80/20 split scores the rest
+    assert set(p1) == {"metrics", "matrix"} and 0 < sum(float(v) for line in m1[1:] for v in line.split(",")[1:]) < 60
     staged = spark.read.parquet(str(tmp_path / "out" / "test_clean"))
     rejected = staged.filter("status = 'rejected'").collect()
     assert len(rejected) == 1 and rejected[0]["service"] == "icmp"
