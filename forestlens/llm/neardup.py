@@ -20,9 +20,9 @@ Texts of the same words are one node from the start: copies are never compared.
 
 Classes are the connected components of the verified links.
 
-Defined results: a text without words (null, empty) is in a class of its own; a null id is the
-largest id; rows that share an id are one document's rows and get one class each by their
-text; ties keep the smallest id; an empty table gives no rows. Other columns are never read."""
+Defined results: texts without words (null, empty, white space) are copies of each other and like
+no other text; a null id is the largest id; rows that share an id get a class each by
+their text; ties keep the smallest id; an empty table gives no rows. Other columns are never read."""
 
 from __future__ import annotations
 
@@ -214,8 +214,8 @@ def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndar
     return float(common / (w1.sum() + w2.sum() - common))
 
 
-def sequence_hashes(data: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
-    """128 bits that tell word sequences apart, per document; None without words."""
+def sequence_hashes(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """128 bits that tell word sequences apart, per document."""
     starts, ends, doc = textops.words(data, offsets)
     word = textops.span_hashes(data, starts, ends, nocase=True)
     counts = np.bincount(doc, minlength=len(offsets) - 1)
@@ -226,13 +226,13 @@ def sequence_hashes(data: np.ndarray, offsets: np.ndarray) -> list[bytes | None]
         prefix = np.zeros(len(doc) + 1, np.uint64)
         np.cumsum(textops.mix(word + textops.mix(place + np.uint64(salt))), out=prefix[1:])
         halves.append(textops.mix(prefix[first + counts] - prefix[first] + counts.astype(np.uint64)))
-    return [pair.tobytes() if c else None for pair, c in zip(np.stack(halves, 1).astype("<u8"), counts)]
+    return [pair.tobytes() for pair in np.stack(halves, 1).astype("<u8")]
 
 
 # --- the operator -------------------------------------------------------------------
 
 def signatures(docs: DataFrame, weights, doc_id: str, text: str) -> DataFrame:
-    """``doc, words`` (hash of the word sequence, null without words) and ``sig`` (samples) per row."""
+    """``doc, words`` (hash of the word sequence) and ``sig`` (samples, null without words) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
@@ -338,21 +338,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, idf_span: float = 0.25, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, words, class, class_words`` per row of ``docs``: class is the smallest id of the row's
-    near-duplicate group; ``words`` tells texts apart (null without words), ``class_words`` is
+    near-duplicate group; ``words`` tells texts apart, ``class_words`` is
     that of the text that stands for the class."""
     spark = docs.sparkSession
     ranges = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     hashes, frequencies, least = frequent_shingles(docs, text, ranges)
     weights = spark.sparkContext.broadcast(Weights(hashes, frequencies, least, docs.count(), idf_span))
     rows = materialize(signatures(docs, weights, doc_id, text), "neardup-signatures")
-    nodes = materialize(rows.filter("words is not null").groupBy("words").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig")).select(
+    nodes = materialize(rows.groupBy("words").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig")).select(
         F.xxhash64("words").alias("node"), "words", "rep", "sig"), "neardup-nodes")
     found = links(nodes, docs.select(id_key(doc_id).alias("doc"), cell(text).alias("text")), weights, threshold)
     grouped = nodes.join(components(found), "node", "left").select("words", "rep", F.coalesce("class", "node").alias("group"))
     grouped = materialize(grouped, "neardup-groups")
     smallest = grouped.groupBy("group").agg(F.min(F.struct("rep", "words")).alias("l"))
     of = grouped.join(smallest, "group").select(F.col("words").alias("of"), F.col("l.rep").alias("class"), F.col("l.words").alias("class_words"))
-    return rows.join(of, F.col("words") == F.col("of"), "left").select("doc", "words", F.coalesce("class", "doc").alias("class"), "class_words")
+    return rows.join(of, F.col("words") == F.col("of")).select("doc", "words", "class", "class_words")
 
 
 @F.arrow_udf(T.BinaryType())
@@ -361,12 +361,12 @@ def word_sequence(texts: pa.Array) -> pa.Array:
 
 
 def distinct_documents(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their class. Rows without words all stay.
+    """The rows of ``docs`` that stand for their class.
 
     An id with one row is judged by id alone. Only where several rows share an id are
     their words told apart, and of rows alike in id and words one stays."""
     classes = materialize(near_duplicates(docs, threshold, doc_id=doc_id, text=text, **options), "neardup-result")
-    first = (F.col("doc") == F.col("class")) & F.col("words").eqNullSafe(F.col("class_words"))
+    first = (F.col("doc") == F.col("class")) & (F.col("words") == F.col("class_words"))
     ids = materialize(classes.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.max(first).alias("stays")), "neardup-ids")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key(doc_id).alias("of"), cell(text).alias("own_text"))
     single = ids.filter("n = 1 and stays").select("doc").hint("shuffle_hash")
@@ -374,8 +374,7 @@ def distinct_documents(docs: DataFrame, threshold: float = 0.8, doc_id: str = "d
     shared = ids.filter("n > 1").select("doc")
     if not shared.isEmpty():
         told = rows.join(shared, F.col("of") == F.col("doc"), "left_semi").select("row", "of", word_sequence("own_text").alias("own"))
-        once = told.filter("own is not null").groupBy("of", "own").agg(F.first("row").alias("row"))
-        stand = classes.filter(first & F.col("words").isNotNull()).select("doc", "words").distinct()
+        once = told.groupBy("of", "own").agg(F.first("row").alias("row"))
+        stand = classes.filter(first).select("doc", "words").distinct()
         kept = kept.union(once.join(stand, (F.col("of") == F.col("doc")) & (F.col("own") == F.col("words")), "left_semi").select("row"))
-        kept = kept.union(told.filter("own is null").select("row"))
     return kept.select("row.*")
