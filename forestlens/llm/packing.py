@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from forestlens.llm import textops
 from forestlens.llm.common import cell, materialize
 from forestlens.llm.tokens import encoder
 
@@ -35,32 +36,25 @@ SALT_ROWS = 20_000             # aimed-at rows per salted part of a class, if al
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int, doc_id: str, text: str) -> DataFrame:
     """``id, start, length, doc_tokens, ids`` (little-endian unsigned 32-bit bytes) per piece."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).cast(pa.large_binary())
-            lo = 0
-            while lo < len(texts):
-                group, total = [], 0
-                while lo + len(group) < len(texts) and (not group or total < GROUP_BYTES):
-                    group.append(texts[lo + len(group)].as_py())
-                    total += len(group[-1])
+            for lo, _, data, offsets in textops.slices(batch.column(1), GROUP_BYTES):
                 at, starts, lengths, tokens, ids = [], [], [], [], []
-                for i, own in enumerate(encode(group)):
-                    own += end
-                    n = len(own) // 4
-                    for s in range(0, n, size):
+                for i, own in enumerate(encode(data, offsets)):
+                    own = np.append(own, end)
+                    for s in range(0, len(own), size):
+                        piece = own[s:s + size]
                         at.append(lo + i)
                         starts.append(s)
-                        lengths.append(min(size, n - s))
-                        tokens.append(n)
-                        ids.append(own[4 * s:4 * (s + size)])
+                        lengths.append(len(piece))
+                        tokens.append(len(own))
+                        ids.append(piece.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(at, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()),
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()),
                      pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())], ["id", "start", "length", "doc_tokens", "ids"])
-                lo += len(group)
 
     schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType)] + [
         T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens")] + [T.StructField("ids", T.BinaryType())])

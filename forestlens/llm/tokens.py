@@ -1,70 +1,100 @@
 """Token ids of whole texts with a public tokenizer file, fast for repeated words.
 
-The tokenizer splits at white space before anything else, so a text's ids are those of its
-white-space separated chunks in order. Chunks are encoded once and kept; plain chunks are
-first cut into the pieces that the tokenizer itself would cut them into, which repeat more.
-Chunks outside plain Latin text (or with special tokens) go to the tokenizer whole."""
+The tokenizer drops white space and cuts what is between into runs of letters, single digits
+and runs of other characters before it looks at its vocabulary, and it folds case. So the ids of a
+text are those of these units in order. Units are found, and told apart by 64-bit hashes, for a whole
+slice of texts at once; each distinct one is encoded by the tokenizer once and kept. A chunk between
+white space that holds anything but plain Latin text (other scripts, marks, control
+characters, apostrophes, special tokens) is one unit, left to the tokenizer whole."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
-KEPT_CHUNKS = 400_000          # entries kept per worker process; a full cache is started anew
-_PLAIN = regex.compile(r"[\x21-\x7eÀ-įı-ž]+")
-# How the file's own pre-tokenizer cuts a chunk (fixed pattern, upper case admitted).
-_PIECES = regex.compile(r"'[sStTmMdD]|'[rR][eE]|'[vV][eE]|'[lL][lL]|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+from forestlens.llm import textops
+
+KEPT = 600_000                 # units that a worker process keeps; beyond, those of the current slice stay
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+# Bytes that make a chunk odd: control characters, the apostrophe, leads of all but U+00C0..U+017F.
+_ODD = np.zeros(256, bool)
+_ODD[[*range(0x20), 0x27, 0x7F, *range(0xC0, 0x100)]] = True
+_ODD[[0xC3, 0xC4, 0xC5]] = False
+_ODD |= textops.SPACE
+# Pairs that do: multiplication and division signs, dotted capital I, the opening of a special token.
+_ODD_PAIRS = [b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0", b"<|"]
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.units: dict[bytes, bytes] = {}
 
-    def encode_new(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def encode_each(self, units: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)
+        self.units.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(units, found))
 
-    def encode_pieces(self, parts: list[str]) -> None:
-        """Encode unknown pieces, many to a call: joined by spaces, then cut where a word ends."""
+    def encode_plain(self, units: list[bytes]) -> None:
+        """Many plain units to a call: joined by spaces, the ids cut where the tokenizer's words end."""
         step = 256
-        groups = [parts[i:i + step] for i in range(0, len(parts), step)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
+        groups = [units[i:i + step] for i in range(0, len(units), step)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4").tobytes()
             word = np.array([-1 if w is None else w for w in e.word_ids])
-            if len(ids) and word.min() >= 0 and word.max() + 1 == len(group):
-                edges = np.searchsorted(word, np.arange(len(group) + 1))
-                for p, a, b in zip(group, edges[:-1], edges[1:]):
-                    self.pieces[p] = ids[a:b].tobytes()
-            else:                       # a piece that isn't one word of the tokenizer
-                self.pieces.update(zip(group, self.encode_new(group)))
-
-    def learn(self, chunks: Iterable[bytes]) -> None:
-        plain, other = {}, []
-        for c in chunks:
-            s = c.decode()
-            if _PLAIN.fullmatch(s) and "<|" not in s:
-                plain[c] = _PIECES.findall(s)
-            else:
-                other.append(c)
-        new = list({p for own in plain.values() for p in own} - self.pieces.keys())
-        self.encode_pieces(new)
-        for c, own in plain.items():
-            self.chunks[c] = b"".join(map(self.pieces.__getitem__, own))
-        self.chunks.update(zip(other, self.encode_new([c.decode() for c in other])))
+            if len(word) and word.min() >= 0 and word.max() + 1 == len(group):
+                edges = (4 * np.searchsorted(word, np.arange(len(group) + 1))).tolist()
+                self.units.update((u, ids[a:b]) for u, a, b in zip(group, edges, edges[1:]))
+            else:                       # a unit that isn't one word of the tokenizer
+                self.encode_each(group)
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit bytes."""
-        split = [t.split() for t in texts]
-        if len(self.chunks) > KEPT_CHUNKS:
-            self.chunks, self.pieces = {}, {}
-        self.learn(set().union(*split) - self.chunks.keys())
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a slice."""
+        n_docs = len(offsets) - 1
+        chunk_starts, chunk_ends, _ = textops.words(data, offsets)
+        if not len(chunk_starts):
+            return [np.zeros(0, "<u4")] * n_docs
+        odd_byte = _ODD[data]
+        for a, b in _ODD_PAIRS:
+            odd_byte[:-1] |= (data[:-1] == a) & (data[1:] == b)
+        total = np.concatenate([[0], np.cumsum(odd_byte)])
+        odd_chunk = total[chunk_ends] > total[chunk_starts]
+        # a unit begins with its chunk and, in plain chunks, where the class changes or at any digit
+        kind = _CLASS[data]
+        begins = np.zeros(len(data), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        in_plain = np.zeros(len(data) + 1, np.int8)
+        in_plain[chunk_starts[~odd_chunk]] += 1
+        in_plain[chunk_ends[~odd_chunk]] -= 1
+        begins &= np.cumsum(in_plain[:-1], dtype=np.int8) > 0
+        begins[chunk_starts] = True
+        starts = np.flatnonzero(begins)
+        chunk = np.searchsorted(chunk_starts, starts, "right") - 1
+        ends = np.minimum(np.append(starts[1:], len(data)), chunk_ends[chunk])
+        odd = odd_chunk[chunk]
+        h = textops.span_hashes(data, starts, ends, nocase=True)
+        if odd.any():
+            h[odd] = textops.span_hashes(data, starts[odd], ends[odd]) + np.uint64(1)
+        _, at, which = np.unique(h, return_index=True, return_inverse=True)
+        raw, folded = data.tobytes(), data.tobytes().lower()
+        units = [raw[a:b] if o else folded[a:b] for a, b, o in zip(starts[at].tolist(), ends[at].tolist(), odd[at].tolist())]
+        if len(self.units) > KEPT:
+            self.units = {u: self.units[u] for u in units if u in self.units}
+        new = [(u, o) for u, o in zip(units, odd[at].tolist()) if u not in self.units]
+        self.encode_plain([u for u, o in new if not o])
+        self.encode_each([u for u, o in new if o])
+        found = [self.units[u] for u in units]
+        pool = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        n = size[which]
+        places = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(first[which] - places[:-1], n) + np.arange(places[-1])]
+        edges = places[np.searchsorted(starts, offsets)]
+        return [ids[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
 
 def encoder(path: str) -> Encoder:
