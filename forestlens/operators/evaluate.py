@@ -17,15 +17,13 @@ Overall metrics of an empty input are NULL (the study gives NaN / throws).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NAN = float("nan")
-# Largest domain for which the checked counts (at most k^2 rows) are broadcast explicitly.
-GRID_BROADCAST_MAX_CLASSES = 1000
 
 
 def sql_string(value: str) -> str:
@@ -37,12 +35,11 @@ def sql_string(value: str) -> str:
 class ClassDomain:
     """Ordered class list (matrix order) plus the classes seen in training.
 
-    The domain is a driver-side list whose size is checked here; expressions built
-    from it are O(k) literals, and the dense grid it generates has k^2 rows."""
+    Expressions built from it are O(k) literals (lookups by hash set); the dense grid it
+    generates has k^2 rows and is streamed, never held as one array."""
 
     classes: tuple[str, ...]
     train_classes: frozenset[str] | None = None
-    max_classes: int = field(default=4096, compare=False)
 
     def __post_init__(self):
         classes = tuple(self.classes)
@@ -51,8 +48,6 @@ class ClassDomain:
             raise ValueError("class domain is empty")
         if len(set(classes)) != len(classes):
             raise ValueError("class domain has duplicates")
-        if len(classes) > self.max_classes:
-            raise ValueError(f"class domain has {len(classes)} classes, above the limit {self.max_classes}")
         if self.train_classes is not None:
             object.__setattr__(self, "train_classes", frozenset(self.train_classes))
 
@@ -66,26 +61,14 @@ class ClassDomain:
     def seen(self, c: str) -> bool:
         return True if self.train_classes is None else c in self.train_classes
 
-    # The domain literals below are built as one SQL expression each (parsed on
-    # the JVM side in one call) instead of one client call per class; they are
-    # evaluated on aggregated, class-sized frames only.
-    def _names_array(self, names=None) -> Column:
-        names = self.classes if names is None else names
-        return F.expr("array(" + ", ".join(sql_string(c) for c in names) + ")") if names else \
-            F.array().cast("array<string>")
-
     def contains(self, col: Column) -> Column:
         """TRUE if the label is in the domain; NULL labels count as outside."""
-        return F.coalesce(F.array_contains(self._names_array(), col), F.lit(False))
-
-    def index_of(self, col: Column) -> Column:
-        """Position of the label in the domain (int), -1 if absent."""
-        return (F.array_position(self._names_array(), col) - 1).cast("int")
+        return F.coalesce(col.isin(list(self.classes)), F.lit(False))
 
     def in_train_of(self, col: Column) -> Column:
         if self.train_classes is None:
             return F.lit(True)
-        return F.coalesce(F.array_contains(self._names_array(sorted(self.train_classes)), col), F.lit(False))
+        return F.coalesce(col.isin(sorted(self.train_classes)), F.lit(False))
 
     def _structs_sql(self) -> str:
         return "array(" + ", ".join(
@@ -95,12 +78,13 @@ class ClassDomain:
     def class_structs(self) -> Column:
         return F.expr(self._structs_sql())
 
-    def cell_structs(self) -> Column:
-        """All k^2 (actual, predicted) cells, built at run time from the k-class
-        literal by nested ``transform`` (no k^2-sized literal in the plan)."""
+    def grid(self, base: DataFrame) -> DataFrame:
+        """``base`` times all k^2 (actual, predicted) cells, by two generators over the
+        k-class literal: rows are made one by one, no k^2-sized value exists."""
         d = self._structs_sql()
-        return F.expr(f"flatten(transform({d}, a -> transform({d}, p -> named_struct("
-                      "'actual_idx', a.idx, 'actual', a.name, 'predicted_idx', p.idx, 'predicted', p.name))))")
+        keys = [F.col(f"`{c}`") for c in base.columns]
+        rows = base.select(*keys, F.expr(f"inline({d}) AS (actual_idx, actual, _a_seen)"))
+        return rows.select(*keys, "actual_idx", "actual", F.expr(f"inline({d}) AS (predicted_idx, predicted, _p_seen)")).drop("_p_seen")
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         """``(class_idx int, class string, in_train boolean)``."""
@@ -141,48 +125,41 @@ def require_in_domain(counts: DataFrame, domain: ClassDomain) -> DataFrame:
     return counts.filter(F.when(~ok, F.raise_error(msg)).otherwise(F.col("n") >= 0))
 
 
-def dense_matrix(counts: DataFrame, domain: ClassDomain, keys: Sequence[str] | str | None = None,
-                 on_unknown: str = "error") -> DataFrame:
+def split_strays(counts: DataFrame, domain: ClassDomain) -> tuple[DataFrame, DataFrame]:
+    """``(cells inside the domain, stray cells with their counts)``: nothing is dropped unseen."""
+    ok = domain.contains(F.col("actual")) & domain.contains(F.col("predicted"))
+    return counts.filter(ok), counts.filter(~ok)
+
+
+def dense_matrix(counts: DataFrame, domain: ClassDomain, keys: Sequence[str] | str | None = None) -> DataFrame:
     """Dense long matrix ``(keys..., actual_idx, actual, predicted_idx, predicted, n)``
-    with every domain cell present (zeros kept) for each key value seen.
+    with every domain cell present (zeros kept) for each key value seen. A label outside
+    the domain fails the job; :func:`split_strays` sets such cells apart first.
 
-    The k^2 grid is produced by one generator over the (tiny) distinct key rows,
-    then left-joined to the aggregated counts: no join touches raw rows."""
-    # Outer joins can only broadcast the non-preserved side, here the counts.
+    The k^2 grid is generated over the (tiny) distinct key rows, then left-joined to the
+    aggregated counts: no join touches raw rows, and Spark picks the join by size at run time."""
     keys = _cols(keys)
-    if on_unknown == "error":
-        counts = require_in_domain(counts, domain)
-    elif on_unknown != "ignore":
-        raise ValueError("on_unknown must be 'error' or 'ignore' (use stray_labels() to inspect strays)")
-    if keys:
-        base = counts.select(*keys).distinct()
+    counts = require_in_domain(counts, domain)
+    if not keys:
+        grid = domain.grid(counts.sparkSession.range(0, 1, 1, 1))
+        joined = grid.join(counts, on=["actual", "predicted"], how="left")
     else:
-        base = counts.sparkSession.range(0, 1, 1, 1).select(F.lit(0).alias("_one"))
-    grid = base.select(*keys, F.inline(domain.cell_structs()))
-    on = [*keys, "actual", "predicted"]
-    if on_unknown == "error" and not keys and len(domain) <= GRID_BROADCAST_MAX_CLASSES:
-        # After the domain check every count row is a distinct domain pair, so the
-        # counts side has at most k^2 rows: a proven bound, broadcast it.
-        joined = grid.join(F.broadcast(counts), on=on, how="left")
-    elif keys:
         # Key values may be NULL (a split with no id): match them null-safely.
-        g, c = grid.alias("_g"), counts.alias("_c")
+        g, c = domain.grid(counts.select(*keys).distinct()).alias("_g"), counts.alias("_c")
         cond = [F.col(f"_g.{k}").eqNullSafe(F.col(f"_c.{k}")) for k in keys] + [
             F.col("_g.actual") == F.col("_c.actual"), F.col("_g.predicted") == F.col("_c.predicted")]
         joined = g.join(c, on=cond, how="left").select(
             *[F.col(f"_g.{k}").alias(k) for k in keys],
             *[F.col(f"_g.{x}").alias(x) for x in ("actual_idx", "actual", "predicted_idx", "predicted")],
             F.col("_c.n").alias("n"))
-    else:
-        joined = grid.join(counts, on=on, how="left")
     return joined.select(*keys, "actual_idx", "actual", "predicted_idx", "predicted",
                          F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
 
 
 def confusion_matrix(pred: DataFrame, domain: ClassDomain, actual: str = "actual", predicted: str = "predicted",
-                     keys: Sequence[str] | str | None = None, on_unknown: str = "error") -> DataFrame:
+                     keys: Sequence[str] | str | None = None) -> DataFrame:
     """E1+E2: dense confusion matrix over a declared domain."""
-    return dense_matrix(confusion_counts(pred, actual, predicted, keys), domain, keys, on_unknown)
+    return dense_matrix(confusion_counts(pred, actual, predicted, keys), domain, keys)
 
 
 # --- E3/E5/E7/E9 ------------------------------------------------------------

@@ -18,7 +18,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame
 
 from forestlens.operators.features import assembler, one_hot_stage, index_stage
-from forestlens.operators.split import spread, union_labels
+from forestlens.operators.split import union_labels
 
 
 def label_indexer(label: str, out: str = "label_index", handle_invalid: str = "error") -> StringIndexer:
@@ -43,13 +43,11 @@ def label_unindexer(labels: Sequence[str], in_col: str = "prediction", out: str
 
 def forest(num_trees: int, max_depth: int, label_col: str = "label_index", features: str = "features",
            prediction: str = "prediction", seed: int = 42, subset: str = "auto", max_bins: int = 32,
-           max_memory_mb: int = 1024, checkpoint_interval: int = 10, cache_node_ids: bool | None = None,
+           max_memory_mb: int = 1024, checkpoint_interval: int = 10, cache_node_ids: bool = False,
            **kw) -> RandomForestClassifier:
     """F8: random forest; other settings default (gini, 32 bins). Node-id caching
-    (with checkpoints every ``checkpoint_interval`` levels) pays off for deep
-    trees; by default it is on from depth 15."""
-    if cache_node_ids is None:
-        cache_node_ids = max_depth >= 15
+    (with checkpoints every ``checkpoint_interval`` levels, for which the session needs
+    a checkpoint folder) pays off for deep trees."""
     return RandomForestClassifier(
         numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy=subset, labelCol=label_col,
         featuresCol=features, predictionCol=prediction, seed=seed, maxBins=max_bins,
@@ -77,9 +75,10 @@ def build_pipeline(categorical: Sequence[str], features: Sequence[str], classifi
 
 
 def fit_categorical_index(train: DataFrame, categorical: Sequence[str], handle_invalid: str = "error"
-                          ) -> tuple[StringIndexerModel | None, list[str], list[str]]:
+                          ) -> tuple[StringIndexerModel | PipelineModel | None, list[str], list[str]]:
     """Fit the categorical vocabularies in one pass and find the single-valued
-    columns (which the one-hot encoder rejects) from them, without another scan.
+    columns (which the one-hot encoder rejects) from them, without another scan: the model of
+    the usable columns is made from the vocabularies already fitted.
     Returns (indexer model over the usable columns, usable columns, dropped)."""
     cols = list(categorical)
     if not cols:
@@ -89,13 +88,15 @@ def fit_categorical_index(train: DataFrame, categorical: Sequence[str], handle_i
     if not dropped:
         return m, cols, []
     keep = [c for c in cols if c not in dropped]
-    return (index_stage(keep, handle_invalid).fit(train) if keep else None), keep, dropped
+    if not keep:
+        return None, [], dropped
+    return PipelineModel(stages=[
+        StringIndexerModel.from_labels(list(labels), inputCol=c, outputCol=out, handleInvalid=handle_invalid)
+        for c, out, labels in zip(cols, m.getOutputCols(), m.labelsArray) if c in keep]), keep, dropped
 
 
 def fit(pipeline: Pipeline, train: DataFrame, cache: bool = True) -> PipelineModel:
-    """F10. The (projected) training frame is spread over the task slots if it
-    arrives in fewer partitions, and persisted only for the fit."""
-    train = spread(train)
+    """F10. The (projected) training frame is persisted only for the fit."""
     if not cache:
         return pipeline.fit(train)
     persisted = train.persist(StorageLevel.MEMORY_AND_DISK)
@@ -117,6 +118,5 @@ def fit_with_label_stage(pipeline: Pipeline, train: DataFrame, label_stage_model
 
 
 def score(model: PipelineModel, test: DataFrame) -> DataFrame:
-    """batch scoring (lazy). Per-row tree evaluation is CPU-bound, so an
-    input with fewer partitions than task slots is spread first."""
-    return model.transform(spread(test))
+    """batch scoring (lazy)."""
+    return model.transform(test)

@@ -62,15 +62,19 @@ def rollup_class_counts(per_class: DataFrame, label: str, category_map: dict[str
 def label_attribution(pred: DataFrame, actual: str, predicted: str, train: DataFrame | None = None,
                       train_label: str | None = None, domain: ClassDomain | None = None,
                       normal: str = NORMAL_LABEL, anomaly: str = ANOMALY_LABEL) -> DataFrame:
-    """Per actual class: rows labeled ``normal`` and ``anomaly`` by a binary model,
-    and whether the class occurs in training (from ``train`` rows or a domain)."""
+    """Per actual class: rows labeled ``normal`` and ``anomaly`` by a binary model, rows labeled
+    otherwise (``labeled_other``, NULL predictions included), their ``total``, and whether the
+    class occurs in training (from ``train`` rows or a domain). Rows without a label are a
+    class of their own (NULL), so the totals add up to the rows of ``pred``."""
     per_class = pred.groupBy(F.col(actual).alias("attack_type")).agg(
         F.count(F.when(F.col(predicted) == normal, 1)).alias("labeled_normal"),
-        F.count(F.when(F.col(predicted) == anomaly, 1)).alias("labeled_anomaly"))
+        F.count(F.when(F.col(predicted) == anomaly, 1)).alias("labeled_anomaly"),
+        F.count(F.when(~F.coalesce(F.col(predicted).isin(normal, anomaly), F.lit(False)), 1)).alias("labeled_other"),
+        F.count(F.lit(1)).alias("total"))
     if train is not None:
-        seen = (train.select(F.col(train_label or actual).alias("attack_type")).distinct()
+        seen = (train.select(F.col(train_label or actual).alias("_seen_type")).distinct()
                 .withColumn("in_train", F.lit(True)))
-        per_class = (per_class.join(seen, "attack_type", "left")
+        per_class = (per_class.join(seen, F.col("attack_type").eqNullSafe(F.col("_seen_type")), "left").drop("_seen_type")
                      .withColumn("in_train", F.coalesce(F.col("in_train"), F.lit(False))))
     elif domain is not None:
         per_class = per_class.withColumn("in_train", domain.in_train_of(F.col("attack_type")))
@@ -81,21 +85,21 @@ def label_attribution(pred: DataFrame, actual: str, predicted: str, train: DataF
 
 def false_normal_attribution(attr: DataFrame, min_errors: int = 20, normal: str = NORMAL_LABEL) -> DataFrame:
     """Attack classes with at least ``min_errors`` rows labeled normal, by errors desc."""
-    return (attr.filter((F.col("attack_type") != normal) & (F.col("labeled_normal") >= min_errors))
+    return (attr.filter(~F.col("attack_type").eqNullSafe(normal) & (F.col("labeled_normal") >= min_errors))
             .select("attack_type", "labeled_normal", "labeled_anomaly", "in_train")
             .orderBy(F.desc("labeled_normal"), F.asc("attack_type")))
 
 
 def correct_anomaly_attribution(attr: DataFrame, min_correct: int = 100, normal: str = NORMAL_LABEL) -> DataFrame:
     """Attack classes with at least ``min_correct`` rows labeled anomaly, by those desc."""
-    return (attr.filter((F.col("attack_type") != normal) & (F.col("labeled_anomaly") >= min_correct))
+    return (attr.filter(~F.col("attack_type").eqNullSafe(normal) & (F.col("labeled_anomaly") >= min_correct))
             .select("attack_type", "labeled_anomaly", "labeled_normal", "in_train")
             .orderBy(F.desc("labeled_anomaly"), F.asc("attack_type")))
 
 
 def excluded_tail(attr: DataFrame, min_errors: int = 20, normal: str = NORMAL_LABEL) -> DataFrame:
     """The classes R3 leaves out (0 < errors < threshold): how many, and their rows."""
-    tail = attr.filter((F.col("attack_type") != normal) & (F.col("labeled_normal") > 0)
+    tail = attr.filter(~F.col("attack_type").eqNullSafe(normal) & (F.col("labeled_normal") > 0)
                        & (F.col("labeled_normal") < min_errors))
     return tail.agg(F.count(F.lit(1)).alias("labels"),
                     F.coalesce(F.sum("labeled_normal"), F.lit(0)).cast("long").alias("instances"))
@@ -105,13 +109,14 @@ def unseen_class_rows(train: DataFrame, test: DataFrame, label: str, test_label:
                       weight: str | None = None) -> DataFrame:
     """Test rows whose class never occurs in training, and the total.
 
+    A NULL label is a class like any other: unseen only if no training row has it.
     Both sides are reduced to one row per class before the join, so neither
     raw side is shuffled by the join. ``weight`` counts a test row that many times
     (for pre-aggregated input)."""
     n = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
     test_counts = test.groupBy(F.col(test_label or label).alias("_c")).agg(n.alias("_n"))
-    seen = train.select(F.col(label).alias("_c")).distinct().withColumn("_seen", F.lit(True))
-    j = test_counts.join(seen, "_c", "left")
+    seen = train.select(F.col(label).alias("_t")).distinct().withColumn("_seen", F.lit(True))
+    j = test_counts.join(seen, F.col("_c").eqNullSafe(F.col("_t")), "left")
     unseen = F.col("_seen").isNull()
     return j.agg(
         F.coalesce(F.sum(F.when(unseen, F.col("_n"))), F.lit(0)).cast("long").alias("unseen_rows"),

@@ -34,16 +34,13 @@ def persisted_split(df: DataFrame, weights: Sequence[float] = (0.8, 0.2), seed:
     return base, [s for s in base.randomSplit(list(weights), seed)]
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the input has fewer partitions than the
-    cluster has task slots (a small file read as a few splits). Large inputs
-    already have more splits than slots, so this adds no shuffle at scale."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. a Spark Connect session): leave as is
+def fixed_partitions(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Rows dealt to a given number of partitions by their values and sorted inside, so that
+    what follows partitions (a forest's bagging) doesn't depend on files or cores.
+    ``None`` leaves the frame as it is."""
+    if partitions is None:
         return df
-    return df.repartition(target) if current < target else df
+    return df.repartition(partitions, *df.columns).sortWithinPartitions(*df.columns)
 
 
 def release(*dfs: DataFrame) -> None:

@@ -463,7 +463,7 @@ def q_assemble_features(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 FOREST_TREES, FOREST_DEPTH = 20, 10
-_RESULTS: dict = {}
+FOREST_PARTITIONS = 8      # training partitions, part of the job's definition
 
 
 def _dense_sql(pred_sql: str, domain: ev.ClassDomain) -> str:
@@ -478,13 +478,10 @@ FROM d a CROSS JOIN d b LEFT JOIN c ON c.actual = a.class AND c.predicted = b.cl
 
 
 def _forest(spark, sf_dir, preset: str):
-    """Fitted results are shared between queries of one session and scale."""
+    """A job of its own for every call: each forest query includes its fit."""
     from forestlens.plans import experiments as xp
-    key = (spark.conf.get("spark.app.id", None) or id(spark), sf_dir, preset)
-    if key in _RESULTS:
-        return _RESULTS[key]
     li = fx.table(spark, sf_dir, "lineitem")
-    common = dict(categorical=fx.FOREST_CATEGORICAL, features=fx.FOREST_FEATURES)
+    common = dict(categorical=fx.FOREST_CATEGORICAL, features=fx.FOREST_FEATURES, train_partitions=FOREST_PARTITIONS)
     if preset == "x1":
         r = xp.x1_multiclass_split(fx.forest_all_seen(li), FOREST_TREES, FOREST_DEPTH,
                                    classes=["normal", "neptune", "smurf"], **common)
@@ -501,7 +498,6 @@ def _forest(spark, sf_dir, preset: str):
                                        FOREST_TREES, FOREST_DEPTH, **common)
     else:
         raise KeyError(preset)
-    _RESULTS[key] = r
     return r
 
 
@@ -629,21 +625,19 @@ WITH p AS (""" + fx.RULE_PREDICTIONS_SQL + """)
 SELECT actual, predicted, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY actual, predicted
 """)
 def q_stream_confusion_counts(spark, sf_dir):
-    """The lineitem file read as a stream (one file per trigger); the counts live
-    in the state store under a checkpoint in the shared folder. Returns the
-    snapshot after all available input is processed."""
-    import uuid
+    """The lineitem table (a file or a folder of files) read as a stream, one file per
+    trigger; the counts live in the state store and their snapshots in the shared folder.
+    Returns the snapshot after all available input is processed."""
     from forestlens.streaming import scoring
     schema = fx.table(spark, sf_dir, "lineitem").schema
-    stream = scoring.read_record_stream(spark, sf_dir.rstrip("/"), schema, glob="lineitem.parquet",
-                                        max_files_per_trigger=1)
-    table = f"running_counts_{uuid.uuid4().hex[:8]}"
-    q = scoring.start_running_matrix(fx.rule_predictions(stream), "actual", "predicted", table)
+    stream = scoring.read_record_stream(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet", schema, max_files_per_trigger=1)
+    path = scratch_path(spark, "running-counts")
+    q = scoring.start_running_matrix_table(fx.rule_predictions(stream), "actual", "predicted", path)
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    return spark.table(table).select("actual", "predicted", F.col("n").cast("long").alias("n"))
+    return scoring.read_running_matrix(spark, path)
 
 
 # ---------------------------------------------------------------------------
@@ -671,8 +665,6 @@ def q_connection_records_job(spark, sf_dir):
     test = clean.strip_label_suffix(src.read_connections(spark, f"{root}/test"))
     r = xp.x2_unseen_classes(train, test, FOREST_TREES, FOREST_DEPTH, classes=fx.RECORD_DOMAIN.classes,
                              train_classes=fx.RECORD_DOMAIN.train_classes)
-    if sorted(r.dropped_constant) != ["is_guest_login", "is_host_login", "land"]:
-        raise RuntimeError(f"unexpected constant columns: {r.dropped_constant}")
     return ev.confusion_matrix(r.predictions, r.domain(), r.actual, "predicted_label")
 
 
@@ -740,3 +732,142 @@ def q_forest_binary_matrix(spark, sf_dir):
     """X3's matrix: binarized actual labels against the binary model's predictions."""
     r = _forest(spark, sf_dir, "x3")
     return ev.confusion_matrix(r.predictions, r.domain(), r.actual, "predicted_label")
+
+
+# ---------------------------------------------------------------------------
+# Labels that are NULL (R3-R6): parts add up to the row count
+# ---------------------------------------------------------------------------
+
+_NULL_TEST_SQL = f"""
+SELECT CASE WHEN l_discount = 0.05 THEN NULL ELSE attack_type END AS attack_type,
+       CASE WHEN l_tax = 0.03 THEN NULL WHEN l_tax = 0.04 THEN 'unsure' ELSE predicted_bin END AS predicted_bin
+FROM (SELECT l_discount, l_tax, {fx.ATTACK_LABEL_SQL} AS attack_type,
+             CASE WHEN l_discount = 0.0 THEN 'normal' ELSE 'anomaly' END AS predicted_bin FROM lineitem) x
+"""
+
+
+def _null_predictions(spark, sf_dir):
+    li = fx.table(spark, sf_dir, "lineitem")
+    rule = F.when(F.col("l_discount") == 0.0, "normal").otherwise("anomaly")
+    return li.select(F.when(F.col("l_discount") != 0.05, fx.attack_label()).alias("attack_type"),
+                     F.when(F.col("l_tax") == 0.03, F.lit(None)).when(F.col("l_tax") == 0.04, "unsure").otherwise(rule).alias("predicted_bin"))
+
+
+@register("attribution_with_nulls", "R3 R4 R5", f"""
+WITH t AS ({_NULL_TEST_SQL})
+SELECT attack_type, count(*) FILTER (WHERE predicted_bin = 'normal') AS labeled_normal,
+       count(*) FILTER (WHERE predicted_bin = 'anomaly') AS labeled_anomaly,
+       count(*) FILTER (WHERE predicted_bin IS NULL OR predicted_bin NOT IN ('normal', 'anomaly')) AS labeled_other,
+       count(*) AS total, attack_type IS NULL OR attack_type LIKE 'r%' AS in_train
+FROM t GROUP BY attack_type
+""")
+def q_attribution_with_nulls(spark, sf_dir):
+    pred = _null_predictions(spark, sf_dir)
+    train = pred.filter("attack_type IS NULL OR attack_type LIKE 'r%'")
+    return reports.label_attribution(pred, "attack_type", "predicted_bin", train=train)
+
+
+@register("unseen_class_rows_with_nulls", "R6", f"""
+WITH t AS ({_NULL_TEST_SQL})
+SELECT count(*) FILTER (WHERE attack_type IS NULL) AS unseen_rows, count(*) AS total_rows,
+       CAST(max(CASE WHEN attack_type IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unseen_classes
+FROM t
+""")
+def q_unseen_class_rows_with_nulls(spark, sf_dir):
+    pred = _null_predictions(spark, sf_dir)
+    return reports.unseen_class_rows(pred.filter("attack_type IS NOT NULL"), pred, "attack_type")
+
+
+# ---------------------------------------------------------------------------
+# Data sets written and read back (C3 split, C4), the binarizer by its SQL name
+# ---------------------------------------------------------------------------
+
+@register("quarantine_split", "C3", """
+SELECT status, event_type, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT event_type, CASE WHEN event_type = 'error' AND value > 100 THEN 'rejected' ELSE 'kept' END AS status FROM events) e
+GROUP BY ALL
+""")
+def q_quarantine_split(spark, sf_dir):
+    """Kept and rejected rows written in one pass, both partitions read back."""
+    rule = (F.col("event_type") == "error") & (F.col("value") > 100)
+    path = clean.write_quarantined(fx.table(spark, sf_dir, "events"), rule, scratch_path(spark, "quarantine"))
+    return spark.read.parquet(path).groupBy("status", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("binarizer_sql", "P1", """
+SELECT event_id, CASE WHEN event_type = 'view' THEN 'view' ELSE 'anomaly' END AS event_type_bin FROM events
+""")
+def q_binarizer_sql(spark, sf_dir):
+    from forestlens.functions.labels import register_binarizer
+    name = register_binarizer(spark, normal="view")
+    return fx.table(spark, sf_dir, "events").selectExpr("event_id", f"{name}(event_type) AS event_type_bin")
+
+
+@register("binarized_dataset_roundtrip", "C4 S1", f"""
+WITH tr AS ({fx.FOREST_TRAIN_SQL})
+SELECT CASE WHEN attack_type = 'normal' THEN 'normal' ELSE 'anomaly' END AS attack_type, CAST(count(*) AS BIGINT) AS n
+FROM tr GROUP BY ALL
+""")
+def q_binarized_dataset_roundtrip(spark, sf_dir):
+    """The binarized training records written as headerless CSV and read back under the
+    strict 42-field contract."""
+    train, _ = fx.connection_records(fx.table(spark, sf_dir, "lineitem"))
+    data = clean.binarize_dataset(clean.strip_label_suffix(train))
+    path = sinks.write_records(data, scratch_path(spark, "binarized"))
+    return src.read_connections_strict(spark, path).groupBy("attack_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# A random split of identified records, and X4's reports from the forest itself
+# ---------------------------------------------------------------------------
+
+@register("split_by_record", "U2 X1", """
+SELECT l_returnflag, CAST(count(*) AS BIGINT) AS total, CAST(0 AS BIGINT) AS miscounted
+FROM lineitem GROUP BY l_returnflag
+""")
+def q_split_by_record(spark, sf_dir):
+    """Per class: rows of both splits together, and by how many rows a record's count in
+    them differs from its count in the table. Records are identified by table columns
+    (which repeat); the frame is dealt by value, so both splits of the lazy plan see the same rows."""
+    rows = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    train, test = sp.random_split(sp.fixed_partitions(rows, FOREST_PARTITIONS))
+    tagged = train.union(test).withColumn("n", F.lit(1)).union(rows.withColumn("n", F.lit(-1)))
+    per_record = tagged.groupBy("l_orderkey", "l_linenumber", "l_returnflag").agg(
+        F.sum((F.col("n") > 0).cast("long")).alias("split_rows"), F.abs(F.sum("n")).alias("off"))
+    return per_record.groupBy("l_returnflag").agg(F.sum("split_rows").alias("total"), F.sum("off").alias("miscounted"))
+
+
+@register("x4_attribution_reports", "X4 R3 R4 R5", f"""
+WITH te AS ({fx.FOREST_TEST_SQL}), c AS (SELECT attack_type, count(*) AS n FROM te WHERE attack_type <> 'normal' GROUP BY 1)
+SELECT 'correct_anomaly' AS report, attack_type, CAST(0 AS BIGINT) AS labeled_normal, n AS labeled_anomaly,
+       attack_type <> 'novel' AS in_train FROM c WHERE n >= 100
+""")
+def q_x4_attribution_reports(spark, sf_dir):
+    """R3 and R4 from the forest's own predictions, through the job's report code."""
+    from forestlens.plans import experiments as xp
+    r = _forest(spark, sf_dir, "x4")
+    tables = xp.attribution_reports(r, train_classes=sorted(fx.FOREST_DOMAIN.train_classes))
+    cols = ["attack_type", "labeled_normal", "labeled_anomaly", "in_train"]
+    parts = [tables[n].select(F.lit(n).alias("report"), *cols) for n in ("false_normal", "correct_anomaly")]
+    return parts[0].union(parts[1])
+
+
+@register("forest_noisy_invariants", "F8 F10 F11 E1 E6", """
+SELECT l_returnflag AS class, CAST(count(*) AS BIGINT) AS support, TRUE AS recall_is_accuracy
+FROM lineitem WHERE l_linenumber > 5 GROUP BY l_returnflag
+""")
+def q_forest_noisy_invariants(spark, sf_dir):
+    """A forest on labels that its features don't determine, at the study's settings (50 trees,
+    depth 20): the supports are the table's, and weighted recall equals accuracy."""
+    from forestlens.plans import experiments as xp
+    li = fx.table(spark, sf_dir, "lineitem").select("l_linenumber", "l_linestatus", "l_quantity", "l_discount", "l_tax",
+                                                    F.col("l_returnflag").alias("attack_type"))
+    train, test = li.filter("l_linenumber <= 5").drop("l_linenumber"), li.filter("l_linenumber > 5").drop("l_linenumber")
+    r = xp.run_experiment(train, test, xp.ExperimentConfig(
+        50, 20, categorical=["l_linestatus"], features=["l_linestatus_vec", "l_quantity", "l_discount", "l_tax"],
+        classes=["A", "N", "R"], train_partitions=FOREST_PARTITIONS, cache_node_ids=True))
+    e = r.evaluation(checkpoint=True)
+    right = e.matrix.agg((F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))) / F.sum("n")).alias("accuracy"))
+    both = e.overall.select("recall").join(right)
+    return e.per_class.select("class", "support").join(both).select(
+        "class", "support", (F.abs(F.col("recall") - F.col("accuracy")) < 1e-9).alias("recall_is_accuracy"))

@@ -2,8 +2,12 @@
 
   spark-submit jobs.py x1 input-file output-directory num-trees max-depth
   spark-submit jobs.py x2|x3|x4 train-file test-file output-directory num-trees max-depth
+  spark-submit jobs.py binarize input-file output-file
 
-Inputs are headerless connection-record CSV (``--format parquet`` for Parquet).
+``binarize`` writes a data set with its labels replaced by normal / anomaly (what x4 trains on).
+
+Inputs are headerless connection-record CSV (``--format parquet`` for Parquet). No
+field may be NULL: a bad or missing value fails the job and names the column.
 ``--clean`` applies the study's preprocessing to raw files: trailing period
 stripped from labels, training records de-duplicated, test records with the
 illegal service value set aside: the test file is converted once to Parquet
@@ -23,34 +27,46 @@ from pyspark.sql import SparkSession
 
 from forestlens.operators import clean
 from forestlens.plans import experiments as xp
-from forestlens.sources.csv import read_connections
+from forestlens.sources import sinks
+from forestlens.sources.csv import read_connections_strict, require_not_null
 
 
 def _read(spark: SparkSession, path: str, fmt: str):
-    return read_connections(spark, path) if fmt == "csv" else spark.read.parquet(path)
+    return read_connections_strict(spark, path) if fmt == "csv" else require_not_null(spark.read.parquet(path))
 
 
 def main(argv: list[str] | None = None) -> dict[str, str]:
     ap = argparse.ArgumentParser(prog="forestlens")
-    ap.add_argument("job", choices=["x1", "x2", "x3", "x4"])
+    ap.add_argument("job", choices=["x1", "x2", "x3", "x4", "binarize"])
     ap.add_argument("args", nargs="+")
     ap.add_argument("--format", choices=["csv", "parquet"], default="csv")
     ap.add_argument("--seed", type=int, default=42)
+    ap.add_argument("--train-partitions", type=int, help="partitions of the training rows, dealt by value (the forest depends on them)")
+    ap.add_argument("--cache-node-ids", action="store_true", help="deep trees: cache node ids (needs spark.checkpoint.dir)")
+    ap.add_argument("--save-model", action="store_true", help="also save the fitted pipeline")
     ap.add_argument("--clean", action="store_true", help="strip label periods, de-dup train, set aside illegal rows")
     ap.add_argument("--reports", action="store_true", help="x4: also write the attribution tables (R3-R5)")
     ns = ap.parse_args(argv)
-    need = 4 if ns.job == "x1" else 5
+    need = {"x1": 4, "binarize": 2}.get(ns.job, 5)
     if len(ns.args) != need:
         ap.error(f"{ns.job} takes {need} arguments")
     spark = SparkSession.builder.appName(f"forestlens-{ns.job}").getOrCreate()
+    if ns.job == "binarize":
+        data = _read(spark, ns.args[0], ns.format)
+        data = clean.binarize_dataset(clean.strip_label_suffix(data) if ns.clean else data)
+        return {"binarized": sinks.write_records(data, ns.args[1])}
+    options = dict(seed=ns.seed, train_partitions=ns.train_partitions, cache_node_ids=ns.cache_node_ids)
     trees, depth = int(ns.args[-2]), int(ns.args[-1])
     out = ns.args[-3]
     if ns.job == "x1":
         data = _read(spark, ns.args[0], ns.format)
         if ns.clean:
             data = clean.dedup_rows(clean.strip_label_suffix(data))
-        r = xp.x1_multiclass_split(data, trees, depth, seed=ns.seed)
-        return xp.write_outputs(r, out)
+        r = xp.x1_multiclass_split(data, trees, depth, **options)
+        try:
+            return xp.write_outputs(r, out, save_model=ns.save_model)
+        finally:
+            r.release()
     train, test = _read(spark, ns.args[0], ns.format), _read(spark, ns.args[1], ns.format)
     if ns.clean:
         train = clean.dedup_rows(clean.strip_label_suffix(train))
@@ -60,14 +76,11 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
                                          f"{out}/test_clean")
         test = spark.read.parquet(staged).filter("status = 'kept'").drop("status")
     if ns.job == "x2":
-        return xp.write_outputs(xp.x2_unseen_classes(train, test, trees, depth, seed=ns.seed), out)
+        return xp.write_outputs(xp.x2_unseen_classes(train, test, trees, depth, **options), out, save_model=ns.save_model)
     if ns.job == "x3":
-        return xp.write_outputs(xp.x3_binary(train, test, trees, depth, seed=ns.seed), out, triplets=True)
-    r = xp.x4_binary_on_multiclass(train, test, trees, depth, seed=ns.seed)
-    paths = xp.write_outputs(r, out, pairs=True, matrix=False)
-    if ns.reports:
-        paths.update(xp.write_attribution_reports(r, out))
-    return paths
+        return xp.write_outputs(xp.x3_binary(train, test, trees, depth, **options), out, triplets=True, save_model=ns.save_model)
+    r = xp.x4_binary_on_multiclass(train, test, trees, depth, **options)
+    return xp.write_outputs(r, out, pairs=True, matrix=False, attribution=ns.reports, save_model=ns.save_model)
 
 
 def run() -> int:

@@ -14,11 +14,13 @@ from typing import Sequence
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from forestlens.operators import clean, evaluate as ev, features as fe, model as mdl, reports, split as sp
 from forestlens.schema import (
     ALL_CLASSES, BIN_CLASSES, CATEGORICAL_COLUMNS, LABEL_COLUMN, TRAIN_CLASSES, connection_feature_order,
 )
+from forestlens.session import checkpoint_root
 from forestlens.sources import sinks
 
 PREDICTED_LABEL = "predicted_label"
@@ -42,6 +44,8 @@ class ExperimentConfig:
     handle_invalid: str = "error"
     drop_constant: bool = True
     cache_train: bool = True
+    train_partitions: int | None = None    # number of training partitions, dealt by row values; the forest depends on it
+    cache_node_ids: bool = False           # deep trees; needs a checkpoint folder
 
 
 @dataclass
@@ -77,7 +81,11 @@ class ExperimentResult:
 def run_experiment(train: DataFrame, test: DataFrame | None, cfg: ExperimentConfig) -> ExperimentResult:
     label = cfg.label
     persisted: list[DataFrame] = []
+    raw = sorted(set(cfg.categorical) | {f for f in cfg.features if not f.endswith(fe.VEC_SUFFIX)} | {label})
+    if cfg.cache_node_ids:
+        checkpoint_root(train.sparkSession)
     if test is None:                                    # X1: one file, split 80/20
+        train = sp.fixed_partitions(train.select(*raw), cfg.train_partitions)
         base, (train, test) = sp.persisted_split(train, cfg.split_weights, cfg.split_seed)
         persisted.append(base)
     if cfg.binarize:                                    # X3: P2 on both sets
@@ -88,7 +96,7 @@ def run_experiment(train: DataFrame, test: DataFrame | None, cfg: ExperimentConf
     categorical = list(cfg.categorical)
     feats = list(cfg.features)
     needed = sorted(set(categorical) | {f for f in feats if not f.endswith(fe.VEC_SUFFIX)} | {target})
-    train_in = sp.spread(train.select(*needed))
+    train_in = sp.fixed_partitions(train.select(*needed), cfg.train_partitions)
     if cfg.cache_train:
         train_in = train_in.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -99,7 +107,7 @@ def run_experiment(train: DataFrame, test: DataFrame | None, cfg: ExperimentConf
             raise ValueError(f"single-valued categorical columns: {dropped}")
         feats = [f for f in feats if f not in {d + fe.VEC_SUFFIX for d in dropped}]
 
-        clf = mdl.forest(cfg.num_trees, cfg.max_depth, LABEL_INDEX, seed=cfg.seed)
+        clf = mdl.forest(cfg.num_trees, cfg.max_depth, LABEL_INDEX, seed=cfg.seed, cache_node_ids=cfg.cache_node_ids)
         if cfg.label_scope == "train":                      # X1: label index is a stage, fit on train
             stage = mdl.label_indexer(target, LABEL_INDEX)
             pipe = mdl.build_pipeline(categorical, feats, clf, labels=None, label_stage=stage,
@@ -124,8 +132,10 @@ def run_experiment(train: DataFrame, test: DataFrame | None, cfg: ExperimentConf
 
 
 def write_outputs(result: ExperimentResult, out_dir: str, pairs: bool = False, triplets: bool = False,
-                  matrix: bool = True, save_model: bool = False, single_files: bool = True) -> dict[str, str]:
-    """metrics.csv / matrix.csv layouts (S2, S3), pairs / triplets (S4, S5), model.
+                  matrix: bool = True, save_model: bool = False, single_files: bool = True,
+                  attribution: bool = False) -> dict[str, str]:
+    """metrics.csv / matrix.csv layouts (S2, S3), pairs / triplets (S4, S5), model (S6, S7),
+    attribution tables (R3-R5). The test set is scored once, whatever is written.
 
     The metrics and the matrix (bounded by the class count) end up as the single
     files ``metrics.csv`` and ``matrix.csv``; pairs and triplets (one line per
@@ -135,7 +145,7 @@ def write_outputs(result: ExperimentResult, out_dir: str, pairs: bool = False, t
     label, cfg = result.config.label, result.config
     cols = [label] + ([label + "_bin"] if cfg.binarize else []) + [PREDICTED_LABEL]
     scored = result.predictions.select(*dict.fromkeys(cols))
-    shared = matrix and (pairs or triplets)
+    shared = matrix + pairs + triplets + attribution > 1
     if shared:
         # Score once: the label columns of the predictions feed both the matrix
         # and the row-level files (a lost block is re-scored from the model).
@@ -155,6 +165,8 @@ def write_outputs(result: ExperimentResult, out_dir: str, pairs: bool = False, t
         if triplets:
             paths["triplets"] = sinks.write_triplets(scored, f"{out}/triplets", label, label + "_bin",
                                                      PREDICTED_LABEL)
+        if attribution:
+            paths |= write_attribution_reports(result, out, scored)
     finally:
         if shared:
             scored.unpersist()
@@ -164,25 +176,31 @@ def write_outputs(result: ExperimentResult, out_dir: str, pairs: bool = False, t
 
 
 def attribution_reports(result: ExperimentResult, train_classes: Sequence[str] = TRAIN_CLASSES,
-                        min_errors: int = 20, min_correct: int = 100) -> dict[str, DataFrame]:
+                        min_errors: int = 20, min_correct: int = 100, scored: DataFrame | None = None) -> dict[str, DataFrame]:
     """The notes' tables after the binary-on-multiclass job (X4): per actual class,
     rows labeled normal / anomaly (R3, by errors), correct anomalies (R4), and the
     classes below the error threshold (R5). "In training" refers to the
-    multi-class training classes, which X4 itself never sees."""
+    multi-class training classes, which X4 itself never sees. All three come from one
+    class-sized table, which is checkpointed, so predictions are read once."""
     dom = ev.ClassDomain.of(sorted(set(train_classes)), train_classes)
-    attr = reports.label_attribution(result.predictions, result.config.label, PREDICTED_LABEL, domain=dom)
+    attr = reports.label_attribution(result.predictions if scored is None else scored, result.config.label, PREDICTED_LABEL, domain=dom)
+    checkpoint_root(attr.sparkSession)
+    attr = attr.checkpoint(eager=True)
     return {"false_normal": reports.false_normal_attribution(attr, min_errors),
             "correct_anomaly": reports.correct_anomaly_attribution(attr, min_correct),
             "excluded_tail": reports.excluded_tail(attr, min_errors)}
 
 
-def write_attribution_reports(result: ExperimentResult, out_dir: str, **kw) -> dict[str, str]:
-    """R3-R5 as ``<dir>/<name>.csv`` with headers (class-sized tables, one file each)."""
+def write_attribution_reports(result: ExperimentResult, out_dir: str, scored: DataFrame | None = None, **kw) -> dict[str, str]:
+    """R3-R5 as ``<dir>/<name>.csv`` with headers (class-sized tables, one file each, sorted
+    within their one partition)."""
     spark = result.predictions.sparkSession
+    order = {"false_normal": [F.desc("labeled_normal"), F.asc("attack_type")],
+             "correct_anomaly": [F.desc("labeled_anomaly"), F.asc("attack_type")], "excluded_tail": ["labels"]}
     paths = {}
-    for name, df in attribution_reports(result, **kw).items():
+    for name, df in attribution_reports(result, scored=scored, **kw).items():
         tmp = f"{out_dir.rstrip('/')}/{name}"
-        df.repartition(1).write.mode("overwrite").option("header", True).csv(tmp)
+        df.repartition(1).sortWithinPartitions(*order[name]).write.mode("overwrite").option("header", True).csv(tmp)
         paths[name] = sinks.publish_single_file(spark, tmp, f"{tmp}.csv")
     return paths
 

@@ -29,7 +29,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a folder of our own is set."""
+    Only a local session without one gets a folder of its own; on a cluster a missing
+    setting is an error, as a machine's own temporary folder is not shared."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - sessions without a SparkContext (Spark Connect)
@@ -38,6 +39,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return sc.getCheckpointDir().rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="forestlens-ckpt-")
     if sc is None:
         return configured.rstrip("/")
@@ -48,3 +52,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root for written tables."""
     return f"{checkpoint_root(spark)}/forestlens/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder once its readers are done."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -30,17 +30,27 @@ def read_connections(spark: SparkSession, path: str | Sequence[str], mode: str =
     return read_typed_csv(spark, path, connection_schema(), mode)
 
 
+def read_connections_strict(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """S1 with its contract: no field is NULL. A bad cell or a short line fails the job and
+    names the columns; a line with surplus fields fails as malformed."""
+    schema = connection_schema()
+    corrupt = "_corrupt_record"
+    full = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).csv(
+        path if isinstance(path, str) else list(path))
+    checked = require_not_null(rows, [f.name for f in schema.fields])
+    surplus = F.raise_error(F.concat(F.lit("malformed record: "), F.col(corrupt)))
+    return checked.filter(F.when(F.col(corrupt).isNotNull(), surplus).otherwise(F.lit(True))).drop(corrupt)
+
+
 def require_not_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Enforce the declared non-null contract lazily: the job fails on the first
-    NULL in ``cols`` (default all columns). No extra pass over the data."""
+    NULL in ``cols`` (default all columns) and names the columns. No extra pass over the data."""
     cols = list(cols) if cols else df.columns
     if not cols:
         return df
-    bad = F.lit(False)
-    for c in cols:
-        bad = bad | F.col(c).isNull()
-    msg = F.lit("NULL in a non-null column of " + ",".join(cols))
-    return df.filter(F.when(bad, F.raise_error(msg)).otherwise(F.lit(True)))
+    names = F.concat_ws(",", *[F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in cols])
+    return df.filter(F.when(names != "", F.raise_error(F.concat(F.lit("NULL in a non-null column: "), names))).otherwise(F.lit(True)))
 
 
 def read_matrix_csv(spark: SparkSession, path: str) -> DataFrame:

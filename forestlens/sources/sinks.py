@@ -31,10 +31,11 @@ def publish_single_file(spark, out_dir: str, target: str) -> str:
     if len(parts) != 1:
         raise RuntimeError(f"expected one part file in {out_dir}, found {len(parts)}")
     dst = jvm.org.apache.hadoop.fs.Path(target)
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    if not fs.rename(parts[0], dst):
-        raise RuntimeError(f"could not move {parts[0]} to {target}")
+    # one rename over the old file: a reader sees the old result or the new one
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), hconf).rename(fs.makeQualified(parts[0]), fs.makeQualified(dst), over)
     fs.delete(src_dir, True)
     return target
 

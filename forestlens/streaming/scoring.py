@@ -12,6 +12,7 @@ from typing import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from forestlens.operators.evaluate import ClassDomain, confusion_counts, dense_matrix, overall_metrics, per_class_metrics
@@ -19,14 +20,15 @@ from forestlens.session import scratch_path
 
 
 def read_record_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
-                       max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
-    """A file stream of records with a declared schema (no inference)."""
+                       max_files_per_trigger: int | None = None) -> DataFrame:
+    """A file stream of records with a declared schema (no inference). ``path``: a table's own
+    path, a single file or a folder of files."""
     r = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.load(path)
+    # a pattern that matches only this path: Spark then takes a file as well as a folder
+    path = path.rstrip("/")
+    return r.load(f"{path[:-1]}[{path[-1]}]")
 
 
 def score_stream(model: PipelineModel, stream: DataFrame) -> DataFrame:
@@ -40,33 +42,18 @@ def running_confusion_counts(pred_stream: DataFrame, actual: str, predicted: str
     return confusion_counts(pred_stream, actual, predicted, keys)
 
 
-def start_running_matrix(pred_stream: DataFrame, actual: str, predicted: str, table: str,
-                         checkpoint_location: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Start a query that keeps the running counts in an in-memory table
-    ``table`` (output mode complete). The checkpoint defaults to a fresh folder
-    under the session's shared checkpoint root."""
-    spark = pred_stream.sparkSession
-    loc = checkpoint_location or scratch_path(spark, f"stream-{table}")
-    w = (running_confusion_counts(pred_stream, actual, predicted).writeStream
-         .outputMode("complete").format("memory").queryName(table).option("checkpointLocation", loc))
-    if trigger:
-        w = w.trigger(**trigger)
-    return w.start()
-
-
 def start_running_matrix_table(pred_stream: DataFrame, actual: str, predicted: str, path: str,
-                               checkpoint_location: str | None = None, trigger: dict | None = None,
-                               fmt: str = "parquet") -> StreamingQuery:
-    """Same running counts, published to a table in shared storage: each
-    micro-batch carries the complete counts (at most k^2 rows per key), written
-    by ``foreachBatch`` as an overwrite of ``path``. Replaying a batch after a
-    failure rewrites the same snapshot, so the table is idempotent."""
+                               checkpoint_location: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """The running counts, published to shared storage: each micro-batch writes the complete
+    counts (at most k^2 rows per key) to a folder of its own, ``<path>/batch=<id>``.
+    A replayed batch rewrites the same folder; earlier snapshots stay, so a reader
+    (:func:`read_running_matrix`) always finds a whole one."""
     spark = pred_stream.sparkSession
     loc = checkpoint_location or scratch_path(spark, "stream-table")
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         # a shuffle of the (<= k^2) output rows keeps the stateful stage parallel
-        batch.repartition(1).write.mode("overwrite").format(fmt).save(path)
+        batch.repartition(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     w = (running_confusion_counts(pred_stream, actual, predicted).writeStream
          .outputMode("complete").foreachBatch(publish).option("checkpointLocation", loc))
@@ -75,6 +62,13 @@ def start_running_matrix_table(pred_stream: DataFrame, actual: str, predicted: s
     return w.start()
 
 
+def read_running_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """The latest published counts ``(actual, predicted, n)``."""
+    every = spark.read.schema("actual string, predicted string, n long, batch long").parquet(path)
+    latest = every.agg(F.max("batch")).first()[0]
+    return every.filter(F.col("batch") == latest).drop("batch")
+
+
 def matrix_from_counts(counts: DataFrame, domain: ClassDomain) -> dict[str, DataFrame]:
     """Batch view over a snapshot of the running counts: dense matrix and metrics."""
     m = dense_matrix(counts, domain)

@@ -93,13 +93,18 @@ def test_metrics_by_split_in_one_job(spark):
     assert out[0]["recall"] == 0.5 and out[0]["precision"] == pytest.approx(0.25)
 
 
-def test_domain_guards():
+def test_domain_guards(spark):
     with pytest.raises(ValueError):
         ev.ClassDomain.of([])
     with pytest.raises(ValueError):
         ev.ClassDomain.of(["a", "a"])
-    with pytest.raises(ValueError):
-        ev.ClassDomain(tuple(str(i) for i in range(5000)))
+    # no limit on the number of classes
+    dom = ev.ClassDomain.of([f"c{i}" for i in range(5000)])
+    pred = spark.createDataFrame([("c1", "c1"), ("c1", "c4999"), ("c2", "c2")], "actual string, predicted string")
+    m = ev.confusion_matrix(pred, dom).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n")).first()
+    assert (m["cells"], m["n"]) == (25_000_000, 3)
+    inside, strays = ev.split_strays(ev.confusion_counts(pred), ev.ClassDomain.of(["c1", "c2"]))
+    assert inside.count() == 2 and [(r["actual"], r["predicted"], r["n"]) for r in strays.collect()] == [("c1", "c4999", 1)]
 
 
 def test_null_split_key_keeps_its_counts(spark):

@@ -86,13 +86,33 @@ def test_x4_attribution_reports(spark, frames):
 
 
 def test_deep_trees_use_node_id_cache_and_checkpoints(spark, frames):
-    """Depth >= 15 switches on node-id caching with checkpoints in the session's
-    checkpoint folder (the study's jobs use depth 20)."""
+    """Node-id caching with checkpoints in the session's checkpoint folder (the study's
+    jobs use depth 20)."""
     train, test = frames
-    r = xp.x2_unseen_classes(train, test, 5, 16, classes=fx.FOREST_DOMAIN.classes,
+    r = xp.x2_unseen_classes(train, test, 5, 16, cache_node_ids=True, classes=fx.FOREST_DOMAIN.classes,
                              train_classes=fx.FOREST_DOMAIN.train_classes, **COMMON)
     clf = r.model.stages[-2]
     assert clf.getOrDefault("cacheNodeIds") and clf.getOrDefault("checkpointInterval") == 10
     wrong = r.predictions.filter(
         F.col("predicted_label") != F.when(F.col("attack_type") == "novel", "smurf").otherwise(F.col("attack_type")))
     assert wrong.count() == 0
+
+
+def test_constant_columns_need_one_indexing_pass(spark):
+    from forestlens.operators import model as mdl
+    df = spark.createDataFrame([("a", "k", "x"), ("b", "k", "y"), ("a", "k", "z")], "c1 string, same string, c2 string")
+    m, keep, dropped = mdl.fit_categorical_index(df, ["c1", "same", "c2"])
+    assert (keep, dropped) == (["c1", "c2"], ["same"])
+    assert [list(s.labels) for s in m.stages] == [["a", "b"], ["x", "y", "z"]]
+
+
+def test_fixed_partitions_make_the_forest_independent_of_files(spark):
+    """Noisy labels: the same job gives the same predictions whatever the input's partitions."""
+    li = fx.table(spark, SF_SMALL, "lineitem").select("l_linestatus", "l_quantity", "l_discount", "l_tax",
+                                                      F.col("l_returnflag").alias("attack_type"))
+    def run(parts):
+        r = xp.run_experiment(li.repartition(parts), li, xp.ExperimentConfig(
+            10, 8, categorical=["l_linestatus"], features=["l_linestatus_vec", "l_quantity", "l_discount", "l_tax"],
+            train_partitions=4))
+        return sorted((x[0], x[1], x[2]) for x in r.predictions.groupBy("attack_type", "predicted_label").count().collect())
+    assert run(2) == run(7)

@@ -1,6 +1,6 @@
 """A failed task is retried and recomputed without changing results (own
 session: local[4,2] allows one retry). The failure is injected upstream of a
-round-robin spread and of the evaluation aggregate."""
+round-robin repartition and of the evaluation aggregate."""
 import json
 import os
 import subprocess
@@ -18,7 +18,7 @@ SCRIPT = textwrap.dedent("""
              .config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "4")
              .getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
-    from forestlens.operators import evaluate as ev, split as sp
+    from forestlens.operators import evaluate as ev
     from forestlens.plans import fixtures as fx
 
     @F.udf("string")
@@ -30,8 +30,8 @@ SCRIPT = textwrap.dedent("""
 
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").repartition(4)
     pred = fx.rule_predictions(li)
-    clean = ev.confusion_matrix(sp.spread(pred, 8), fx.RULE_DOMAIN).collect()
-    failing = ev.confusion_matrix(sp.spread(pred.withColumn("actual", flaky("actual")), 8), fx.RULE_DOMAIN).collect()
+    clean = ev.confusion_matrix(pred.repartition(8), fx.RULE_DOMAIN).collect()
+    failing = ev.confusion_matrix(pred.withColumn("actual", flaky("actual")).repartition(8), fx.RULE_DOMAIN).collect()
     key = lambda rows: sorted((r["actual"], r["predicted"], r["n"]) for r in rows)
     print(json.dumps({{"clean": key(clean), "failing": key(failing)}}))
 """)

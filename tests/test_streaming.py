@@ -4,13 +4,13 @@ from forestlens.streaming import scoring
 from tests.conftest import SF_SMALL
 
 
-def test_running_counts_equal_batch_counts(spark):
+def test_running_counts_equal_batch_counts(spark, tmp_path):
     batch = fx.table(spark, SF_SMALL, "lineitem")
-    stream = scoring.read_record_stream(spark, SF_SMALL, batch.schema, glob="lineitem.parquet")
-    q = scoring.start_running_matrix(fx.rule_predictions(stream), "actual", "predicted", "running_cm")
+    stream = scoring.read_record_stream(spark, f"{SF_SMALL}/lineitem.parquet", batch.schema)
+    q = scoring.start_running_matrix_table(fx.rule_predictions(stream), "actual", "predicted", str(tmp_path / "cm"))
     try:
         q.processAllAvailable()
-        snap = spark.table("running_cm")
+        snap = scoring.read_running_matrix(spark, str(tmp_path / "cm"))
         got = sorted((r["actual"], r["predicted"], r["n"]) for r in snap.collect())
     finally:
         q.stop()
@@ -22,8 +22,10 @@ def test_running_counts_equal_batch_counts(spark):
 
 
 def test_running_counts_published_to_a_table(spark, tmp_path):
+    """A folder of several files, over several triggers."""
     batch = fx.table(spark, SF_SMALL, "lineitem")
-    stream = scoring.read_record_stream(spark, SF_SMALL, batch.schema, glob="lineitem.parquet")
+    batch.repartition(5).write.parquet(str(tmp_path / "lineitem.parquet"))
+    stream = scoring.read_record_stream(spark, str(tmp_path / "lineitem.parquet"), batch.schema, max_files_per_trigger=1)
     out = str(tmp_path / "counts")
     q = scoring.start_running_matrix_table(fx.rule_predictions(stream), "actual", "predicted", out,
                                            checkpoint_location=str(tmp_path / "ckpt"))
@@ -31,26 +33,27 @@ def test_running_counts_published_to_a_table(spark, tmp_path):
         q.processAllAvailable()
     finally:
         q.stop()
-    got = sorted((r["actual"], r["predicted"], r["n"]) for r in spark.read.parquet(out).collect())
+    got = sorted((r["actual"], r["predicted"], r["n"]) for r in scoring.read_running_matrix(spark, out).collect())
+    assert spark.read.parquet(out).select("batch").distinct().count() == 5
     want = sorted((r["actual"], r["predicted"], r["n"])
                   for r in ev.confusion_counts(fx.rule_predictions(batch)).collect())
     assert got == want
 
 
-def test_scoring_a_stream_with_a_fitted_pipeline(spark):
+def test_scoring_a_stream_with_a_fitted_pipeline(spark, tmp_path):
     from forestlens.plans import experiments as xp
     li = fx.table(spark, SF_SMALL, "lineitem")
     train, test = fx.forest_frames(li)
     r = xp.x2_unseen_classes(train, test, 3, 4, classes=fx.FOREST_DOMAIN.classes,
                              train_classes=fx.FOREST_DOMAIN.train_classes,
                              categorical=fx.FOREST_CATEGORICAL, features=fx.FOREST_FEATURES)
-    stream = scoring.read_record_stream(spark, SF_SMALL, li.schema, glob="lineitem.parquet")
+    stream = scoring.read_record_stream(spark, f"{SF_SMALL}/lineitem.parquet", li.schema)
     _, test_stream = fx.forest_frames(stream)
-    q = scoring.start_running_matrix(scoring.score_stream(r.model, test_stream), "attack_type", "predicted_label",
-                                     "scored_stream_counts")
+    out = str(tmp_path / "scored")
+    q = scoring.start_running_matrix_table(scoring.score_stream(r.model, test_stream), "attack_type", "predicted_label", out)
     try:
         q.processAllAvailable()
-        got = sorted((x["actual"], x["predicted"], x["n"]) for x in spark.table("scored_stream_counts").collect())
+        got = sorted((x["actual"], x["predicted"], x["n"]) for x in scoring.read_running_matrix(spark, out).collect())
     finally:
         q.stop()
     want = sorted((x["actual"], x["predicted"], x["n"])
