@@ -68,6 +68,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, doc_id: str = "doc_id", te
     ``docs``. A key found in two or more documents stays only in the smallest."""
     keys = materialize(line_keys(docs, min_chars, doc_id, text), "line-keys")
     shared = keys.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last")
+    # written, so that both sides of the next join are plain exchanges: Spark can then split a hot key
+    shared = materialize(shared, "line-shared")
     drops = keys.join(shared.select("h1", "h2", "first"), ["h1", "h2"]).filter("doc <> first").groupBy("doc").agg(
         F.collect_set(F.struct("h1", "h2")).alias("drops"))
 
