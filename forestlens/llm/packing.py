@@ -30,7 +30,7 @@ from forestlens.llm import textops
 from forestlens.llm.common import cell, materialize
 from forestlens.llm.tokens import encoder
 
-GROUP_BYTES = 4 << 20          # text handed to the tokenizer at once
+GROUP_BYTES = 2 << 20          # text handed to the tokenizer at once
 SALT_ROWS = 20_000             # aimed-at rows per salted part of a class, if all had one length
 
 

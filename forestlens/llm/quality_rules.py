@@ -89,6 +89,10 @@ def measures(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(table[:, i]) for i in range(len(MEASURES))], MEASURES)
 
 
+# Keeps the optimizer from copying the call into each filter and projection that reads its fields.
+measures = measures.asNondeterministic()
+
+
 def base_failed(m: str = "m") -> Column:
     """Fixed gate: under 20 words, or more than 30% of them in repeated windows."""
     return (F.col(f"{m}.n_words") < 20) | (100 * F.col(f"{m}.n_repeat_words") > 30 * F.col(f"{m}.n_words"))

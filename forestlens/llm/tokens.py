@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from forestlens.llm import textops
 
-KEPT = 600_000                 # units that a worker process keeps; beyond, those of the current slice stay
+KEPT = 250_000                 # units that a worker process keeps; beyond, those of the current slice stay
 _LETTER, _DIGIT, _OTHER = 1, 2, 3
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
