@@ -175,7 +175,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
 
     ``payload``: named expressions over ``ids`` (a piece's token bytes); the ids themselves by default."""
     payload = payload or {"ids": F.col("ids")}
-    salts_of = F.xxhash64("id", "start")
+    salts_of = F.xxhash64("id", "start", *payload)
     pieces = materialize(token_pieces(docs, tokenizer_path, size, end_id, doc_id, text).select(
         "id", "start", "length", "doc_tokens", *[c.alias(n) for n, c in payload.items()],
         F.ceil(F.col("length") / grain).cast("int").alias("class")), "pack-pieces")
@@ -187,7 +187,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
     counts = salted.groupBy("class", "salt").count()
     before = Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("class", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ranks_before"))
-    order = Window.partitionBy("class", "salt").orderBy("id", "start")
+    # the payload settles ties of rows that share an id, so a lost task's ranks come back the same
+    order = Window.partitionBy("class", "salt").orderBy("id", "start", "length", "doc_tokens", *payload)
     ranked = salted.withColumn("own_rank", F.row_number().over(order)).join(starts, ["class", "salt"]).withColumn(
         "rank", F.col("ranks_before") + F.col("own_rank") - 1)
 
