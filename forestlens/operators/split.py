@@ -43,6 +43,12 @@ def fixed_partitions(df: DataFrame, partitions: int | None) -> DataFrame:
     return df.repartition(partitions, *df.columns).sortWithinPartitions(*df.columns)
 
 
+def partitions_for(df: DataFrame, rows_each: int = 500_000, least: int = 8) -> int:
+    """A partition count that follows the number of rows, so it grows with the table and is
+    the same on any cluster."""
+    return max(least, -(-df.count() // rows_each))
+
+
 def release(*dfs: DataFrame) -> None:
     """Unpersist exactly the frames that were persisted."""
     for d in dfs:

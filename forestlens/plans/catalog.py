@@ -341,24 +341,24 @@ SELECT CAST(count(*) AS BIGINT) AS total_rows, CAST(count(*) AS BIGINT) AS cover
 FROM lineitem
 """)
 def q_split_invariants(spark, sf_dir):
-    li = fx.table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("row_key"))
-    base, (train, test) = sp.persisted_split(li, (0.8, 0.2), 42)
-    try:
-        total = base.count()
-        # Both split sizes and the overlap in one aggregate: keys are unique in
-        # the base, so covered - distinct keys counts rows present in both splits.
-        tagged = train.select("row_key", F.lit(0).alias("s")).union(test.select("row_key", F.lit(1).alias("s")))
-        row = tagged.agg(F.count(F.lit(1)).alias("covered"), F.sum("s").alias("n_test"),
-                         F.count_distinct("row_key").alias("keys")).first()
-        n_test = row["n_test"] or 0
-        n_train = row["covered"] - n_test
-        overlap = row["covered"] - row["keys"]
-    finally:
-        sp.release(base)
-    ratio_ok = total == 0 or abs(n_train / total - 0.8) <= 0.02
-    return spark.createDataFrame(
-        [(total, n_train + n_test, overlap, ratio_ok)],
-        "total_rows bigint, covered_rows bigint, overlap_rows bigint, ratio_within_2pct boolean")
+    """How many of the table's records the two splits hold together, and how many they hold too
+    often, in one lazy aggregate. Records are identified by table columns (which
+    repeat, so counts are compared); the frame is dealt by value, so both splits see the same rows."""
+    rows = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    train, test = sp.random_split(sp.fixed_partitions(rows, sp.partitions_for(rows)), (0.8, 0.2), 42)
+
+    def tagged(df, name):
+        return df.select(*rows.columns, *[F.lit(int(name == n)).alias(n) for n in ("in_table", "in_train", "in_test")])
+
+    every = tagged(rows, "in_table").union(tagged(train, "in_train")).union(tagged(test, "in_test"))
+    counts = every.groupBy(*rows.columns).agg(
+        F.sum("in_table").alias("base"), F.sum("in_train").alias("train"), F.sum(F.col("in_train") + F.col("in_test")).alias("both"))
+    zero = F.lit(0).cast("long")
+    total = F.coalesce(F.sum("base"), zero)
+    return counts.agg(
+        total.alias("total_rows"), F.coalesce(F.sum(F.least("both", "base")), zero).alias("covered_rows"),
+        F.coalesce(F.sum(F.greatest(F.col("both") - F.col("base"), zero)), zero).alias("overlap_rows"),
+        F.coalesce(F.abs(F.sum("train") / total - 0.8) <= 0.02, F.lit(True)).alias("ratio_within_2pct"))
 
 
 _LI_CSV_SCHEMA = T.StructType([
@@ -463,7 +463,6 @@ def q_assemble_features(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 FOREST_TREES, FOREST_DEPTH = 20, 10
-FOREST_PARTITIONS = 8      # training partitions, part of the job's definition
 
 
 def _dense_sql(pred_sql: str, domain: ev.ClassDomain) -> str:
@@ -481,7 +480,7 @@ def _forest(spark, sf_dir, preset: str):
     """A job of its own for every call: each forest query includes its fit."""
     from forestlens.plans import experiments as xp
     li = fx.table(spark, sf_dir, "lineitem")
-    common = dict(categorical=fx.FOREST_CATEGORICAL, features=fx.FOREST_FEATURES, train_partitions=FOREST_PARTITIONS)
+    common = dict(categorical=fx.FOREST_CATEGORICAL, features=fx.FOREST_FEATURES, train_partitions=sp.partitions_for(li))
     if preset == "x1":
         r = xp.x1_multiclass_split(fx.forest_all_seen(li), FOREST_TREES, FOREST_DEPTH,
                                    classes=["normal", "neptune", "smurf"], **common)
@@ -830,7 +829,7 @@ def q_split_by_record(spark, sf_dir):
     them differs from its count in the table. Records are identified by table columns
     (which repeat); the frame is dealt by value, so both splits of the lazy plan see the same rows."""
     rows = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    train, test = sp.random_split(sp.fixed_partitions(rows, FOREST_PARTITIONS))
+    train, test = sp.random_split(sp.fixed_partitions(rows, sp.partitions_for(rows)))
     tagged = train.union(test).withColumn("n", F.lit(1)).union(rows.withColumn("n", F.lit(-1)))
     per_record = tagged.groupBy("l_orderkey", "l_linenumber", "l_returnflag").agg(
         F.sum((F.col("n") > 0).cast("long")).alias("split_rows"), F.abs(F.sum("n")).alias("off"))
@@ -865,7 +864,7 @@ def q_forest_noisy_invariants(spark, sf_dir):
     train, test = li.filter("l_linenumber <= 5").drop("l_linenumber"), li.filter("l_linenumber > 5").drop("l_linenumber")
     r = xp.run_experiment(train, test, xp.ExperimentConfig(
         50, 20, categorical=["l_linestatus"], features=["l_linestatus_vec", "l_quantity", "l_discount", "l_tax"],
-        classes=["A", "N", "R"], train_partitions=FOREST_PARTITIONS, cache_node_ids=True))
+        classes=["A", "N", "R"], train_partitions=sp.partitions_for(li), cache_node_ids=True))
     e = r.evaluation(checkpoint=True)
     right = e.matrix.agg((F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))) / F.sum("n")).alias("accuracy"))
     both = e.overall.select("recall").join(right)
