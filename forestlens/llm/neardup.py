@@ -12,10 +12,12 @@ a few bytes per shingle and one row per (slice, range).
 
 Improved consistent weighted sampling draws, per sample, (r, c, beta) for each shingle by its
 hash and keeps the shingle and level with the least hash value; equal samples have the
-probability of the weighted Jaccard similarity. ``BANDS`` x ``ROWS`` samples make bands. In each
-band's bucket a leader is compared with the members by exact weighted Jaccard similarity;
-members that fail stay, split on further samples, and elect a new leader, until none is left, so
-work is linear in members per round, no pairs are enumerated, and no bucket is capped.
+probability of the weighted Jaccard similarity. ``BANDS`` x ``ROWS`` samples make bands. In a
+band's bucket of more than ``SETTLED`` nodes or ``SETTLED_SHINGLES`` shingles, a leader is compared with
+the members by exact weighted Jaccard similarity; members that fail stay, split on further samples,
+and elect a new leader, so work is linear in members per round and no bucket is capped. Smaller
+buckets, at first or after splits, are settled by one task each, a set of nodes once however many
+bands it shares: nodes that no link connects yet are compared, so no connection inside is lost.
 Texts of the same words are one node from the start: copies are never compared.
 
 Classes are the connected components of the verified links.
@@ -27,7 +29,7 @@ their text; ties keep the smallest id; an empty table gives no rows. Other colum
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -46,6 +48,8 @@ FREQUENT = 1 << 20             # shingles whose idf may differ from 1, at most
 COUNT_BITS = 48                # hash bits that document frequencies are counted by
 DRAWS = 16                     # bits: size of the table of random draws
 EXTRA_PER_ROUND = 2            # further samples that split a bucket's failing members
+SETTLED = 32                   # nodes, and
+SETTLED_SHINGLES = 1 << 18     # distinct shingles of a bucket that one task settles
 
 
 # --- shingles --------------------------------------------------------------------
@@ -232,7 +236,7 @@ def sequence_hashes(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 # --- the operator -------------------------------------------------------------------
 
 def signatures(docs: DataFrame, weights, doc_id: str, text: str) -> DataFrame:
-    """``doc, words`` (hash of the word sequence) and ``sig`` (samples, null without words) per row."""
+    """``doc, words`` (hash of the word sequence), ``sig`` (samples, null without words) and ``size`` (distinct shingles) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
@@ -246,10 +250,10 @@ def signatures(docs: DataFrame, weights, doc_id: str, text: str) -> DataFrame:
                 if len(have):
                     for d, s in zip(have, sample(h, table(h, tf), firsts)):
                         sig[d] = s.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(sequence, pa.binary()), pa.array(sig, pa.binary())],
-                                                 ["doc", "words", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(sequence, pa.binary()), pa.array(sig, pa.binary()),
+                                                  pa.array(np.bincount(of, minlength=n), pa.int64())], ["doc", "words", "sig", "size"])
 
-    return docs.select(id_key(doc_id).alias("doc"), cell(text).alias("text")).mapInArrow(run, "doc long, words binary, sig binary")
+    return docs.select(id_key(doc_id).alias("doc"), cell(text).alias("text")).mapInArrow(run, "doc long, words binary, sig binary, size long")
 
 
 def weight_lists(texts: DataFrame, weights) -> DataFrame:
@@ -286,38 +290,86 @@ def similarity(h1: pd.Series, w1: pd.Series, h2: pd.Series, w2: pd.Series) -> pd
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """``bucket, node, sig``, a row per band (nodes without samples have none)."""
+    """``bucket, node, sig, size``, a row per band (nodes without samples have none)."""
     width = 4 * ROWS
-    return nodes.filter("sig is not null").select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select(
-        "node", "band", F.xxhash64("band", F.substr("sig", F.col("band") * width + 1, F.lit(width))).alias("bucket"), "sig")
+    return nodes.filter("sig is not null").select("node", "sig", "size", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select(
+        "node", "band", F.xxhash64("band", F.substr("sig", F.col("band") * width + 1, F.lit(width))).alias("bucket"), "sig", "size")
+
+
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several, with ``small``: one task can settle the bucket."""
+    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).filter("n > 1").select(
+        "bucket", ((F.col("n") <= SETTLED) & (F.col("total") <= SETTLED_SHINGLES)).alias("small"))
+    return rows.join(counts, "bucket").select("bucket", "node", "band", F.when(~F.col("small"), F.col("sig")).alias("sig"), "size", "small")
+
+
+def connections(hashes: list[bytes], weights: list[bytes], threshold: float) -> Iterator[tuple[int, int]]:
+    """Links that connect a small set's nodes: a pair is compared unless earlier links connect it."""
+    h = [_hashes(x) for x in hashes]
+    w = [np.frombuffer(x, "<f4").astype(float) for x in weights]
+    total = [x.sum() for x in w]
+    of = list(range(len(h)))
+    for j in range(1, len(h)):
+        for i in range(j):
+            # a similarity can't exceed the ratio of the sums (with room for rounding)
+            if of[i] != of[j] and min(total[i], total[j]) >= (threshold - 1e-6) * max(total[i], total[j]) and weighted_jaccard(h[i], w[i], h[j], w[j]) >= threshold:
+                of = [of[i] if o == of[j] else o for o in of]
+                yield i, j
+
+
+def settled_links(sets: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` inside small sets of nodes (``nodes``: sorted array)."""
+    rows = sets.distinct().select(F.xxhash64("nodes").alias("set"), F.explode("nodes").alias("node")).join(lists, "node")
+    rows = rows.select("set", "node", "hashes", "weights").repartition("set").sortWithinPartitions("set", "node")
+
+    def settle(group: pa.Table) -> pa.RecordBatch:
+        nodes = group.column("node").to_pylist()
+        found = list(connections(group.column("hashes").to_pylist(), group.column("weights").to_pylist(), threshold))
+        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch])
+            held = held if rest is None else pa.concat_tables([rest, held])
+            key = held.column("set").to_numpy()
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                yield settle(held.slice(lo, hi - lo))
+            rest = held.slice(edges[-1])
+        if rest is not None and len(rest):
+            yield settle(rest)
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def links(nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """Verified links ``a, b`` of nodes. ``nodes``: ``node, rep, sig``; ``texts``: ``doc, text`` with each node's
     text at its ``rep`` (other rows of that id do no harm)."""
-    rows = bucket_rows(nodes)
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    open_rows = materialize(rows.join(shared, "bucket"), "neardup-buckets")
+    open_rows = materialize(shared_buckets(bucket_rows(nodes)), "neardup-buckets")
     needed = nodes.join(open_rows.select("node").distinct(), "node").select(F.col("rep").alias("doc"))
     lists = materialize(weight_lists(texts.join(needed, "doc", "left_semi").select("text"), weights), "neardup-lists")
-    found = None
+    sets, found = [], []
     for step in range(0, SAMPLES, EXTRA_PER_ROUND):
+        sets.append(open_rows.filter("small").groupBy("bucket").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes"))
+        large = open_rows.filter("not small")
+        if large.isEmpty():
+            break
         # a leader per bucket, by a hash of its own in each band, so that buckets differ in leaders
-        leaders = open_rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "band").alias("r"), "node")).alias("l")).select("bucket", F.col("l.node").alias("leader"))
-        members = open_rows.join(leaders, "bucket").filter("node <> leader")
+        leaders = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "band").alias("r"), "node")).alias("l")).select("bucket", F.col("l.node").alias("leader"))
+        members = large.join(leaders, "bucket").filter("node <> leader")
         pairs = members.select("leader", "node").distinct()
         left = lists.select(F.col("node").alias("leader"), F.col("hashes").alias("h1"), F.col("weights").alias("w1"))
         compared = pairs.join(lists, "node").join(left, "leader").select("leader", "node", similarity("h1", "w1", "hashes", "weights").alias("s"))
         good = materialize(compared.filter(F.col("s") >= threshold).select(F.col("leader").alias("a"), F.col("node").alias("b")), "neardup-links")
-        found = good if found is None else found.union(good)
+        found.append(good)
         failed = members.join(good, (F.col("leader") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti")
         extra = F.substr("sig", F.pmod((F.col("band") + 1) * (4 * ROWS) + F.lit(4 * step), F.lit(4 * SAMPLES)) + 1, F.lit(4 * EXTRA_PER_ROUND))
-        again = failed.select("node", "band", F.xxhash64("bucket", extra).alias("bucket"), "sig")
-        alone = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-        open_rows = materialize(again.join(alone, "bucket"), "neardup-open")
-        if open_rows.isEmpty():
-            break
-    return found
+        open_rows = materialize(shared_buckets(failed.select("node", "band", F.xxhash64("bucket", extra).alias("bucket"), "sig", "size")), "neardup-open")
+    else:
+        sets.append(open_rows.filter("small").groupBy("bucket").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes"))
+    found.append(materialize(settled_links(reduce(DataFrame.union, sets), lists, threshold), "neardup-settled"))
+    return reduce(DataFrame.union, found)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -345,8 +397,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, idf_span: float = 0
     hashes, frequencies, least = frequent_shingles(docs, text, ranges)
     weights = spark.sparkContext.broadcast(Weights(hashes, frequencies, least, docs.count(), idf_span))
     rows = materialize(signatures(docs, weights, doc_id, text), "neardup-signatures")
-    nodes = materialize(rows.groupBy("words").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig")).select(
-        F.xxhash64("words").alias("node"), "words", "rep", "sig"), "neardup-nodes")
+    nodes = materialize(rows.groupBy("words").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig"), F.first("size").alias("size")).select(
+        F.xxhash64("words").alias("node"), "words", "rep", "sig", "size"), "neardup-nodes")
     found = links(nodes, docs.select(id_key(doc_id).alias("doc"), cell(text).alias("text")), weights, threshold)
     grouped = nodes.join(components(found), "node", "left").select("words", "rep", F.coalesce("class", "node").alias("group"))
     grouped = materialize(grouped, "neardup-groups")

@@ -199,6 +199,37 @@ def test_near_duplicates_large_group(spark):
     assert all(out[i] == 0 for i in range(300)) and all(out[1000 + i] == 1000 + i for i in range(200))
 
 
+def test_settled_links_connect_what_all_pairs_connect(spark):
+    """Sets that span Arrow batches; members like some, not all, of the others."""
+    rng = np.random.default_rng(3)
+    lists = {}
+    for n in range(60):
+        h = np.unique(np.concatenate([np.arange(40) + 4 * (n % 20), rng.integers(1000, 2000, 3)])).astype("<u8")
+        lists[n] = (h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), rng.choice([0.8, 1.0, 2.0], len(h)).astype("<f4").tobytes())
+    sets = [list(range(lo, lo + 12)) for lo in range(0, 48, 6)] + [list(range(12))]
+    table = spark.createDataFrame([(n, h, w) for n, (h, w) in lists.items()], "node long, hashes binary, weights binary")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        out = neardup.settled_links(spark.createDataFrame([(s,) for s in sets], "nodes array<long>"), table, 0.4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+    def alike(i, j):
+        parts = [(neardup._hashes(lists[n][0]), np.frombuffer(lists[n][1], "<f4").astype(float)) for n in (i, j)]
+        return neardup.weighted_jaccard(*parts[0], *parts[1]) >= 0.4
+
+    def classes(pairs):
+        of = list(range(60))
+        for a, b in pairs:
+            of = [of[a] if o == of[b] else o for o in of]
+        return [of.index(o) for o in of]
+
+    every = [(i, j) for s in sets for i in s for j in s if i < j and alike(i, j)]
+    assert every and classes(map(tuple, out)) == classes(every)
+    assert set(map(tuple, out)) <= set(every)
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(0, 2**64, 400, dtype=np.uint64))
