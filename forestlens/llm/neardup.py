@@ -50,6 +50,8 @@ DRAWS = 16                     # bits: size of the table of random draws
 EXTRA_PER_ROUND = 2            # further samples that split a bucket's failing members
 SETTLED = 32                   # nodes, and
 SETTLED_SHINGLES = 1 << 18     # distinct shingles of a bucket that one task settles
+BLOCK = 256                    # nodes, and
+BLOCK_SHINGLES = 1 << 17       # distinct shingles of a block of a larger bucket, about
 
 
 # --- shingles --------------------------------------------------------------------
@@ -320,11 +322,20 @@ def connections(hashes: list[bytes], weights: list[bytes], threshold: float) ->
 def settled_links(sets: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
     """Links ``a, b`` inside small sets of nodes (``nodes``: sorted array)."""
     rows = sets.distinct().select(F.xxhash64("nodes").alias("set"), F.explode("nodes").alias("node")).join(lists, "node")
-    rows = rows.select("set", "node", "hashes", "weights").repartition("set").sortWithinPartitions("set", "node")
 
-    def settle(group: pa.Table) -> pa.RecordBatch:
+    def settle(group: pa.Table) -> Iterator[tuple[int, int]]:
+        return connections(group.column("hashes").to_pylist(), group.column("weights").to_pylist(), threshold)
+
+    return links_by_set(rows.select("set", "node", "hashes", "weights"), settle)
+
+
+def links_by_set(rows: DataFrame, settle) -> DataFrame:
+    """Links ``a, b`` of the pairs of places that ``settle`` finds in the rows of each ``set``."""
+    rows = rows.repartition("set").sortWithinPartitions("set", "node")
+
+    def pairs(group: pa.Table) -> pa.RecordBatch:
         nodes = group.column("node").to_pylist()
-        found = list(connections(group.column("hashes").to_pylist(), group.column("weights").to_pylist(), threshold))
+        found = list(settle(group))
         return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,14 +346,75 @@ def settled_links(sets: DataFrame, lists: DataFrame, threshold: float) -> DataFr
             key = held.column("set").to_numpy()
             edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1)]
             for lo, hi in zip(edges[:-1], edges[1:]):
-                yield settle(held.slice(lo, hi - lo))
+                yield pairs(held.slice(lo, hi - lo))
             rest = held.slice(edges[-1])
         if rest is not None and len(rest):
-            yield settle(rest)
+            yield pairs(rest)
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def cross_connections(hashes: list[bytes], weights: list[bytes], classes: list[int], blocks: list[int], threshold: float) -> Iterator[tuple[int, int]]:
+    """Links between the classes of one or two blocks; with two, of pairs across them. Each node of the first is
+    held against all others at once; a pair is verified unless its classes are connected by then."""
+    h = [_hashes(x) for x in hashes]
+    w = [np.frombuffer(x, "<f4").astype(float) for x in weights]
+    total = np.array([x.sum() for x in w])
+    blocks, of = np.array(blocks), np.unique(classes, return_inverse=True)[1]
+    ids, counts = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)[1:]
+    # a shingle of one node only is in no overlap
+    node, level = np.repeat(np.arange(len(h)), [len(x) for x in h]), np.concatenate(w)
+    shared = counts[ids] > 1
+    ids, node, level = ids[shared], node[shared], level[shared]
+    edges = np.searchsorted(node, np.arange(len(h) + 1))
+    dense = np.zeros(len(counts))
+    whole = blocks.min() == blocks.max()
+    for i in np.flatnonzero(blocks == blocks.min()):
+        ratio = np.minimum(total[i], total) >= (threshold - 1e-6) * np.maximum(total[i], total)
+        others = ratio & (of != of[i]) & ((np.arange(len(h)) > i) if whole else (blocks != blocks[i]))
+        if not others.any():
+            continue
+        own = slice(edges[i], edges[i + 1])
+        dense[ids[own]] = level[own]
+        common = np.bincount(node, np.minimum(dense[ids], level), len(h))
+        dense[ids[own]] = 0
+        near = others & (common >= (threshold - 1e-6) * (total[i] + total - common))
+        for j in np.flatnonzero(near):
+            if of[i] != of[j] and weighted_jaccard(h[i], w[i], h[j], w[j]) >= threshold:
+                of[of == of[j]] = of[i]
+                yield int(i), int(j)
+
+
+def rest_links(rows: DataFrame, found: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """Links between classes (components of the links ``found``) that share a bucket of ``rows`` (``bucket, node, size``).
+
+    All pairs of a bucket are compared but those inside a class: its nodes are dealt into blocks, those of the class
+    with most nodes apart from the rest, and a task gets two blocks, or one of the rest."""
+    of = components(found)
+    rows = materialize(rows.join(of, "node", "left").select("bucket", "node", "size", F.coalesce("class", "node").alias("class")), "neardup-large")
+    per_class = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    per_bucket = per_class.groupBy("bucket").agg(F.max(F.struct("n", "class", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size")).filter("n > main.n")
+
+    def blocks(n, size):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    main = F.col("main")
+    per_bucket = per_bucket.select("bucket", main["class"].alias("main"), blocks(F.col("n") - main["n"], F.col("size") - main["size"]).alias("k_rest"),
+                                   blocks(main["n"], main["size"]).alias("k_main"))
+    place = F.xxhash64("node", F.lit(1))
+    dealt = rows.join(per_bucket, "bucket").withColumn("block", F.when(F.col("class") == F.col("main"), F.col("k_rest") + F.pmod(place, "k_main")).otherwise(
+        F.pmod(place, "k_rest")).cast("int"))
+    partners = F.when(F.col("block") >= F.col("k_rest"), F.sequence(F.lit(0), F.col("k_rest") - 1)).otherwise(
+        F.sequence(F.lit(0), F.col("k_rest") + F.col("k_main") - 1))
+    sets = dealt.select("bucket", "node", "class", "block", F.explode(partners).alias("other")).select(
+        F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("set"), "node", "class", "block")
+
+    def settle(group: pa.Table) -> Iterator[tuple[int, int]]:
+        return cross_connections(*(group.column(c).to_pylist() for c in ("hashes", "weights", "class", "block")), threshold)
+
+    return links_by_set(sets.join(lists, "node").select("set", "node", "class", "block", "hashes", "weights"), settle)
+
+
 def links(nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """Verified links ``a, b`` of nodes. ``nodes``: ``node, rep, sig``; ``texts``: ``doc, text`` with each node's
     text at its ``rep`` (other rows of that id do no harm)."""
@@ -350,6 +422,7 @@ def links(nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> Data
     needed = nodes.join(open_rows.select("node").distinct(), "node").select(F.col("rep").alias("doc"))
     lists = materialize(weight_lists(texts.join(needed, "doc", "left_semi").select("text"), weights), "neardup-lists")
     sets, found = [], []
+    whole = open_rows.filter("not small").select("bucket", "node", "size")
     for step in range(0, SAMPLES, EXTRA_PER_ROUND):
         sets.append(open_rows.filter("small").groupBy("bucket").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes"))
         large = open_rows.filter("not small")
@@ -369,6 +442,8 @@ def links(nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> Data
     else:
         sets.append(open_rows.filter("small").groupBy("bucket").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes"))
     found.append(materialize(settled_links(reduce(DataFrame.union, sets), lists, threshold), "neardup-settled"))
+    if len(found) > 1:             # there are larger buckets: what their leaders left
+        found.append(materialize(rest_links(whole, reduce(DataFrame.union, found), lists, threshold), "neardup-rest"))
     return reduce(DataFrame.union, found)
 
 

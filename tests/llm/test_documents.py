@@ -230,6 +230,36 @@ def test_settled_links_connect_what_all_pairs_connect(spark):
     assert set(map(tuple, out)) <= set(every)
 
 
+def linked_classes(spark, texts):
+    """Classes by ``links`` where all texts share the bucket of the first band only, and by brute force."""
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    docs = documents(spark, rows)
+    none = np.zeros(0, np.uint64)
+    weights = spark.sparkContext.broadcast(neardup.Weights(none, none, 2, len(texts), 0.25))
+    own = F.unhex(F.concat(*[F.sha2(F.concat_ws(" ", F.lit(k), "doc"), 256) for k in range(6)]))
+    sig = F.concat(F.lit(bytes(4 * neardup.ROWS)), F.substr(own, F.lit(1), F.lit(4 * (neardup.SAMPLES - neardup.ROWS))))
+    nodes = neardup.signatures(docs, weights, "doc_id", "text").select(F.xxhash64("words").alias("node"), F.col("doc").alias("rep"), sig.alias("sig"), "size")
+    nodes = neardup.materialize(nodes, "test-nodes")
+    of = {r.node: r.rep for r in nodes.collect()}
+    found = [(of[r.a], of[r.b]) for r in neardup.links(nodes, docs.select(F.col("doc_id").alias("doc"), "text"), weights, 0.8).collect()]
+    part = list(range(len(rows)))
+    for a, b in found:
+        part = [part[a] if o == part[b] else o for o in part]
+    return Counter((i, part.index(part[i])) for i in range(len(rows))), brute_classes(rows)
+
+
+def test_large_bucket_links_through_matched_members(spark):
+    """Pairs B-C in a bucket of over 32 nodes: B is like the core, C like B but not like the core."""
+    texts, core = [], [f"core{j}" for j in range(100)]
+    for i in range(60):
+        texts.append(" ".join(core + [f"own{i}"]))
+    for i in range(12):
+        texts.append(" ".join(core + [f"b{i}x{j}" for j in range(18)]))
+        texts.append(" ".join(core + [f"b{i}x{j}" for j in range(36)]))
+    got, want = linked_classes(spark, texts)
+    assert got == want and len({c for _, c in want}) == 1
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(0, 2**64, 400, dtype=np.uint64))
