@@ -12,12 +12,13 @@ a few bytes per shingle and one row per (slice, range).
 
 Improved consistent weighted sampling draws, per sample, (r, c, beta) for each shingle by its
 hash and keeps the shingle and level with the least hash value; equal samples have the
-probability of the weighted Jaccard similarity. ``BANDS`` x ``ROWS`` samples make bands. In a
-band's bucket of more than ``SETTLED`` nodes or ``SETTLED_SHINGLES`` shingles, a leader is compared with
-the members by exact weighted Jaccard similarity; members that fail stay, split on further samples,
-and elect a new leader, so work is linear in members per round and no bucket is capped. Smaller
-buckets, at first or after splits, are settled by one task each, a set of nodes once however many
-bands it shares: nodes that no link connects yet are compared, so no connection inside is lost.
+probability of the weighted Jaccard similarity. ``BANDS`` x ``ROWS`` samples make bands. A band's
+bucket of up to ``SETTLED`` nodes and ``SETTLED_SHINGLES`` shingles is settled by one task, a set of nodes
+once however many bands it shares: nodes that no link connects yet are compared. In a larger bucket,
+``LEADERS`` members in turn are compared with those that no earlier one matched; then all its pairs between different
+components of the links so far are compared, in blocks spread over tasks. So at any size no
+connection inside a bucket is lost: similarities are exact weighted Jaccard. The leaders only save work: it is linear in
+members where they connect a bucket, and grows with the square of a large bucket of texts that are not alike.
 Texts of the same words are one node from the start: copies are never compared.
 
 Classes are the connected components of the verified links.
@@ -47,7 +48,7 @@ SAMPLES = BANDS * ROWS
 FREQUENT = 1 << 20             # shingles whose idf may differ from 1, at most
 COUNT_BITS = 48                # hash bits that document frequencies are counted by
 DRAWS = 16                     # bits: size of the table of random draws
-EXTRA_PER_ROUND = 2            # further samples that split a bucket's failing members
+LEADERS = 3                    # rounds of leaders in a larger bucket, to save comparisons
 SETTLED = 32                   # nodes, and
 SETTLED_SHINGLES = 1 << 18     # distinct shingles of a bucket that one task settles
 BLOCK = 256                    # nodes, and
@@ -292,17 +293,17 @@ def similarity(h1: pd.Series, w1: pd.Series, h2: pd.Series, w2: pd.Series) -> pd
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """``bucket, node, sig, size``, a row per band (nodes without samples have none)."""
+    """``bucket, node, band, size``, a row per band (nodes without samples have none)."""
     width = 4 * ROWS
     return nodes.filter("sig is not null").select("node", "sig", "size", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select(
-        "node", "band", F.xxhash64("band", F.substr("sig", F.col("band") * width + 1, F.lit(width))).alias("bucket"), "sig", "size")
+        "node", "band", F.xxhash64("band", F.substr("sig", F.col("band") * width + 1, F.lit(width))).alias("bucket"), "size")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
     """Rows of buckets that hold several, with ``small``: one task can settle the bucket."""
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).filter("n > 1").select(
         "bucket", ((F.col("n") <= SETTLED) & (F.col("total") <= SETTLED_SHINGLES)).alias("small"))
-    return rows.join(counts, "bucket").select("bucket", "node", "band", F.when(~F.col("small"), F.col("sig")).alias("sig"), "size", "small")
+    return rows.join(counts, "bucket").select("bucket", "node", "band", "size", "small")
 
 
 def connections(hashes: list[bytes], weights: list[bytes], threshold: float) -> Iterator[tuple[int, int]]:
@@ -418,32 +419,27 @@ def rest_links(rows: DataFrame, found: DataFrame, lists: DataFrame, threshold: f
 def links(nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """Verified links ``a, b`` of nodes. ``nodes``: ``node, rep, sig``; ``texts``: ``doc, text`` with each node's
     text at its ``rep`` (other rows of that id do no harm)."""
-    open_rows = materialize(shared_buckets(bucket_rows(nodes)), "neardup-buckets")
-    needed = nodes.join(open_rows.select("node").distinct(), "node").select(F.col("rep").alias("doc"))
+    shared = materialize(shared_buckets(bucket_rows(nodes)), "neardup-buckets")
+    needed = nodes.join(shared.select("node").distinct(), "node").select(F.col("rep").alias("doc"))
     lists = materialize(weight_lists(texts.join(needed, "doc", "left_semi").select("text"), weights), "neardup-lists")
-    sets, found = [], []
-    whole = open_rows.filter("not small").select("bucket", "node", "size")
-    for step in range(0, SAMPLES, EXTRA_PER_ROUND):
-        sets.append(open_rows.filter("small").groupBy("bucket").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes"))
-        large = open_rows.filter("not small")
-        if large.isEmpty():
+    sets = shared.filter("small").groupBy("bucket").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes")
+    large = shared.filter("not small").select("bucket", "node", "band", "size")
+    found, left = [materialize(settled_links(sets, lists, threshold), "neardup-settled")], large
+    for _ in range(LEADERS):
+        if left.isEmpty():
             break
         # a leader per bucket, by a hash of its own in each band, so that buckets differ in leaders
-        leaders = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "band").alias("r"), "node")).alias("l")).select("bucket", F.col("l.node").alias("leader"))
-        members = large.join(leaders, "bucket").filter("node <> leader")
+        leaders = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "band").alias("r"), "node")).alias("l")).select("bucket", F.col("l.node").alias("leader"))
+        members = left.join(leaders, "bucket").filter("node <> leader")
         pairs = members.select("leader", "node").distinct()
-        left = lists.select(F.col("node").alias("leader"), F.col("hashes").alias("h1"), F.col("weights").alias("w1"))
-        compared = pairs.join(lists, "node").join(left, "leader").select("leader", "node", similarity("h1", "w1", "hashes", "weights").alias("s"))
+        led = lists.select(F.col("node").alias("leader"), F.col("hashes").alias("h1"), F.col("weights").alias("w1"))
+        compared = pairs.join(lists, "node").join(led, "leader").select("leader", "node", similarity("h1", "w1", "hashes", "weights").alias("s"))
         good = materialize(compared.filter(F.col("s") >= threshold).select(F.col("leader").alias("a"), F.col("node").alias("b")), "neardup-links")
         found.append(good)
         failed = members.join(good, (F.col("leader") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti")
-        extra = F.substr("sig", F.pmod((F.col("band") + 1) * (4 * ROWS) + F.lit(4 * step), F.lit(4 * SAMPLES)) + 1, F.lit(4 * EXTRA_PER_ROUND))
-        open_rows = materialize(shared_buckets(failed.select("node", "band", F.xxhash64("bucket", extra).alias("bucket"), "sig", "size")), "neardup-open")
-    else:
-        sets.append(open_rows.filter("small").groupBy("bucket").agg(F.array_sort(F.collect_set("node")).alias("nodes")).select("nodes"))
-    found.append(materialize(settled_links(reduce(DataFrame.union, sets), lists, threshold), "neardup-settled"))
-    if len(found) > 1:             # there are larger buckets: what their leaders left
-        found.append(materialize(rest_links(whole, reduce(DataFrame.union, found), lists, threshold), "neardup-rest"))
+        left = materialize(failed.select("bucket", "node", "band", "size"), "neardup-open")
+    if not large.isEmpty():
+        found.append(materialize(rest_links(large, reduce(DataFrame.union, found), lists, threshold), "neardup-rest"))
     return reduce(DataFrame.union, found)
 
 

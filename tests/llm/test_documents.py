@@ -260,6 +260,16 @@ def test_large_bucket_links_through_matched_members(spark):
     assert got == want and len({c for _, c in want}) == 1
 
 
+def test_large_bucket_of_strangers_keeps_its_pairs(spark):
+    """Pairs on one template in one bucket: strangers are alike below the threshold, further samples differ."""
+    core, texts = [f"core{j}" for j in range(100)], []
+    for i in range(150):
+        own = [f"p{i}x{j}" for j in range(20)]
+        texts += [" ".join(core + own), " ".join(core + own[:-3] + [f"q{i}x{j}" for j in range(3)])]
+    got, want = linked_classes(spark, texts)
+    assert got == want and Counter(Counter(c for _, c in want).values()) == {2: 150}
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(0, 2**64, 400, dtype=np.uint64))
