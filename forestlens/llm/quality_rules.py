@@ -4,9 +4,14 @@ Each rule rejects a text whose measure lies above a cutoff. Cutoffs are chosen p
 (language) and rule on labelled holdout documents: going from the laxest to the strictest
 cutoff of a fixed grid, a cutoff is accepted while the exact binomial test (Clopper-Pearson)
 shows that it rejects less than ``max_false_rejection`` of the good documents, at confidence
-1 - ``delta`` / (strata x rules). Testing in a fixed order needs no further correction over
+1 - ``delta`` / (tested strata x rules). Testing in a fixed order needs no further correction over
 cutoffs, Bonferroni covers strata and rules, so with probability 1 - ``delta`` every rule in every
-stratum keeps its limit. A rule without enough labelled evidence in a stratum stays off there.
+tested stratum keeps its limit.
+
+Strata with too few good labels for a proof of their own are tested as one pool, with the smallest
+larger strata as further evidence while the pool itself has too few. The number of good labels alone decides, not
+what rules reject. The limit is then proved for the pool as a whole, not for each stratum in it.
+Rules stay off where even that is too little evidence, and in strata without a labelled document.
 
 A base gate (too few words, too many repeated words) comes first.
 
@@ -125,8 +130,30 @@ def largest_passing(n: int, p: float, delta: float) -> int:
     return lo
 
 
+def evidence(sizes: dict[int, int], max_false_rejection: float, delta: float) -> tuple[float, float, float]:
+    """``least, reach, level``: strata of ``least`` good labels or more are tested by themselves, the others as a pool of
+    all strata below ``reach``, each rule at ``level``. ``sizes``: number of strata by their number of good labels."""
+    down, strata = sorted(sizes, reverse=True), sum(sizes.values())
+
+    def level(tests: int) -> float:
+        return delta / (max(1, tests) * len(RULES))
+
+    least, tests, own = float("inf"), 1, 0
+    for n in down:
+        own += sizes[n]
+        after = own + (own < strata)
+        if largest_passing(n, max_false_rejection, level(after)) >= 0:
+            least, tests = n, after
+    pooled, reach = sum(n * k for n, k in sizes.items() if n < least), least
+    for n in reversed(down):
+        if down[-1] < least <= n and largest_passing(pooled, max_false_rejection, level(tests)) < 0:
+            pooled, reach = pooled + n * sizes[n], n + 1
+    return least, reach, level(tests)
+
+
 def choose_cutoffs(labelled: DataFrame, max_false_rejection: float, delta: float) -> DataFrame:
-    """``stratum, rule, cutoff, n_good, rejected_good, rejected_bad`` for every rule that passes.
+    """``stratum, pooled, rule, cutoff, n_good, rejected_good, rejected_bad`` for every rule that passes;
+    where ``pooled``, the counts are the pool's.
 
     ``labelled``: ``stratum``, ``good`` (boolean), ``m``. Rows are reduced to counts by
     (stratum, rule, grid cell) before a shuffle; a stratum's group has a fixed number of rows."""
@@ -134,12 +161,17 @@ def choose_cutoffs(labelled: DataFrame, max_false_rejection: float, delta: float
         F.struct(F.lit(r).alias("rule"), F.ceil(F.round(ratio(r) * len(CUTOFFS), 9)).cast("int").alias("cell")) for r in RULES])))
     counts = cells.groupBy("stratum", "rule", "cell").agg(
         F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad"))
-    strata = labelled.select("stratum").distinct().count()
-    level = delta / max(1, strata * len(RULES))
+    strata = labelled.groupBy(F.col("stratum").alias("of")).agg(F.sum(F.col("good").cast("long")).alias("n"))
+    # distinct sizes: at most the root of twice the labels
+    least, reach, level = evidence({r["n"]: r["k"] for r in strata.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}, max_false_rejection, delta)
+    sized = counts.join(strata, F.col("stratum").eqNullSafe(F.col("of")))
+    pool = sized.filter(F.col("n") < reach).groupBy("rule", "cell").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    counts = sized.filter(F.col("n") >= least).select("stratum", F.lit(False).alias("pooled"), "rule", "cell", "good", "bad").union(
+        pool.select(F.lit(None).cast("string"), F.lit(True), "rule", "cell", "good", "bad"))
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        stratum = group["stratum"].iloc[0]
+        stratum, pooled = group["stratum"].iloc[0], group["pooled"].iloc[0]
         for rule, own in group.groupby("rule"):
             good = np.bincount(own["cell"], own["good"], len(CUTOFFS) + 1)
             bad = np.bincount(own["cell"], own["bad"], len(CUTOFFS) + 1)
@@ -149,13 +181,15 @@ def choose_cutoffs(labelled: DataFrame, max_false_rejection: float, delta: float
             for i in reversed(range(len(CUTOFFS))):       # laxest first; stop at the first that fails
                 if good[i + 1:].sum() > allowed:
                     break
-                best = (stratum, rule, CUTOFFS[i], n, int(good[i + 1:].sum()), int(bad[i + 1:].sum()))
+                best = (stratum, pooled, rule, CUTOFFS[i], n, int(good[i + 1:].sum()), int(bad[i + 1:].sum()))
             if best is not None:
                 out.append(best)
-        return pd.DataFrame(out, columns=["stratum", "rule", "cutoff", "n_good", "rejected_good", "rejected_bad"])
+        return pd.DataFrame(out, columns=["stratum", "pooled", "rule", "cutoff", "n_good", "rejected_good", "rejected_bad"])
 
-    return counts.groupBy("stratum").applyInPandas(
-        choose, "stratum string, rule string, cutoff double, n_good long, rejected_good long, rejected_bad long")
+    chosen = materialize(counts.groupBy("stratum", "pooled").applyInPandas(
+        choose, "stratum string, pooled boolean, rule string, cutoff double, n_good long, rejected_good long, rejected_bad long"), "quality-chosen")
+    of_pool = strata.filter(F.col("n") < least).select(F.col("of").alias("stratum")).crossJoin(chosen.filter("pooled").drop("stratum"))
+    return chosen.filter("not pooled").union(of_pool)
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_false_rejection: float = 0.005, delta: float = 0.05,

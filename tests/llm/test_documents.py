@@ -126,6 +126,29 @@ def test_quality_rules_keep_the_limit_and_reject_junk(spark):
     assert quality_rules.kept_documents(docs, marks, max_false_rejection=0.02).columns == docs.columns
 
 
+def test_quality_rules_pool_languages_too_small_for_a_proof(spark):
+    rows, marks = [], []
+    for i in range(2000 + 6 * 60 + 9):
+        lang = "en" if i < 2000 else f"rare{(i - 2000) % 6}" if i < 2360 else "unlabelled"
+        bad = i % 5 == 0
+        rows.append((i, " ".join(f"word{i}x{j}" + ("%%%" if bad else "") for j in range(25)), lang, "a", 0))
+        marks += [(i, 0 if bad else 1, 0)] if i < 2360 else []
+    docs, marks = documents(spark, rows), labels(spark, marks)
+    out = quality_rules.judge(docs, marks, max_false_rejection=0.02).select("row.doc_id", "kept").collect()
+    assert all(r.kept == (r.doc_id % 5 != 0) for r in out if r.doc_id < 2360)
+    assert all(r.kept for r in out if r.doc_id >= 2360)
+
+
+def test_quality_evidence_goes_by_good_labels():
+    level = 0.05 / len(quality_rules.RULES)
+    inf = float("inf")
+    assert quality_rules.evidence({}, 0.005, 0.05) == (inf, inf, level)
+    assert quality_rules.evidence({400: 2, 100: 3}, 0.005, 0.05) == (inf, inf, level)          # one pool of all
+    assert quality_rules.evidence({3000: 1, 2000: 1}, 0.005, 0.05) == (2000, 2000, level / 2)  # no pool needed
+    assert quality_rules.evidence({3000: 1, 400: 3}, 0.005, 0.05) == (3000, 3000, level / 2)
+    assert quality_rules.evidence({5000: 1, 3000: 1, 40: 2}, 0.005, 0.05) == (3000, 3001, level / 3)   # the pool needs the smaller
+
+
 # --- line de-duplication ------------------------------------------------------------------
 
 def test_line_dedup(spark, docs):
