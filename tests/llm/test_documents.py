@@ -253,14 +253,14 @@ def test_settled_links_connect_what_all_pairs_connect(spark):
     assert set(map(tuple, out)) <= set(every)
 
 
-def linked_classes(spark, texts):
-    """Classes by ``links`` where all texts share the bucket of the first band only, and by brute force."""
+def linked_classes(spark, texts, alike=neardup.ROWS):
+    """Classes by ``links`` where all texts share the first ``alike`` samples (by default the bucket of the first band only), and by brute force."""
     rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
     docs = documents(spark, rows)
     none = np.zeros(0, np.uint64)
     weights = spark.sparkContext.broadcast(neardup.Weights(none, none, 2, len(texts), 0.25))
     own = F.unhex(F.concat(*[F.sha2(F.concat_ws(" ", F.lit(k), "doc"), 256) for k in range(6)]))
-    sig = F.concat(F.lit(bytes(4 * neardup.ROWS)), F.substr(own, F.lit(1), F.lit(4 * (neardup.SAMPLES - neardup.ROWS))))
+    sig = F.concat(F.lit(bytes(4 * alike)), F.substr(own, F.lit(1), F.lit(4 * (neardup.SAMPLES - alike))))
     nodes = neardup.signatures(docs, weights, "doc_id", "text").select(F.xxhash64("words").alias("node"), F.col("doc").alias("rep"), sig.alias("sig"), "size")
     nodes = neardup.materialize(nodes, "test-nodes")
     of = {r.node: r.rep for r in nodes.collect()}
@@ -293,6 +293,16 @@ def test_large_bucket_of_strangers_keeps_its_pairs(spark):
     assert got == want and Counter(Counter(c for _, c in want).values()) == {2: 150}
 
 
+def test_large_buckets_that_no_sample_splits(spark):
+    """Strangers that share all samples: more of them than leaders, and none is dropped."""
+    core, texts = [f"core{j}" for j in range(100)], []
+    for i in range(150):
+        own = [f"p{i}x{j}" for j in range(20)]
+        texts += [" ".join(core + own), " ".join(core + own[:-3] + [f"q{i}x{j}" for j in range(3)])]
+    got, want = linked_classes(spark, texts, neardup.SAMPLES)
+    assert got == want and Counter(Counter(c for _, c in want).values()) == {2: 150}
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(0, 2**64, 400, dtype=np.uint64))
