@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forestlens.llm import chat, crf_quality, licenses, line_dedup, mixing, neardup, packing, quality_rules, sharding, topk
-from forestlens.llm.common import materialize, table
+from forestlens.llm import (chat, crf_quality, licenses, line_dedup, mixing, neardup, packing, periodic_runs, quality_rules,
+                            sharding, topk)
+from forestlens.llm.common import WORD_PATTERN, cell, materialize, table
 
 SHARD_BYTES = 16 << 20
 SEQUENCE = 4096
@@ -92,10 +93,34 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``documents`` with the tail of every tenth text (by crc32 of its id) made periodic, as op12 asks;
+    a text without words, or without an id, stays as it is."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = docs.withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all(cell("text"), F.lit(WORD_PATTERN), F.lit(0))))
+    n = F.size("words")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    tail = F.transform("words", lambda w, i: F.when(i < a, w).otherwise(F.get("words", (a + (i - a) % p).cast("int"))))
+    return words.withColumn("text", F.when(n > 0, F.array_join(tail, " ")).otherwise(F.col("text"))).drop("words")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = out.withColumn("top", periodic_runs.longest_power("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return out.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_mix_sources, op2_near_duplicates, op3_quality_rules, op4_line_dedup, op5_pack_sequences, op6_line_quality,
-        op7_top_inner_products, op8_extendible_shards, op9_license_rules, op10_chat_format)}
+        op7_top_inner_products, op8_extendible_shards, op9_license_rules, op10_chat_format, op12_periodic_runs)}
 
 
 OP4_SQL = r"""
