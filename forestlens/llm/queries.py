@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forestlens.llm import (chat, crf_quality, licenses, line_dedup, mixing, neardup, packing, periodic_runs, quality_rules,
-                            sharding, topk)
+from forestlens.llm import (chat, collocations, crf_quality, licenses, line_dedup, mixing, neardup, packing, periodic_runs,
+                            quality_rules, sharding, topk)
 from forestlens.llm.common import WORD_PATTERN, cell, materialize, table
 
 SHARD_BYTES = 16 << 20
@@ -93,6 +93,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``documents`` with the tail of every tenth text (by crc32 of its id) made periodic, as op12 asks;
     a text without words, or without an id, stays as it is."""
@@ -120,7 +124,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_mix_sources, op2_near_duplicates, op3_quality_rules, op4_line_dedup, op5_pack_sequences, op6_line_quality,
-        op7_top_inner_products, op8_extendible_shards, op9_license_rules, op10_chat_format, op12_periodic_runs)}
+        op7_top_inner_products, op8_extendible_shards, op9_license_rules, op10_chat_format, op11_collocations, op12_periodic_runs)}
 
 
 OP4_SQL = r"""
@@ -149,5 +153,35 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase
+  FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) sizes),
+f AS (SELECT lang, k, phrase, count(*) AS n, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.n AS a, j, x.n AS l, y.n AS r,
+         CAST(2000000 * CAST(c.n AS HUGEINT) // (x.n + y.n) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, j), ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, j + 1, c.k), ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i:
+         array_to_string(list_slice(w, i, i + m - 1), ' '))))) AS phrase, n FROM f WHERE k > 2),
+longer AS (SELECT lang, phrase, max(n) AS n FROM inside GROUP BY lang, phrase),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN longer USING (lang, phrase)
+  WHERE longer.n IS NULL OR 100 * CAST(longer.n AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op7_top_inner_products": OP7_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op7_top_inner_products": OP7_SQL, "op11_collocations": OP11_SQL}
