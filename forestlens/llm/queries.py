@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forestlens.llm import (chat, collocations, crf_quality, licenses, line_dedup, mixing, neardup, packing, periodic_runs,
-                            quality_rules, sharding, topk)
+                            quality_rules, sharding, suffix_dedup, topk)
 from forestlens.llm.common import WORD_PATTERN, cell, materialize, table
 
 SHARD_BYTES = 16 << 20
@@ -121,10 +121,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_strings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_mix_sources, op2_near_duplicates, op3_quality_rules, op4_line_dedup, op5_pack_sequences, op6_line_quality,
-        op7_top_inner_products, op8_extendible_shards, op9_license_rules, op10_chat_format, op11_collocations, op12_periodic_runs)}
+        op7_top_inner_products, op8_extendible_shards, op9_license_rules, op10_chat_format, op11_collocations, op12_periodic_runs,
+        op13_suffix_dedup)}
 
 
 OP4_SQL = r"""
@@ -183,5 +189,24 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 """
 
 
+OP13_SQL = """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+strings AS (SELECT r, doc_id, i, b[i:i + 49] AS s FROM (SELECT *, unnest(range(1, octet_length(b) - 48)) AS i FROM texts) t),
+firsts AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s),
+starts AS (SELECT r, i FROM strings JOIN firsts USING (s) WHERE doc_id > first),
+marks AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM starts),
+runs AS (
+  SELECT r, min(i) AS a, max(i) + 49 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM marks) m GROUP BY r, run),
+kept AS (
+  SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS x, a - 1 AS y FROM runs
+  UNION ALL SELECT t.r, coalesce(max(z), 0) + 1, octet_length(any_value(b)) FROM texts t LEFT JOIN runs ON runs.r = t.r GROUP BY t.r),
+rest AS (SELECT k.r, unhex(string_agg(CASE WHEN y >= x THEN hex(b[x:y]) ELSE '' END, '' ORDER BY x)) AS bytes FROM kept k JOIN texts ON texts.r = k.r GROUP BY k.r),
+sums AS (SELECT r, count(*) AS n, sum(z - a + 1) AS size FROM runs GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(size, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(bytes) AS kept_sha256
+FROM texts JOIN rest ON rest.r = texts.r LEFT JOIN sums ON sums.r = texts.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op7_top_inner_products": OP7_SQL, "op11_collocations": OP11_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op7_top_inner_products": OP7_SQL, "op11_collocations": OP11_SQL, "op13_suffix_dedup": OP13_SQL}

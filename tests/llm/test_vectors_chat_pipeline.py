@@ -112,7 +112,7 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
 def test_registered(spark):
     names = entry.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 13)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_queries_on_the_small_tables(spark):
