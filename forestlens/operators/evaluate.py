@@ -101,11 +101,13 @@ def _cols(keys: Sequence[str] | str | None) -> list[str]:
 # --- E1/E2 ------------------------------------------------------------------
 
 def confusion_counts(pred: DataFrame, actual: str = "actual", predicted: str = "predicted",
-                     keys: Sequence[str] | str | None = None) -> DataFrame:
-    """Sparse counts ``(keys..., actual, predicted, n)``: one partial + final aggregate."""
+                     keys: Sequence[str] | str | None = None, weight: str | None = None) -> DataFrame:
+    """Sparse counts ``(keys..., actual, predicted, n)``: one partial + final aggregate. A row
+    counts as many times as its ``weight`` says (once without one)."""
     keys = _cols(keys)
+    n = F.sum(F.col(weight).cast("long")) if weight else F.count(F.lit(1))
     return (pred.groupBy(*keys, F.col(actual).alias("actual"), F.col(predicted).alias("predicted"))
-            .agg(F.count(F.lit(1)).alias("n")))
+            .agg(n.alias("n")))
 
 
 def stray_labels(counts: DataFrame, domain: ClassDomain) -> DataFrame:
@@ -157,9 +159,9 @@ def dense_matrix(counts: DataFrame, domain: ClassDomain, keys: Sequence[str] | s
 
 
 def confusion_matrix(pred: DataFrame, domain: ClassDomain, actual: str = "actual", predicted: str = "predicted",
-                     keys: Sequence[str] | str | None = None) -> DataFrame:
+                     keys: Sequence[str] | str | None = None, weight: str | None = None) -> DataFrame:
     """E1+E2: dense confusion matrix over a declared domain."""
-    return dense_matrix(confusion_counts(pred, actual, predicted, keys), domain, keys)
+    return dense_matrix(confusion_counts(pred, actual, predicted, keys, weight), domain, keys)
 
 
 # --- E3/E5/E7/E9 ------------------------------------------------------------
@@ -214,14 +216,14 @@ def overall_metrics(per_class: DataFrame, keys: Sequence[str] | str | None = Non
 
 
 def metrics_table(pred: DataFrame, domain: ClassDomain, actual: str = "actual", predicted: str = "predicted",
-                  split: str | None = None) -> DataFrame:
+                  split: str | None = None, weight: str | None = None) -> DataFrame:
     """One metrics row per split value in one job (``split, precision, recall, f1``).
     Without a split column there is one row, numbered 0 as in the study's file."""
     keys = [split] if split else []
     # Weighted metrics need no zero cells (a class with neither support nor
     # predictions adds 0 to both sums), so the domain-checked sparse counts are
     # used directly: no per-split grid, no join.
-    counts = require_in_domain(confusion_counts(pred, actual, predicted, keys), domain)
+    counts = require_in_domain(confusion_counts(pred, actual, predicted, keys, weight), domain)
     om = overall_metrics(per_class_metrics(counts, keys), keys)
     if split:
         return om.withColumnRenamed(split, "split")
@@ -237,11 +239,11 @@ class Evaluation:
 
 
 def evaluate(pred: DataFrame, domain: ClassDomain, actual: str = "actual", predicted: str = "predicted",
-             keys: Sequence[str] | str | None = None, checkpoint: bool = False) -> Evaluation:
+             keys: Sequence[str] | str | None = None, checkpoint: bool = False, weight: str | None = None) -> Evaluation:
     """All evaluation frames. With ``checkpoint=True`` the dense matrix (k^2 rows)
     is written once to the reliable checkpoint folder, so the reports derived from it
     never re-run scoring, and survive lost executors."""
-    counts = confusion_counts(pred, actual, predicted, keys)
+    counts = confusion_counts(pred, actual, predicted, keys, weight)
     matrix = dense_matrix(counts, domain, keys)
     if checkpoint:
         from forestlens.session import checkpoint_root

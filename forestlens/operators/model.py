@@ -16,6 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from forestlens.operators.features import assembler, one_hot_stage, index_stage
 from forestlens.operators.split import union_labels
@@ -25,11 +26,18 @@ def label_indexer(label: str, out: str = "label_index", handle_invalid: str = "e
     return StringIndexer(inputCol=label, outputCol=out, handleInvalid=handle_invalid)
 
 
-def fit_label_index(train: DataFrame, label: str, out: str = "label_index",
-                    test: DataFrame | None = None, test_label: str | None = None) -> StringIndexerModel:
+def fit_label_index(train: DataFrame, label: str, out: str = "label_index", test: DataFrame | None = None,
+                    test_label: str | None = None, weight: str | None = None) -> StringIndexerModel:
     """F4 (train only) or F5 (train UNION ALL test, so classes only in test get an
     index too). Only the label column is scanned; the vocabulary (one entry per
-    class) is the only thing returned to the driver."""
+    class) is the only thing returned to the driver. Training records that have a
+    ``weight`` count by it, so the order is that of the rows they stand for."""
+    if weight:
+        src = train.select(label, F.col(weight).cast("long").alias(weight))
+        if test is not None:
+            src = src.union(test.select(test_label or label, F.lit(1).cast("long")))
+        return StringIndexerModel.from_labels(weighted_vocabularies(src, [label], weight)[0], inputCol=label, outputCol=out,
+                                              handleInvalid="error")
     src = train.select(label)
     if test is not None:
         src = union_labels(train, test.withColumnRenamed(test_label, label) if test_label else test, label)
@@ -44,10 +52,13 @@ def label_unindexer(labels: Sequence[str], in_col: str = "prediction", out: str
 def forest(num_trees: int, max_depth: int, label_col: str = "label_index", features: str = "features",
            prediction: str = "prediction", seed: int = 42, subset: str = "auto", max_bins: int = 32,
            max_memory_mb: int = 1024, checkpoint_interval: int = 10, cache_node_ids: bool = False,
-           **kw) -> RandomForestClassifier:
+           weight: str | None = None, **kw) -> RandomForestClassifier:
     """F8: random forest; other settings default (gini, 32 bins). Node-id caching
     (with checkpoints every ``checkpoint_interval`` levels, for which the session needs
-    a checkpoint folder) pays off for deep trees."""
+    a checkpoint folder) pays off for deep trees. ``weight`` names the column of record
+    weights, if records are collapsed."""
+    if weight:
+        kw["weightCol"] = weight
     return RandomForestClassifier(
         numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy=subset, labelCol=label_col,
         featuresCol=features, predictionCol=prediction, seed=seed, maxBins=max_bins,
@@ -74,7 +85,18 @@ def build_pipeline(categorical: Sequence[str], features: Sequence[str], classifi
     return Pipeline(stages=stages)
 
 
-def fit_categorical_index(train: DataFrame, categorical: Sequence[str], handle_invalid: str = "error"
+def weighted_vocabularies(df: DataFrame, cols: Sequence[str], weight: str) -> list[list[str]]:
+    """Each column's values by total weight (ties alphabetical), as the index of the rows behind the records would have
+    them: one pass and one partial + final aggregate for all columns; NULLs get no index."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("value")) for i, c in enumerate(cols)]))
+    sums = df.select(cells.alias("cell"), F.col(weight).alias("n")).filter("cell.value IS NOT NULL").groupBy("cell.i", "cell.value").agg(F.sum("n").alias("n"))
+    out: list[list] = [[] for _ in cols]
+    for r in sums.collect():
+        out[r["i"]].append((-r["n"], r["value"]))
+    return [[v for _, v in sorted(x, key=lambda t: (t[0], t[1].encode("utf-16-be", "surrogatepass")))] for x in out]
+
+
+def fit_categorical_index(train: DataFrame, categorical: Sequence[str], handle_invalid: str = "error", weight: str | None = None
                           ) -> tuple[StringIndexerModel | PipelineModel | None, list[str], list[str]]:
     """Fit the categorical vocabularies in one pass and find the single-valued
     columns (which the one-hot encoder rejects) from them, without another scan: the model of
@@ -83,16 +105,21 @@ def fit_categorical_index(train: DataFrame, categorical: Sequence[str], handle_i
     cols = list(categorical)
     if not cols:
         return None, [], []
-    m = index_stage(cols, handle_invalid).fit(train)
-    dropped = [c for c, labels in zip(cols, m.labelsArray) if len(labels) < 2]
-    if not dropped:
+    stage = index_stage(cols, handle_invalid)
+    if weight:
+        m, labels_of = None, weighted_vocabularies(train, cols, weight)
+    else:
+        m = stage.fit(train)
+        labels_of = [list(x) for x in m.labelsArray]
+    dropped = [c for c, labels in zip(cols, labels_of) if len(labels) < 2]
+    if m is not None and not dropped:
         return m, cols, []
     keep = [c for c in cols if c not in dropped]
     if not keep:
         return None, [], dropped
     return PipelineModel(stages=[
-        StringIndexerModel.from_labels(list(labels), inputCol=c, outputCol=out, handleInvalid=handle_invalid)
-        for c, out, labels in zip(cols, m.getOutputCols(), m.labelsArray) if c in keep]), keep, dropped
+        StringIndexerModel.from_labels(labels, inputCol=c, outputCol=out, handleInvalid=handle_invalid)
+        for c, out, labels in zip(cols, stage.getOutputCols(), labels_of) if c in keep]), keep, dropped
 
 
 def fit(pipeline: Pipeline, train: DataFrame, cache: bool = True) -> PipelineModel:

@@ -16,7 +16,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forestlens.operators import clean, evaluate as ev, features as fe, model as mdl, reports, split as sp
+from forestlens.operators import clean, evaluate as ev, features as fe, model as mdl, records as rc, reports, split as sp
 from forestlens.schema import (
     ALL_CLASSES, BIN_CLASSES, CATEGORICAL_COLUMNS, LABEL_COLUMN, TRAIN_CLASSES, connection_feature_order,
 )
@@ -44,7 +44,8 @@ class ExperimentConfig:
     handle_invalid: str = "error"
     drop_constant: bool = True
     cache_train: bool = True
-    train_partitions: int | None = None    # number of training partitions, dealt by row values; the forest depends on it
+    train_partitions: int | None = None    # number of training partitions, dealt by value; by default it follows the number of records
+    collapse: bool = True                  # train on (record, weight); False: on the rows as the input's files deal them
     cache_node_ids: bool = False           # deep trees; needs a checkpoint folder
 
 
@@ -59,14 +60,24 @@ class ExperimentResult:
     actual: str                # label column the matrix is built on
     dropped_constant: list[str]
     persisted: list[DataFrame] = field(default_factory=list)
+    scored: DataFrame | None = None    # predictions; X1's are of records, with their weight
+    weight: str | None = None
+    trained_records: int | None = None
 
     def domain(self) -> ev.ClassDomain:
         classes = self.config.classes or self.labels
         return ev.ClassDomain.of(classes, self.config.train_classes)
 
     def evaluation(self, checkpoint: bool = True, predictions: DataFrame | None = None) -> ev.Evaluation:
-        pred = self.predictions if predictions is None else predictions
-        return ev.evaluate(pred, self.domain(), self.actual, PREDICTED_LABEL, checkpoint=checkpoint)
+        """Of the test set, records counted by weight; of ``predictions`` if given (row by row
+        unless they carry the weight column)."""
+        pred = self.scored if predictions is None else predictions
+        weight = self.weight if self.weight in pred.columns else None
+        return ev.evaluate(pred, self.domain(), self.actual, PREDICTED_LABEL, checkpoint=checkpoint, weight=weight)
+
+    def rows(self, scored: DataFrame) -> DataFrame:
+        """One row per scored row, whatever stands for it."""
+        return rc.expand(scored, self.weight) if self.weight in scored.columns else scored
 
     def pairs(self) -> DataFrame:
         return self.predictions.select(self.config.label, PREDICTED_LABEL)
@@ -84,9 +95,15 @@ def run_experiment(train: DataFrame, test: DataFrame | None, cfg: ExperimentConf
     raw = sorted(set(cfg.categorical) | {f for f in cfg.features if not f.endswith(fe.VEC_SUFFIX)} | {label})
     if cfg.cache_node_ids:
         checkpoint_root(train.sparkSession)
-    if test is None:                                    # X1: one file, split 80/20
-        train = sp.fixed_partitions(train.select(*raw), cfg.train_partitions)
-        base, (train, test) = sp.persisted_split(train, cfg.split_weights, cfg.split_seed)
+    weight = rc.WEIGHT if cfg.collapse else None
+    whole = None
+    if test is None and cfg.collapse:                   # X1: one file, collapsed to records and split 80/20
+        base, held = rc.persisted_records(train.select(*raw), cfg.train_partitions)
+        persisted += held
+        train, test = rc.split(base, cfg.split_weights, cfg.split_seed)
+        whole = weight
+    elif test is None:
+        base, (train, test) = sp.persisted_split(train.select(*raw), cfg.split_weights, cfg.split_seed)
         persisted.append(base)
     if cfg.binarize:                                    # X3: P2 on both sets
         train = clean.with_binary_label(train, label, label + "_bin")
@@ -96,39 +113,49 @@ def run_experiment(train: DataFrame, test: DataFrame | None, cfg: ExperimentConf
     categorical = list(cfg.categorical)
     feats = list(cfg.features)
     needed = sorted(set(categorical) | {f for f in feats if not f.endswith(fe.VEC_SUFFIX)} | {target})
-    train_in = sp.fixed_partitions(train.select(*needed), cfg.train_partitions)
-    if cfg.cache_train:
+    fitting: list[DataFrame] = []
+    if whole:                                           # a split's records keep the partitions they have
+        train_in = train.select(*needed, weight)
+    elif cfg.collapse:
+        train_in, fitting = rc.persisted_records(train.select(*needed), cfg.train_partitions)
+    else:
+        train_in = sp.fixed_partitions(train.select(*needed), cfg.train_partitions)
+    if cfg.cache_train and not fitting:
         train_in = train_in.persist(StorageLevel.MEMORY_AND_DISK)
+        fitting = [train_in]
     try:
         # Vocabularies of all categorical columns in one pass; constant columns are
         # found from them (no separate scan) and left out, as the encoder rejects them.
-        index_model, categorical, dropped = mdl.fit_categorical_index(train_in, categorical, cfg.handle_invalid)
+        index_model, categorical, dropped = mdl.fit_categorical_index(train_in, categorical, cfg.handle_invalid, weight)
         if dropped and not cfg.drop_constant:
             raise ValueError(f"single-valued categorical columns: {dropped}")
         feats = [f for f in feats if f not in {d + fe.VEC_SUFFIX for d in dropped}]
 
-        clf = mdl.forest(cfg.num_trees, cfg.max_depth, LABEL_INDEX, seed=cfg.seed, cache_node_ids=cfg.cache_node_ids)
+        clf = mdl.forest(cfg.num_trees, cfg.max_depth, LABEL_INDEX, seed=cfg.seed, cache_node_ids=cfg.cache_node_ids, weight=weight)
         if cfg.label_scope == "train":                      # X1: label index is a stage, fit on train
-            stage = mdl.label_indexer(target, LABEL_INDEX)
+            stage = mdl.fit_label_index(train_in, target, LABEL_INDEX, weight=weight) if weight else mdl.label_indexer(target, LABEL_INDEX)
             pipe = mdl.build_pipeline(categorical, feats, clf, labels=None, label_stage=stage,
                                       handle_invalid=cfg.handle_invalid, index_model=index_model)
             n_cat = 2 if categorical else 0
             model = mdl.fit_with_label_stage(pipe, train_in, n_cat, PREDICTED_LABEL, cache=False)
             labels = list(model.stages[n_cat].labels)
         elif cfg.label_scope == "union":                    # X2-X4: index over train UNION ALL test
-            lm = mdl.fit_label_index(train_in, target, LABEL_INDEX, test=test)
+            lm = mdl.fit_label_index(train_in, target, LABEL_INDEX, test=test, weight=weight)
             labels = list(lm.labels)
             pipe = mdl.build_pipeline(categorical, feats, clf, labels=labels, handle_invalid=cfg.handle_invalid,
                                       index_model=index_model)
             model = mdl.fit(pipe, lm.transform(train_in), cache=False)
         else:
             raise ValueError("label_scope must be 'train' or 'union'")
+        trained = train_in.count() if fitting else None
     finally:
-        if cfg.cache_train:
-            train_in.unpersist()
+        sp.release(*fitting)
 
-    predictions = mdl.score(model, test)
-    return ExperimentResult(cfg, model, labels, train, test, predictions, target, dropped, persisted)
+    scored = mdl.score(model, test)
+    result = ExperimentResult(cfg, model, labels, train, test, scored, target, dropped, persisted, scored, whole, trained)
+    if whole:
+        result.train, result.test, result.predictions = (rc.expand(x, weight) for x in (train, test, scored))
+    return result
 
 
 def write_outputs(result: ExperimentResult, out_dir: str, pairs: bool = False, triplets: bool = False,
@@ -144,7 +171,9 @@ def write_outputs(result: ExperimentResult, out_dir: str, pairs: bool = False, t
     paths: dict[str, str] = {}
     label, cfg = result.config.label, result.config
     cols = [label] + ([label + "_bin"] if cfg.binarize else []) + [PREDICTED_LABEL]
-    scored = result.predictions.select(*dict.fromkeys(cols))
+    if result.weight:
+        cols.append(result.weight)
+    scored = result.scored.select(*dict.fromkeys(cols))
     shared = matrix + pairs + triplets + attribution > 1
     if shared:
         # Score once: the label columns of the predictions feed both the matrix
@@ -161,12 +190,12 @@ def write_outputs(result: ExperimentResult, out_dir: str, pairs: bool = False, t
                 paths["metrics"] = sinks.publish_single_file(spark, paths["metrics"], f"{out}/metrics.csv")
                 paths["matrix"] = sinks.publish_single_file(spark, paths["matrix"], f"{out}/matrix.csv")
         if pairs:
-            paths["pairs"] = sinks.write_pairs(scored, f"{out}/pairs", label, PREDICTED_LABEL)
+            paths["pairs"] = sinks.write_pairs(result.rows(scored), f"{out}/pairs", label, PREDICTED_LABEL)
         if triplets:
-            paths["triplets"] = sinks.write_triplets(scored, f"{out}/triplets", label, label + "_bin",
+            paths["triplets"] = sinks.write_triplets(result.rows(scored), f"{out}/triplets", label, label + "_bin",
                                                      PREDICTED_LABEL)
         if attribution:
-            paths |= write_attribution_reports(result, out, scored)
+            paths |= write_attribution_reports(result, out, result.rows(scored))
     finally:
         if shared:
             scored.unpersist()
