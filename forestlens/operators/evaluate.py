@@ -164,6 +164,41 @@ def confusion_matrix(pred: DataFrame, domain: ClassDomain, actual: str = "actual
     return dense_matrix(confusion_counts(pred, actual, predicted, keys, weight), domain, keys)
 
 
+# --- the domain as a table -----------------------------------------------------
+# For domains of any size: classes are joined in, so the plan does not grow with them. ``domain`` is
+# a frame ``(class_idx, class, in_train)`` with one row per class, as ``ClassDomain.to_df`` gives it.
+
+def table_strays(counts: DataFrame, domain: DataFrame) -> DataFrame:
+    """Aggregated cells whose actual or predicted label (or NULL) is not in the domain table."""
+    known = domain.select("class")
+    by_actual = counts.join(known, F.col("actual") == F.col("class"), "left_anti")
+    rest = counts.join(known, F.col("actual") == F.col("class"), "left_semi")
+    return by_actual.union(rest.join(known, F.col("predicted") == F.col("class"), "left_anti"))
+
+
+def indexed_counts(counts: DataFrame, domain: DataFrame, strict: bool = True) -> DataFrame:
+    """The sparse matrix ``(actual_idx, actual, predicted_idx, predicted, n)`` by two joins of aggregated cells. A label
+    outside the domain fails the job; without ``strict`` its cells are left out (see :func:`table_strays`)."""
+    a = domain.select(F.col("class").alias("actual"), F.col("class_idx").alias("actual_idx"))
+    p = domain.select(F.col("class").alias("predicted"), F.col("class_idx").alias("predicted_idx"))
+    how = "left" if strict else "inner"
+    cells = counts.join(a, "actual", how).join(p, "predicted", how)
+    if strict:
+        msg = F.concat(F.lit("label outside the class domain: actual="), F.coalesce(F.col("actual"), F.lit("NULL")),
+                       F.lit(", predicted="), F.coalesce(F.col("predicted"), F.lit("NULL")))
+        stray = F.col("actual_idx").isNull() | F.col("predicted_idx").isNull()
+        cells = cells.filter(F.when(stray, F.raise_error(msg)).otherwise(F.col("n") >= 0))
+    return cells.select("actual_idx", "actual", "predicted_idx", "predicted", F.col("n").cast("long").alias("n"))
+
+
+def with_every_class(cells: DataFrame, domain: DataFrame) -> DataFrame:
+    """A sparse matrix with a zero diagonal cell for each class of the domain table, so that every class is listed by
+    :func:`per_class_metrics` without a dense grid."""
+    zero = domain.select(F.col("class_idx").alias("actual_idx"), F.col("class").alias("actual"), F.col("class_idx").alias("predicted_idx"),
+                         F.col("class").alias("predicted"), F.lit(0).cast("long").alias("n"))
+    return cells.union(zero).groupBy("actual_idx", "actual", "predicted_idx", "predicted").agg(F.sum("n").alias("n"))
+
+
 # --- E3/E5/E7/E9 ------------------------------------------------------------
 
 def per_class_metrics(matrix: DataFrame, keys: Sequence[str] | str | None = None) -> DataFrame:

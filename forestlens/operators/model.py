@@ -123,12 +123,14 @@ def fit_categorical_index(train: DataFrame, categorical: Sequence[str], handle_i
 
 
 def fit(pipeline: Pipeline, train: DataFrame, cache: bool = True) -> PipelineModel:
-    """F10. The (projected) training frame is persisted only for the fit."""
+    """F10. The (projected) training frame is persisted only for the fit. The model is a copy,
+    which has no training summary: that would take the session and the training predictions along
+    in every scoring task."""
     if not cache:
-        return pipeline.fit(train)
+        return pipeline.fit(train).copy()
     persisted = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return pipeline.fit(persisted)
+        return pipeline.fit(persisted).copy()
     finally:
         persisted.unpersist()
 

@@ -480,7 +480,7 @@ def _forest(spark, sf_dir, preset: str):
     """A job of its own for every call: each forest query includes its fit."""
     from forestlens.plans import experiments as xp
     li = fx.table(spark, sf_dir, "lineitem")
-    common = dict(categorical=fx.FOREST_CATEGORICAL, features=fx.FOREST_FEATURES, train_partitions=sp.partitions_for(li))
+    common = dict(categorical=fx.FOREST_CATEGORICAL, features=fx.FOREST_FEATURES)
     if preset == "x1":
         r = xp.x1_multiclass_split(fx.forest_all_seen(li), FOREST_TREES, FOREST_DEPTH,
                                    classes=["normal", "neptune", "smurf"], **common)
@@ -519,21 +519,16 @@ FROM lineitem
 """)
 def q_forest_multiclass_split(spark, sf_dir):
     r = _forest(spark, sf_dir, "x1")
-    try:
-        e = r.evaluation(checkpoint=True)
-        cells = e.matrix.agg(F.sum("n").alias("scored"),
-                             F.coalesce(F.sum(F.when(F.col("actual") != F.col("predicted"), F.col("n"))), F.lit(0))
-                             .alias("errors")).first()
-        m = e.overall.first()
-        n_train = r.train.count()
-    finally:
-        r.release()     # the persisted input; a later call re-derives the same splits from the scan
-    total = n_train + cells["scored"]
-    ratio_ok = total == 0 or abs(n_train / total - 0.8) <= 0.02
-    return surface(spark.createDataFrame(
-        [(total, cells["errors"], ratio_ok, m["precision"], m["recall"], m["f1"])],
-        "total_rows bigint, errors bigint, split_ratio_within_2pct boolean, precision double, recall double, "
-        "f1 double"))
+    r.release()         # the result is lazy: records and split follow from the table again
+    zero, key, n = F.lit(0).cast("long"), F.lit(0).alias("key"), F.col(r.weight)
+    part = r.train_records.select(F.lit("train").alias("part"), F.lit(False).alias("wrong"), n.alias("n")).union(
+        r.scored.select(F.lit("test"), F.col(r.actual) != F.col("predicted_label"), n))
+    counts = part.agg(F.coalesce(F.sum("n"), zero).alias("total_rows"), F.coalesce(F.sum(F.when(F.col("wrong"), F.col("n"))), zero).alias("errors"),
+                      F.sum(F.when(F.col("part") == "train", F.col("n"))).alias("train")).select(key, "*")
+    overall = r.evaluation(checkpoint=False).overall.select(key, "precision", "recall", "f1")
+    ratio = F.coalesce(F.abs(F.col("train") / F.col("total_rows") - 0.8) <= 0.02, F.lit(True))
+    return surface(counts.join(overall, "key", "left").select(
+        "total_rows", "errors", ratio.alias("split_ratio_within_2pct"), "precision", "recall", "f1"))
 
 
 @register("forest_binary_triplets", "X3 S5 P1 P2", f"""
@@ -864,7 +859,7 @@ def q_forest_noisy_invariants(spark, sf_dir):
     train, test = li.filter("l_linenumber <= 5").drop("l_linenumber"), li.filter("l_linenumber > 5").drop("l_linenumber")
     r = xp.run_experiment(train, test, xp.ExperimentConfig(
         50, 20, categorical=["l_linestatus"], features=["l_linestatus_vec", "l_quantity", "l_discount", "l_tax"],
-        classes=["A", "N", "R"], train_partitions=sp.partitions_for(li), cache_node_ids=True))
+        classes=["A", "N", "R"], cache_node_ids=True))
     e = r.evaluation(checkpoint=True)
     right = e.matrix.agg((F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))) / F.sum("n")).alias("accuracy"))
     both = e.overall.select("recall").join(right)

@@ -63,6 +63,7 @@ class ExperimentResult:
     scored: DataFrame | None = None    # predictions; X1's are of records, with their weight
     weight: str | None = None
     trained_records: int | None = None
+    train_records: DataFrame | None = None     # X1's training split as records
 
     def domain(self) -> ev.ClassDomain:
         classes = self.config.classes or self.labels
@@ -154,6 +155,7 @@ def run_experiment(train: DataFrame, test: DataFrame | None, cfg: ExperimentConf
     scored = mdl.score(model, test)
     result = ExperimentResult(cfg, model, labels, train, test, scored, target, dropped, persisted, scored, whole, trained)
     if whole:
+        result.train_records = train
         result.train, result.test, result.predictions = (rc.expand(x, weight) for x in (train, test, scored))
     return result
 

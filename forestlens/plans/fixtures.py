@@ -142,7 +142,7 @@ RECORD_DOMAIN = ClassDomain.of(["normal", "neptune", "smurf", "mailbomb"],
                                train_classes=["normal", "neptune", "smurf"])
 
 
-def connection_records(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _connection_columns():
     from forestlens.schema import CONNECTION_FIELDS
     rf = F.col("l_returnflag")
     base = F.when(rf == "A", "normal").when(rf == "R", "neptune").otherwise("smurf")
@@ -161,7 +161,18 @@ def connection_records(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
         "dst_host_count": (F.col("l_suppkey") % 256).cast("int"),
     }
     defaults = {"int": F.lit(0), "double": F.lit(0.0), "string": F.lit("0")}
-    cols = [derived.get(n, defaults[t]).cast(t).alias(n) for n, t in CONNECTION_FIELDS[:-1]]
+    return [derived.get(n, defaults[t]).cast(t).alias(n) for n, t in CONNECTION_FIELDS[:-1]], base
+
+
+def connection_fields(lineitem: DataFrame) -> DataFrame:
+    """The table's columns and, for every row, the 42 fields (labels end with a period)."""
+    cols, base = _connection_columns()
+    return lineitem.select("*", *cols, F.concat(base, F.lit(".")).alias("attack_type"))
+
+
+def connection_records(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
+    cols, base = _connection_columns()
+    rf = F.col("l_returnflag")
     train = lineitem.filter(F.col("l_linenumber") <= 5).select(*cols, F.concat(base, F.lit(".")).alias("attack_type"))
     test_label = F.when((rf == "N") & (F.col("l_linenumber") == 7), F.lit("mailbomb")).otherwise(base)
     test = lineitem.filter(F.col("l_linenumber") > 5).select(*cols, F.concat(test_label, F.lit(".")).alias("attack_type"))

@@ -8,6 +8,9 @@ never by coalescing, which would pull the upstream stage into one task."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +90,13 @@ def write_triplets(pred: DataFrame, path: str, actual: str = "attack_type", actu
     return write_records(pred.select(actual, actual_bin, predicted), path, mode=mode)
 
 
+def write_json(spark, value, target: str) -> str:
+    """A small driver-side value (counts, a manifest) as one JSON file, replaced in one rename."""
+    tmp = f"{target}.tmp-{uuid.uuid4().hex[:12]}"
+    spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").repartition(1).write.text(tmp)
+    return publish_single_file(spark, tmp, target)
+
+
 def save_pipeline(pipeline: Pipeline, out_dir: str) -> str:
     """The unfitted pipeline spec under ``<dir>/pipeline`` (overwrite)."""
     path = out_dir.rstrip("/") + "/pipeline"
