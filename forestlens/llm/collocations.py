@@ -33,9 +33,11 @@ from forestlens.llm.periodic_runs import word_hashes
 HEAD = 1 << 18
 TILE_BITS = 10
 DENSE_PAIRS = 1 << 15        # pairs in a tile from which its 2**20 cells are counted densely
-CHUNK_PAIRS = 1 << 22
+CHUNK_PAIRS = 1 << 20
+ROW_IDS = 1 << 10          # a row of a sequence ends at the first end of a piece after so many ids
+ROWS = 512                 # rows taken at once
 BITMAP_BITS = 1 << 27
-SLICE = 8 << 20
+SLICE = 2 << 20
 NONE = -1                    # no id: an infrequent word, or the end of a piece
 TOP_BIT = np.uint64(1 << 63)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -89,7 +91,7 @@ def split_words(langs: pa.Array, texts: pa.Array) -> Iterator[tuple]:
         data = LOWER[data]
         starts, ends = T.runs(~BREAK[data], offsets)
         doc = np.searchsorted(offsets, starts, "right") - 1
-        cuts = np.concatenate(([0], np.cumsum(CUT[data], dtype=np.int64)))
+        cuts = np.concatenate(([0], np.cumsum(CUT[data], dtype=np.int32)))
         same = np.zeros(len(starts), bool)
         same[:-1] = (doc[1:] == doc[:-1]) & (cuts[starts[1:]] == cuts[ends[:-1]])
         yield lo + doc, data, starts, ends, T.mix(word_hashes(data, starts, ends) + T.mix(salts[lo + doc])), same
@@ -149,7 +151,7 @@ def rank(level: DataFrame, head: int) -> tuple[DataFrame, Ids]:
 
 
 def id_sequences(docs: DataFrame, ids) -> DataFrame:
-    """``ids``: one row per slice of texts, ``NONE`` between stretches of neighbouring frequent words."""
+    """``ids``: a slice of texts in rows of about ``ROW_IDS``, ``NONE`` after each stretch of neighbouring frequent words."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ids.value
@@ -162,8 +164,11 @@ def id_sequences(docs: DataFrame, ids) -> DataFrame:
                 keep = linked.copy()
                 keep[1:] |= linked[:-1]
                 ends = np.flatnonzero(keep & ~linked)
-                keep_at = np.cumsum(keep)
-                yield pa.RecordBatch.from_arrays([pa.array([np.insert(seq[keep], keep_at[ends], NONE)], pa.list_(pa.int64()))], ["ids"])
+                closed = np.insert(seq[keep], np.cumsum(keep)[ends], NONE)
+                gaps = np.flatnonzero(closed == NONE) + 1
+                rows = np.unique(gaps[np.searchsorted(gaps, np.arange(0, len(closed), ROW_IDS), "right")]) if len(gaps) else gaps
+                rows = np.unique(np.concatenate(([0], rows, [len(closed)])))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(closed))], ["ids"])
 
     return docs.mapInArrow(encode, "ids array<long>")
 
@@ -213,8 +218,8 @@ def pair_counts(sequences: DataFrame, levels, min_count: int, dense_pairs: int)
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
         for batch in batches:
-            for row in batch.column(0):
-                seq = climbed(row.values.to_numpy(zero_copy_only=False), tables)
+            for lo in range(0, batch.num_rows, ROWS):        # each row ends with NONE, so rows can stand side by side
+                seq = climbed(batch.column(0).slice(lo, ROWS).flatten().to_numpy(zero_copy_only=False), tables)
                 both = (seq[:-1] != NONE) & (seq[1:] != NONE)
                 held.append((seq[:-1][both], seq[1:][both]))
                 size += len(held[-1][0])

@@ -103,3 +103,12 @@ def test_empty_and_registered(spark):
     got = queries.op11_collocations(spark, sf)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert all(t == "bigint" for c, t in got.dtypes if c not in ("lang", "phrase")) and sorted(map(tuple, got.collect())) == brute(rows, 30)
+
+
+def test_small_rows_and_chunks(spark, rows, monkeypatch):
+    """Sequences in many rows, pairs in many chunks: the same counts (the numbers reach the tasks with the functions)."""
+    want = sorted(map(tuple, col.frequent_phrases(documents(spark, rows), min_count=4)[0].collect()))
+    seq = np.array([3, 4, col.NONE, 5, 6, 7, col.NONE])
+    assert col.climbed(seq, []).tolist() == seq.tolist()
+    few = documents(spark, rows).repartition(9)
+    assert sorted(map(tuple, col.frequent_phrases(few, min_count=4, dense_pairs=2)[0].collect())) == want
