@@ -164,7 +164,7 @@ def test_job_with_bad_lines(spark, tmp_path):
     text = [good[0].replace("normal.", "smurf.").replace("tcp", "icmp").replace("http", "ecr_i"), *good] * 30 + lines()[3:5]
     for name in ("train", "test"):
         (tmp_path / f"{name}.csv").write_text("\n".join(text) + "\n")
-    args = ["x2", str(tmp_path / "train.csv"), str(tmp_path / "test.csv"), str(tmp_path / "out"), "3", "3"]
+    args = ["x2", str(tmp_path / "train.csv"), str(tmp_path / "test.csv"), str(tmp_path / "out"), "31", "3"]
     with pytest.raises(Exception, match="NULL in a non-null column"):
         cli.main([*args, "--clean"])
     paths = cli.main([*args, "--clean", "--keep-rejects"])
