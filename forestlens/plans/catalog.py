@@ -619,19 +619,18 @@ WITH p AS (""" + fx.RULE_PREDICTIONS_SQL + """)
 SELECT actual, predicted, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY actual, predicted
 """)
 def q_stream_confusion_counts(spark, sf_dir):
-    """The lineitem table (a file or a folder of files) read as a stream, one file per
-    trigger; the counts live in the state store and their snapshots in the shared folder.
-    Returns the snapshot after all available input is processed."""
+    """The lineitem table (a file or a folder of files) read as a stream; the counts live in the
+    state store of the query's checkpoint and are read from there after all available input is processed."""
     from forestlens.streaming import scoring
     schema = fx.table(spark, sf_dir, "lineitem").schema
-    stream = scoring.read_record_stream(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet", schema, max_files_per_trigger=1)
-    path = scratch_path(spark, "running-counts")
-    q = scoring.start_running_matrix_table(fx.rule_predictions(stream), "actual", "predicted", path)
+    stream = scoring.read_record_stream(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet", schema)
+    state = scratch_path(spark, "running-counts")
+    q = scoring.start_running_matrix(fx.rule_predictions(stream), "actual", "predicted", state, trigger={"availableNow": True})
     try:
-        q.processAllAvailable()
+        q.awaitTermination()
     finally:
         q.stop()
-    return scoring.read_running_matrix(spark, path)
+    return scoring.read_state_counts(spark, state)
 
 
 # ---------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forestlens.operators import clean, evaluate as ev, forest_sizes, ranking, records as rc
+from forestlens.operators import clean, evaluate as ev, forest_sizes, incremental, ranking, records as rc
 from forestlens.plans import fixtures as fx
 from forestlens.plans.catalog import FOREST_DEPTH, FOREST_TREES, _forest, register, surface
 from forestlens.session import scratch_path
@@ -187,3 +187,24 @@ def q_counted_rejects(spark, sf_dir):
     kind = F.when(F.col("reason").startswith("null: "), "null").otherwise(F.col("reason"))
     number = F.coalesce(*[F.when(kind == k, F.lit(n)) for k, n in seen.items()]).cast("long")
     return kept.filter("lines > 0").union(bad).withColumn("counted", number)
+
+
+# --- C2: incremental de-duplication -----------------------------------------------------------
+
+@register("incremental_dedup", "C2", """
+WITH b AS (SELECT CASE WHEN l_linenumber <= 4 THEN 0 WHEN l_linenumber <= 5 THEN 1 ELSE 2 END AS batch,
+                  l_returnflag, l_linestatus, l_quantity, l_discount, l_tax FROM lineitem),
+f AS (SELECT l_returnflag, l_linestatus, l_quantity, l_discount, l_tax, min(batch) AS batch FROM b GROUP BY ALL)
+SELECT batch, CAST(count(*) AS BIGINT) AS new_records, round(sum(l_quantity), 2) AS quantity FROM f GROUP BY batch
+""")
+def q_incremental_dedup(spark, sf_dir):
+    """The table's records in three batches against the set that the batches before have built."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    cols = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax"]
+    kept = incremental.CleanedSet(spark, scratch_path(spark, "cleaned"))
+    out = None
+    for i, rule in enumerate(("l_linenumber <= 4", "l_linenumber = 5", "l_linenumber > 5")):
+        part = kept.add(li.filter(rule).select(*cols)).agg(F.count(F.lit(1)).alias("new_records"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+        part = part.filter("new_records > 0").select(F.lit(i).alias("batch"), "*")
+        out = part if out is None else out.union(part)
+    return out

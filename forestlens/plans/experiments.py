@@ -8,12 +8,14 @@ DataFrame writers."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
 from typing import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forestlens.operators import clean, evaluate as ev, features as fe, model as mdl, records as rc, reports, split as sp
@@ -206,6 +208,20 @@ def write_outputs(result: ExperimentResult, out_dir: str, pairs: bool = False, t
     return paths
 
 
+def commit_outputs(result: ExperimentResult, out_dir: str, **options) -> dict[str, str]:
+    """:func:`write_outputs` into a folder of this run, then one rename of ``current.json`` that names it. A run
+    that fails half-way leaves the earlier run readable whole (:func:`current_outputs`)."""
+    out = out_dir.rstrip("/")
+    paths = write_outputs(result, f"{out}/runs/{uuid.uuid4().hex[:12]}", **options)
+    sinks.write_json(result.scored.sparkSession, paths, f"{out}/current.json")
+    return paths
+
+
+def current_outputs(spark: SparkSession, out_dir: str) -> dict[str, str]:
+    """The paths of the last run that was committed whole."""
+    return json.loads(spark.read.text(f"{out_dir.rstrip('/')}/current.json").first()[0])
+
+
 def attribution_reports(result: ExperimentResult, train_classes: Sequence[str] = TRAIN_CLASSES,
                         min_errors: int = 20, min_correct: int = 100, scored: DataFrame | None = None) -> dict[str, DataFrame]:
     """The notes' tables after the binary-on-multiclass job (X4): per actual class,

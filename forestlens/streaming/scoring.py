@@ -62,8 +62,36 @@ def start_running_matrix_table(pred_stream: DataFrame, actual: str, predicted: s
     return w.start()
 
 
+def start_running_matrix(pred_stream: DataFrame, actual: str, predicted: str, checkpoint_location: str,
+                         trigger: dict | None = None) -> StreamingQuery:
+    """The running counts in the state store of ``checkpoint_location`` and nowhere else; read them with
+    :func:`read_state_counts`."""
+    w = (running_confusion_counts(pred_stream, actual, predicted).writeStream
+         .outputMode("update").format("noop").option("checkpointLocation", checkpoint_location))
+    if trigger:
+        w = w.trigger(**trigger)
+    return w.start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(target) and len(fs.listStatus(target)) > 0
+
+
+def read_state_counts(spark: SparkSession, checkpoint_location: str) -> DataFrame:
+    """``(actual, predicted, n)`` from the state of a running or ended query: its latest committed version, whatever the number of
+    batches. A query that has committed nothing has no counts."""
+    if not _exists(spark, f"{checkpoint_location}/commits"):
+        return spark.createDataFrame([], "actual string, predicted string, n long")
+    state = spark.read.format("statestore").load(checkpoint_location)
+    return state.select("key.actual", "key.predicted", F.col("value.count").cast("long").alias("n"))
+
+
 def read_running_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """The latest published counts ``(actual, predicted, n)``."""
+    """The latest published counts ``(actual, predicted, n)``; none before the first batch."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "actual string, predicted string, n long")
     every = spark.read.schema("actual string, predicted string, n long, batch long").parquet(path)
     latest = every.agg(F.max("batch")).first()[0]
     return every.filter(F.col("batch") == latest).drop("batch")

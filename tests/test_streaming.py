@@ -59,3 +59,23 @@ def test_scoring_a_stream_with_a_fitted_pipeline(spark, tmp_path):
     want = sorted((x["actual"], x["predicted"], x["n"])
                   for x in ev.confusion_counts(r.predictions, "attack_type", "predicted_label").collect())
     assert got == want and sum(n for _, _, n in got) == test.count()
+
+
+def test_counts_from_the_state_store(spark, tmp_path):
+    """Counts after several batches and a restart, read from the checkpoint alone; an empty folder has none."""
+    batch = fx.table(spark, SF_SMALL, "lineitem")
+    src, state = str(tmp_path / "lineitem.parquet"), str(tmp_path / "state")
+    assert scoring.read_state_counts(spark, state).count() == 0 and scoring.read_running_matrix(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "empty").mkdir()
+    empty = scoring.read_record_stream(spark, str(tmp_path / "empty"), batch.schema)
+    q = scoring.start_running_matrix(fx.rule_predictions(empty), "actual", "predicted", str(tmp_path / "none-state"), trigger={"availableNow": True})
+    q.awaitTermination()
+    assert scoring.read_state_counts(spark, str(tmp_path / "none-state")).count() == 0
+    for part in range(3):
+        batch.filter(f"l_orderkey % 3 = {part}").repartition(2).write.mode("append").parquet(src)
+        stream = scoring.read_record_stream(spark, src, batch.schema, max_files_per_trigger=1)
+        q = scoring.start_running_matrix(fx.rule_predictions(stream), "actual", "predicted", state, trigger={"availableNow": True})
+        q.awaitTermination()
+        seen = batch.filter(f"l_orderkey % 3 <= {part}")
+        want = sorted(map(tuple, ev.confusion_counts(fx.rule_predictions(seen)).collect()))
+        assert sorted(map(tuple, scoring.read_state_counts(spark, state).collect())) == want
