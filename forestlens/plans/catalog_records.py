@@ -8,7 +8,7 @@ from forestlens.operators import clean, evaluate as ev, forest_sizes, incrementa
 from forestlens.plans import fixtures as fx
 from forestlens.plans.catalog import FOREST_DEPTH, FOREST_TREES, _forest, register, surface
 from forestlens.session import scratch_path
-from forestlens.sources import csv as src
+from forestlens.sources import csv as src, staging
 
 
 # --- U2 / X1: split by record ---------------------------------------------------
@@ -208,3 +208,30 @@ def q_incremental_dedup(spark, sf_dir):
         part = part.filter("new_records > 0").select(F.lit(i).alias("batch"), "*")
         out = part if out is None else out.union(part)
     return out
+
+
+# --- S1 / C2 / R1: bucketed staging ---------------------------------------------------------------
+
+@register("staged_class_distribution", "S1 R1", """
+SELECT l_returnflag, CAST(count(*) AS BIGINT) AS count, CAST(count(DISTINCT (l_linestatus, l_quantity, l_discount)) AS BIGINT) AS dedup_count
+FROM lineitem GROUP BY l_returnflag
+""")
+def q_staged_class_distribution(spark, sf_dir):
+    """R1 from records staged once in buckets."""
+    li = fx.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount")
+    return staging.staged_class_distribution(staging.stage_bucketed(li, 8), "l_returnflag")
+
+
+@register("staged_records_in_both", "S1 C2 R6", """
+WITH a AS (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount, l_tax FROM lineitem WHERE l_linenumber <= 5),
+b AS (SELECT l_returnflag, l_linestatus, l_quantity, l_discount, l_tax, count(*) AS n FROM lineitem WHERE l_linenumber > 5 GROUP BY ALL)
+SELECT a.l_returnflag IS NOT NULL AS in_train, CAST(count(*) AS BIGINT) AS records, CAST(sum(b.n) AS BIGINT) AS total_rows
+FROM b LEFT JOIN a USING (l_returnflag, l_linestatus, l_quantity, l_discount, l_tax) GROUP BY 1
+""")
+def q_staged_records_in_both(spark, sf_dir):
+    """Test records that training has, and those it has not: two staged sets compared bucket by bucket."""
+    li = fx.table(spark, sf_dir, "lineitem").select("l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax")
+    train, test = (staging.stage_bucketed(li.filter(rule).drop("l_linenumber"), 8) for rule in ("l_linenumber <= 5", "l_linenumber > 5"))
+    parts = [staging.records_in(test, train, how).agg(F.count(F.lit(1)).alias("records"), F.sum(rc.WEIGHT).alias("total_rows")).filter(
+        "records > 0").select(F.lit(how == "left_semi").alias("in_train"), "*") for how in ("left_semi", "left_anti")]
+    return parts[0].union(parts[1])
