@@ -1,8 +1,9 @@
 import pytest
 
 from forestlens.operators import evaluate as ev
-from forestlens.schema import BIN_CLASSES, connection_feature_order, connection_schema
+from forestlens.schema import ALL_CLASSES, BIN_CLASSES, TRAIN_CLASSES, connection_feature_order, connection_schema
 from forestlens.sources import csv as src, sinks
+from tests import goldens as g
 
 ROW = ("0,tcp,http,SF,181,5450,0,0,0,0,0,1,0,0,0,0,0,0,0,0,0,0,8,8,0.00,0.00,0.00,0.00,1.00,0.00,0.00,9,9,1.00,"
        "0.00,0.11,0.00,0.00,0.00,0.00,0.00,normal.")
@@ -67,3 +68,16 @@ def test_pairs_and_triplets(spark, tmp_path):
     t = "".join(p.read_text() for p in (tmp_path / "t").glob("part-*.csv"))
     pr = "".join(p.read_text() for p in (tmp_path / "p").glob("part-*.csv"))
     assert t.strip() == "smurf,anomaly,anomaly" and pr.strip() == "smurf,anomaly"
+
+
+@pytest.mark.parametrize("text,classes,metrics", [(g.RF_BASE, TRAIN_CLASSES, g.RF_BASE_METRICS), (g.RF_BASE_TEST, ALL_CLASSES, g.RF_BASE_TEST_METRICS)])
+@pytest.mark.parametrize("numbered", [True, False])
+def test_saved_matrices_of_the_study_in_both_layouts(spark, tmp_path, text, classes, metrics, numbered):
+    """The 23- and 40-class matrices as saved files: read back, their metrics are the published ones."""
+    (tmp_path / "matrix.csv").write_text(g.saved_layout(text, list(classes), numbered))
+    m = src.read_matrix_csv(spark, str(tmp_path / "matrix.csv"))
+    rows = m.collect()
+    assert len(rows) == len(classes) ** 2 and {(r["actual"], r["predicted"], r["n"]) for r in rows if r["n"]} == set(g.parse_cells(text))
+    assert all(classes[r["actual_idx"]] == r["actual"] and classes[r["predicted_idx"]] == r["predicted"] for r in rows)
+    got = ev.overall_metrics(ev.per_class_metrics(m)).first()
+    assert [got["precision"], got["recall"], got["f1"]] == pytest.approx(list(metrics), abs=1e-12)
