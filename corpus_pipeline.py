@@ -35,8 +35,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences; a document taken twice is packed twice."""
-    return packing.pack(docs, tokenizer_path(), SEQUENCE, end_id=2, payload={"ids_crc32": F.crc32("ids")})
+    """Pieces of token sequences with their ids; a document taken twice is packed twice."""
+    return packing.pack(docs, tokenizer_path(), SEQUENCE, end_id=2).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

@@ -175,20 +175,19 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
 
     ``payload``: named expressions over ``ids`` (a piece's token bytes); the ids themselves by default."""
     payload = payload or {"ids": F.col("ids")}
-    salts_of = F.xxhash64("id", "start", *payload)
+    # pieces are numbered as they are written; only numbers and lengths are ranked, the ids cross one shuffle
     pieces = materialize(token_pieces(docs, tokenizer_path, size, end_id, doc_id, text).select(
-        "id", "start", "length", "doc_tokens", *[c.alias(n) for n, c in payload.items()],
+        "id", "start", "length", "doc_tokens", *[c.alias(n) for n, c in payload.items()], F.monotonically_increasing_id().alias("piece"),
         F.ceil(F.col("length") / grain).cast("int").alias("class")), "pack-pieces")
     histogram = {r["class"]: r["count"] for r in pieces.groupBy("class").count().collect()}   # at most size / grain rows
     salts = max(64, sum(histogram.values()) // SALT_ROWS)
     slots = plan(histogram, size // grain)
 
-    salted = pieces.withColumn("salt", F.pmod(salts_of, F.lit(salts)).cast("int"))
+    salted = pieces.select("piece", "length", "class", F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int").alias("salt"))
     counts = salted.groupBy("class", "salt").count()
     before = Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("class", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ranks_before"))
-    # the payload settles ties of rows that share an id, so a lost task's ranks come back the same
-    order = Window.partitionBy("class", "salt").orderBy("id", "start", "length", "doc_tokens", *payload)
+    order = Window.partitionBy("class", "salt").orderBy("piece")
     ranked = salted.withColumn("own_rank", F.row_number().over(order)).join(starts, ["class", "salt"]).withColumn(
         "rank", F.col("ranks_before") + F.col("own_rank") - 1)
 
@@ -204,5 +203,6 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
 
     placed = ranked.withColumn("at", place("class", "rank")).select("*", "at.*")
     run = Window.partitionBy("sequence_id").orderBy(F.col("class").desc(), "slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(F.col("id").alias("doc_id"), "start", "length", "doc_tokens", *payload, "sequence_id",
-                         F.coalesce(F.sum("length").over(run), F.lit(0)).alias("offset"))
+    places = materialize(placed.select("piece", "sequence_id", F.coalesce(F.sum("length").over(run), F.lit(0)).alias("offset")), "pack-places")
+    return pieces.join(places.hint("shuffle_hash"), "piece").select(
+        F.col("id").alias("doc_id"), "start", "length", "doc_tokens", *payload, "sequence_id", "offset")

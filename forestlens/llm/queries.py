@@ -45,8 +45,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE, end_id=2,
-                        payload={"ids_crc32": F.crc32("ids")})
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE, end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,16 @@
 
 Every string of ``LENGTH`` bytes has an anchor, its ``GRAM``-byte string with the least hash, so equal strings share
 an anchor wherever they stand. Neighbouring strings with one anchor form a segment of at most ``SPAN + LENGTH - 1`` bytes.
-Segments whose anchor occurs in one document only can't repeat and are left out; the others are dealt by anchor, equal segments
-once with their smallest document, and each task sorts the suffixes of its segments in two stages: it sorts the suffixes that
-are smaller than their successors directly, induces all others by one scan over the buckets of first bytes, and compares
-neighbours in the array. Neighbours with a common prefix of ``LENGTH`` bytes are the same string; its first document is the smallest among
-them. The result goes back to all segments by a join, and each text loses the strings that an earlier document has.
+Segments whose anchor occurs in one document only can't repeat and are left out; the others are dealt by anchor, and each task sorts the
+suffixes of its different segments in two stages: it sorts the suffixes that are smaller than their successors directly, induces all others by
+one scan over the buckets of first bytes, and compares neighbours in the array. Neighbours with a common prefix of ``LENGTH`` bytes are the
+same string; its first document is the smallest among them, and every segment of a later document gives a span to remove.
 
-A segment found in many documents is one row per task before the shuffle, and the join back is between
-written tables, which Spark splits for a hot key. An anchor with more than ``WIDE`` different segments is cut into its single strings, which
-are grouped by content instead. Anchors of two or more documents are a bitmap of fixed size while there are at most
-``BITMAP_ANCHORS``, else a join; a false hit of the bitmap costs a segment that finds nothing.
+The bytes of a segment that a task has given before are not sent again. Anchors of more than ``HOT`` segments go another way: their different
+segments, with their smallest document, are written, sorted alike, and joined back to all their segments as written tables, so that Spark
+splits a hot key. A hot anchor with more than ``WIDE`` different segments is cut into its single strings, which are grouped by content instead.
+Anchors of two or more documents are a bitmap of fixed size while there are at most ``BITMAP_ANCHORS``, else a join; a false hit of the bitmap
+costs a segment that finds nothing, or takes the way of the hot ones.
 
 Defined results: a null or empty text has no bytes; a null id is the largest; rows that share an id are separate texts of one
 document, so none removes from another; an empty table gives no rows; other columns are kept and never read. Long texts are cut into
@@ -27,17 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forestlens.llm import textops as T
-from forestlens.llm.common import cell, id_key, materialize
+from forestlens.llm.common import Scratch, cell, id_key
 
 LENGTH = 50
-GRAM = 16
+GRAM = 16                    # longer grams meet by chance less often, but make more segments
 SPAN = LENGTH - GRAM + 1     # grams in a string, and the most strings in a segment
+HOT = 1 << 15
 WIDE = 1 << 14
 BITMAP_BITS = 1 << 27
 BITMAP_ANCHORS = 1 << 24
-CHUNK_SYMBOLS = 1 << 21
+CHUNK_SYMBOLS = 1 << 20
+CHUNK_ROWS = 1 << 18
 ROWS_EACH = 200_000
-SLOTS = 1 << 18
+SLOTS = 1 << 20
 PACK = 7                     # symbols of nine bits in a word
 
 
@@ -54,16 +56,30 @@ def pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
             yield np.array([lo]), part, np.array([0, len(part)]), a
 
 
+def gram_values(data: np.ndarray) -> np.ndarray:
+    """A polynomial over the ``GRAM`` bytes from each position, put together from those over powers of two."""
+    part, size, factor = T.BYTE_VALUE[data], 1, T.BASE
+    out, done, rest = None, 0, GRAM
+    while rest:
+        if rest & 1:
+            if out is None:
+                out, done = part, size
+            else:       # the longer part stands first
+                n = len(data) - done - size + 1
+                out, done = part[:n] * np.uint64(pow(T.BASE, done, 2**64)) + out[size:size + n], done + size
+        rest >>= 1
+        if rest:
+            part = part[:-size] * np.uint64(factor) + part[size:]
+            size, factor = 2 * size, factor * factor % 2**64
+    return out
+
+
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(anchors, starts, numbers of strings, documents)``; every string of ``LENGTH`` bytes lies in one segment."""
     n = len(data) - LENGTH + 1
     if n <= 0:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    gram, size, factor = T.BYTE_VALUE[data], 1, T.BASE
-    while size < GRAM:
-        gram = gram[:-size] * np.uint64(factor) + gram[size:]
-        size, factor = 2 * size, factor * factor % 2**64
-    least = T.mix(gram)
+    least = T.mix(gram_values(data))
     size = 1
     while 2 * size <= SPAN:
         least = np.minimum(least[:-size], least[size:])
@@ -119,22 +135,24 @@ def marked(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)) == 1
 
 
-def segment_rows(texts: DataFrame, bitmaps=None) -> DataFrame:
-    """``anchor, h, doc, rk, start, size, hot, seg`` per segment that a bitmap lets through (all without one). The bytes ``seg`` are
-    left out where the task has given the same segment with a document no larger."""
-    schema = "anchor long, h long, doc long, rk long, start long, size long, hot boolean, seg binary"
+def segment_rows(texts: DataFrame, bitmaps=None, hot: bool = False) -> DataFrame:
+    """``anchor, h, doc, rk, start, seg`` per segment that the bitmaps of shared and of hot anchors let through (all without). The
+    bytes ``seg`` are left out where the task has given the same segment with a document no larger; where bytes are given, the
+    segment's hash ``h`` is left out if no join needs it."""
+    schema = "anchor long, h long, doc long, rk long, start long, seg binary"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, SLOTS), np.uint64)
         seen_doc = np.full(SLOTS, 2**63 - 1)
         fresh = np.ones(SLOTS, bool)
-        shared, hot = bitmaps.value if bitmaps is not None else (None, None)
+        shared, busy = bitmaps.value if bitmaps is not None else (None, None)
+        lean = bitmaps is not None and not hot
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "rk"))
             for rows, data, offsets, base in pieces(batch.column("text")):
                 anchor, start, size, doc = segments(data, offsets)
                 if shared is not None:
-                    keep = marked(shared, anchor)
+                    keep = marked(shared, anchor) & (marked(busy, anchor) == hot)
                     anchor, start, size, doc = anchor[keep], start[keep], size[keep], doc[keep]
                 if not len(anchor):
                     continue
@@ -157,9 +175,8 @@ def segment_rows(texts: DataFrame, bitmaps=None) -> DataFrame:
                 source = np.arange(to[-1]) + np.repeat(start - to[:-1], width)
                 seg = pa.Array.from_buffers(pa.binary(), len(h), [pa.array(give).buffers()[1], pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data[source])])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(h.view(np.int64)), pa.array(of), pa.array(keys[rows[doc]]), pa.array(base + start - offsets[doc]),
-                     pa.array(size), pa.array(marked(hot, anchor) if hot is not None else np.zeros(len(h), bool)), seg],
-                    ["anchor", "h", "doc", "rk", "start", "size", "hot", "seg"])
+                    [pa.array(anchor.view(np.int64)), pa.array(h.view(np.int64), mask=give if lean else None), pa.array(of), pa.array(keys[rows[doc]]),
+                     pa.array(base + start - offsets[doc]), seg], ["anchor", "h", "doc", "rk", "start", "seg"])
 
     return texts.mapInArrow(emit, schema)
 
@@ -184,46 +201,49 @@ def closed(word: np.ndarray) -> np.ndarray:
     return out
 
 
-def sorted_directly(sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Positions ``at`` in the order of their suffixes; a suffix ends with its segment's closing 0."""
+def sorted_directly(word: np.ndarray, at: np.ndarray, symbols: int | None) -> np.ndarray:
+    """Positions ``at`` in the order of their suffixes, which end with their segment's closing 0, or of their first ``symbols``."""
     key = word[at]
     order = np.argsort(key, kind="stable")
     at, key = at[order], key[order]
     group = np.cumsum(np.append(True, key[1:] != key[:-1])) if len(at) else np.zeros(0, np.int64)
-    live = np.flatnonzero(~closed(key))
-    depth = PACK
-    while len(live):
+    live, depth = np.flatnonzero(~closed(key)), PACK
+    while len(live) and (symbols is None or depth < symbols):
         g = group[live]
         tie = np.zeros(len(live), bool)
         same = g[1:] == g[:-1]
         tie[1:] |= same
         tie[:-1] |= same
-        live = live[tie]
-        if not len(live):
-            break
-        g = group[live]
+        live, g = live[tie], g[tie]
         key = word[at[live] + depth]
         order = np.lexsort((key, g))
         at[live] = at[live[order]]
         key, g = key[order], g[order]
-        group[live] = np.cumsum(np.append(True, (g[1:] != g[:-1]) | (key[1:] != key[:-1])))
+        group[live] = np.cumsum(np.append(True, (g[1:] != g[:-1]) | (key[1:] != key[:-1]))[:len(g)])
         live = live[~closed(key)]
         depth += PACK
     return at
 
 
-def suffix_array(sym: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Positions of all suffixes in order, sorted in two stages. ``sym`` holds segments, each closed by a 0."""
+def suffix_array(sym: np.ndarray, word: np.ndarray, wanted: np.ndarray | None = None, symbols: int | None = None) -> np.ndarray:
+    """Positions of the ``wanted`` suffixes (all without) and of those that they are induced from, in the order of their first
+    ``symbols`` at least (whole suffixes without), sorted in two stages. ``sym`` holds segments, each closed by a 0."""
     n = len(sym)
-    step = np.diff(sym.astype(np.int32), append=np.int32(-1))
-    moves = np.flatnonzero(step)
-    rises = step[moves[np.searchsorted(moves, np.arange(n))]] > 0      # smaller than its successor
+    step = np.diff(sym.astype(np.int16), append=np.int16(-1))
+    move = np.minimum.accumulate(np.where(step != 0, np.arange(n), n)[::-1])[::-1]
+    rises = step[move] > 0               # smaller than its successor
     rises[sym == 0] = True
-    size = np.bincount(sym, minlength=257)
+    use = np.ones(n, bool)
+    if wanted is not None:               # a suffix is induced from its successor, up to the next one that is sorted directly
+        w, tops = np.flatnonzero(wanted), np.flatnonzero(rises)
+        edge = np.bincount(w, minlength=n + 1) - np.bincount(tops[np.searchsorted(tops, w)] + 1, minlength=n + 1)
+        use = np.cumsum(edge)[:n] > 0
+    falls = use & ~rises
+    size = np.bincount(sym[use], minlength=257)
     start = np.concatenate(([0], np.cumsum(size)))
-    direct = sorted_directly(sym, word, np.flatnonzero(rises))
+    direct = sorted_directly(word, np.flatnonzero(use & rises), symbols)
     late = np.bincount(sym[direct], minlength=257)
-    sa = np.empty(n, np.int64)
+    sa = np.empty(start[-1], np.int64)
     bucket = np.repeat(start[1:] - late, late)
     sa[bucket + np.arange(len(direct)) - np.repeat(np.cumsum(late) - late, late)] = direct
     head = start[:-1].copy()             # where the next induced suffix of each bucket goes
@@ -231,12 +251,12 @@ def suffix_array(sym: np.ndarray, word: np.ndarray) -> np.ndarray:
         wave = sa[start[c]:head[c]]
         while len(wave):                 # induced within the bucket itself: runs of one byte
             before = wave[wave > 0] - 1
-            wave = before[~rises[before] & (sym[before] == c)]
+            wave = before[falls[before] & (sym[before] == c)]
             sa[head[c]:head[c] + len(wave)] = wave
             head[c] += len(wave)
         before = sa[start[c]:start[c + 1]]
         before = before[before > 0] - 1
-        before = before[~rises[before] & (sym[before] > c)]
+        before = before[falls[before] & (sym[before] > c)]
         own = sym[before]
         order = np.argsort(own, kind="stable")
         number = np.bincount(own, minlength=257)
@@ -269,8 +289,8 @@ def first_documents(data: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tupl
     inside[stop - 1] = False
     sym[inside] = data.astype(np.uint16) + 1
     word = packed(sym)
-    sa = suffix_array(sym, word)
     useful = stop[seg] - 1 - np.arange(len(sym)) >= LENGTH
+    sa = suffix_array(sym, word, useful, LENGTH)
     sa = sa[useful[sa]]
     new = np.append(True, ~common_prefix(sym, word, sa, LENGTH))
     least = np.minimum.reduceat(doc[seg[sa]], np.flatnonzero(new))
@@ -285,83 +305,138 @@ def first_documents(data: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tupl
     return of, at[lo] - begin, at[hi] - begin, first[at[lo]]
 
 
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by anchor in tables that end where an anchor does."""
+    held, symbols, size, last = [], 0, 0, None
+    for batch in batches:
+        anchor = batch.column("anchor").to_numpy(zero_copy_only=False)
+        if not len(anchor):
+            continue
+        turn = np.flatnonzero(np.append(last is not None and anchor[0] != last, anchor[1:] != anchor[:-1]))
+        last, lo = anchor[-1], 0
+        while lo < len(anchor):
+            if symbols >= CHUNK_SYMBOLS or size >= CHUNK_ROWS:
+                hi = next((int(t) for t in turn[np.searchsorted(turn, lo):]), len(anchor))
+            else:
+                hi = min(len(anchor), lo + 2048)
+            if hi > lo:
+                part = batch.slice(lo, hi - lo)
+                held.append(part)
+                symbols, size = symbols + part.column("seg").nbytes, size + hi - lo
+            if hi < len(anchor) and hi in turn and (symbols >= CHUNK_SYMBOLS or size >= CHUNK_ROWS):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, symbols, size = [], 0, 0
+            lo = hi
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def solved(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """For all rows of some anchors: anchors, ``h`` and documents sorted by them, the order that sorts, where each different segment's rows begin
+    and end in it, and runs ``(segment, first string, last string, smallest document)``. One row at least of a segment has its bytes;
+    where ``h`` is left out it follows from them."""
+    anchor, doc = (rows[c].to_numpy() for c in ("anchor", "doc"))
+    given = np.flatnonzero(rows["seg"].is_valid().to_numpy())
+    seg = rows["seg"].drop_null().combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(seg.buffers()[1], np.int64, len(seg) + 1, 8 * seg.offset)
+    data = np.frombuffer(seg.buffers()[2], np.uint8)
+    h = np.array(rows["h"].fill_null(0).to_numpy())
+    h[given] = T.span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
+    has = np.full(len(h), -1)
+    has[given] = np.arange(len(given))
+    order = np.lexsort((doc, h, anchor))
+    anchor, h, doc, has = anchor[order], h[order], doc[order], has[order]
+    begin = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (h[1:] != h[:-1])))
+    end = np.append(begin[1:], len(h))
+    own = np.maximum.reduceat(has, begin)
+    size = np.diff(offsets)[own]
+    at = np.arange(size.sum()) + np.repeat(offsets[own] - (np.cumsum(size) - size), size)
+    return anchor, h, doc, order, begin, end, *first_documents(data[at], size, doc[begin])
+
+
+def dealt(rows: DataFrame, partitions: int) -> DataFrame:
+    """Rows by anchor; forty bits of it tell anchors apart well enough to keep groups small, and are less to move."""
+    rows = rows.withColumn("anchor", F.shiftrightunsigned("anchor", 24))
+    return rows.repartition(partitions, "anchor").sortWithinPartitions("anchor")
+
+
+def segment_spans(rows: DataFrame, partitions: int) -> DataFrame:
+    """``doc, rk, start, stop``: the spans of all segments that an earlier document has."""
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            _, _, doc, order, begin, end, of, lo, hi, first = solved(part)
+            rk, start = (part[c].to_numpy()[order] for c in ("rk", "start"))
+            number = (end - begin)[of]
+            run = np.repeat(np.arange(len(of)), number)
+            row = begin[of][run] + np.arange(len(run)) - np.repeat(np.cumsum(number) - number, number)
+            late = doc[row] > first[run]
+            run, row = run[late], row[late]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[row], rk[row], start[row] + lo[run], start[row] + hi[run] + LENGTH)],
+                                             ["doc", "rk", "start", "stop"])
+
+    return dealt(rows, partitions).mapInArrow(sort, "doc long, rk long, start long, stop long")
+
+
 def segment_firsts(given: DataFrame, partitions: int) -> DataFrame:
-    """``anchor, h, lo, hi, first``: of each different segment, runs of strings and the smallest document that has them."""
+    """``key, h, lo, hi, first``: of each different segment (told apart by the anchor's ``key`` and ``h``), runs of strings and the smallest
+    document that has them."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        for part in chunks(batches):
+            anchor, h, _, _, begin, _, of, lo, hi, first = solved(part)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[begin[of]], h[begin[of]], lo, hi, first)], ["key", "h", "lo", "hi", "first"])
 
-        def solved(rows):
-            key, h, doc, length, data = (np.concatenate([r[k] for r in rows]) for k in range(5))
-            of, lo, hi, first = first_documents(data, length, doc)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[of], h[of], lo, hi, first)], ["anchor", "h", "lo", "hi", "first"])
+    return dealt(given, partitions).mapInArrow(sort, "key long, h long, lo long, hi long, first long")
 
-        for batch in batches:
-            anchor, h, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "h", "doc"))
-            if not len(anchor):
-                continue
-            new = np.append(last is None or (anchor[0], h[0]) != last, (anchor[1:] != anchor[:-1]) | (h[1:] != h[:-1]))
-            last = (anchor[-1], h[-1])
-            seg = batch.column("seg").filter(pa.array(new)).cast(pa.large_binary())
-            anchor, h, doc = anchor[new], h[new], doc[new]
-            if not len(anchor):
-                continue
-            offsets = np.frombuffer(seg.buffers()[1], np.int64, len(seg) + 1, 8 * seg.offset)
-            data = np.frombuffer(seg.buffers()[2], np.uint8)
-            # a chunk may end where an anchor does
-            turn = np.flatnonzero(np.append(not held or anchor[0] != held[-1][0][-1], anchor[1:] != anchor[:-1]))
-            lo = 0
-            while lo < len(anchor):
-                room = offsets[lo] + max(0, CHUNK_SYMBOLS - size)
-                k = np.searchsorted(offsets[turn], room)
-                hi = int(turn[k]) if k < len(turn) else len(anchor)
-                if hi > lo:
-                    held.append((anchor[lo:hi], h[lo:hi], doc[lo:hi], np.diff(offsets[lo:hi + 1]), data[offsets[lo]:offsets[hi]]))
-                    size += int(offsets[hi] - offsets[lo])
-                if hi < len(anchor) and held:
-                    yield solved(held)
-                    held, size = [], 0
-                lo = hi
-        if held:
-            yield solved(held)
-
-    rows = given.repartition(partitions, "anchor").sortWithinPartitions("anchor", "h", "doc")
-    return rows.mapInArrow(sort, "anchor long, h long, lo long, hi long, first long")
-
-
-def string_firsts(given: DataFrame) -> DataFrame:
+
+def string_firsts(given: DataFrame, scratch: Scratch) -> DataFrame:
     """The same as :func:`segment_firsts` for the segments of wide anchors, by grouping their single strings."""
+    given = given.withColumn("anchor", F.shiftrightunsigned("anchor", 24))
     distinct = given.groupBy("anchor", "h").agg(F.min("doc").alias("doc"), F.first("seg").alias("seg"))
-    strings = materialize(distinct.withColumn("lo", F.explode(F.sequence(F.lit(0), F.length("seg") - LENGTH))).select(
+    strings = scratch.write(distinct.withColumn("lo", F.explode(F.sequence(F.lit(0), F.length("seg") - LENGTH))).select(
         "anchor", "h", "doc", F.col("lo").cast("long").alias("lo"), F.expr(f"substring(seg, lo + 1, {LENGTH})").alias("string")), "suffix-strings")
-    firsts = materialize(strings.groupBy("string").agg(F.min("doc").alias("first")), "suffix-string-firsts")
-    return strings.join(firsts, "string").select("anchor", "h", "lo", F.col("lo").alias("hi"), "first")
+    firsts = scratch.write(strings.groupBy("string").agg(F.min("doc").alias("first")), "suffix-string-firsts")
+    return strings.join(firsts, "string").select(F.col("anchor").alias("key"), "h", "lo", F.col("lo").alias("hi"), "first")
 
 
 # --- documents ---------------------------------------------------------------------------
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
-    """``doc, rk, spans``: byte ranges (start, stop) of each text that an earlier document has, not merged. ``texts`` is
-    ``doc, rk, text``."""
-    anchors = materialize(anchor_counts(texts).filter("docs > 1"), "suffix-anchors")
-    if anchors.count() <= BITMAP_ANCHORS:
-        bitmaps = texts.sparkSession.sparkContext.broadcast((anchor_bitmap(anchors), anchor_bitmap(anchors.filter(F.col("n") > WIDE))))
-        rows = segment_rows(texts, bitmaps)
-    else:
-        rows = segment_rows(texts).drop("hot").join(anchors.select("anchor", (F.col("n") > WIDE).alias("hot")), "anchor")
-    rows = materialize(rows, "suffix-segments")
-    given = rows.filter("seg IS NOT NULL").select("anchor", "h", "doc", "seg", "hot")
-    wide = materialize(given.filter("hot").groupBy("anchor", "h").agg(F.lit(1).alias("one")).groupBy("anchor").count().filter(
+def hot_spans(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc, rk, start, stop`` of segments with hot anchors."""
+    rows = scratch.write(rows, "suffix-hot")
+    given = rows.filter("seg IS NOT NULL").select("anchor", "h", "doc", "seg")
+    wide = scratch.write(given.groupBy("anchor", "h").agg(F.lit(1).alias("one")).groupBy("anchor").count().filter(
         F.col("count") > WIDE).select("anchor"), "suffix-wide")
     some = wide.limit(1).count() > 0
-    plain = given.filter("NOT hot").union(given.filter("hot").join(wide, "anchor", "left_anti")) if some else given
-    firsts = segment_firsts(plain.drop("hot"), max(8, -(-rows.count() // ROWS_EACH)))
+    firsts = segment_firsts(given.join(wide, "anchor", "left_anti") if some else given, max(8, -(-given.count() // ROWS_EACH)))
     if some:
-        firsts = firsts.union(string_firsts(given.join(wide, "anchor", "left_semi")))
-    firsts = materialize(firsts, "suffix-firsts")
-    found = rows.select("anchor", "h", "doc", "rk", "start").join(firsts, ["anchor", "h"]).filter("doc > first")
-    span = F.struct((F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + LENGTH).alias("stop"))
-    return found.select("doc", "rk", span.alias("span")).groupBy("doc", "rk").agg(F.collect_list("span").alias("spans"))
+        firsts = firsts.union(string_firsts(given.join(wide, "anchor", "left_semi"), scratch))
+    firsts = scratch.write(firsts, "suffix-firsts")
+    found = rows.select(F.shiftrightunsigned("anchor", 24).alias("key"), "h", "doc", "rk", "start").join(firsts, ["key", "h"]).filter("doc > first")
+    return found.select("doc", "rk", (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + LENGTH).alias("stop"))
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """``doc, rk, spans``: byte ranges (start, stop) of each text that an earlier document has, not merged. ``texts`` is
+    ``doc, rk, text``. The result is written; all other tables are removed."""
+    spark = texts.sparkSession
+    scratch = Scratch(spark)
+    anchors = scratch.write(anchor_counts(texts).filter("docs > 1"), "suffix-anchors")
+    hot = F.col("n") > HOT
+    size = anchors.agg(F.count(F.lit(1)).alias("anchors"), F.sum("n").alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    if size["anchors"] <= BITMAP_ANCHORS:
+        bitmaps = spark.sparkContext.broadcast((anchor_bitmap(anchors), anchor_bitmap(anchors.filter(hot))))
+        plain, busy = (segment_rows(texts, bitmaps, way) for way in (False, True))
+    else:
+        every = segment_rows(texts).join(anchors.select("anchor", hot.alias("hot")), "anchor")
+        plain, busy = (every.filter(F.col("hot") == way).drop("hot") for way in (False, True))
+    found = segment_spans(plain, max(8, -(-(size["rows"] or 0) // ROWS_EACH)))
+    if size["most"] > HOT:
+        found = found.union(hot_spans(busy, scratch))
+    spans = scratch.write(found.groupBy("doc", "rk").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans")
+    scratch.remove("suffix-anchors", "suffix-hot", "suffix-wide", "suffix-strings", "suffix-string-firsts", "suffix-firsts")
+    return spans
 
 
 def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -397,7 +472,14 @@ def dedup_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """``row`` (a struct of all columns), ``kept`` (the remaining bytes, which may cut a character), ``n_bytes``, ``n_removed`` and
     ``spans`` (the maximal removed byte ranges) per row. A string of ``LENGTH`` bytes stays only in the smallest document that has it."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key(doc_id).alias("of"), cell(text).alias("own_text"))
-    own = own.withColumn("key", F.xxhash64("of", "own_text"))
+    # texts that share an id are told apart by a hash
+    scratch = Scratch(docs.sparkSession)
+    again = scratch.write(own.groupBy("of").count().filter("count > 1").select("of"), "suffix-repeated-ids")
+    key = F.lit(0).cast("long")
+    if again.limit(1).count():
+        own = own.join(again.withColumn("again", F.lit(True)), "of", "left")
+        key = F.when(F.col("again"), F.xxhash64("own_text")).otherwise(key)
+    own = own.select("row", "of", "own_text", key.alias("key"))
     spans = repeated_spans(own.select(F.col("of").alias("doc"), F.col("key").alias("rk"), F.col("own_text").alias("text")))
     joined = own.join(spans.hint("shuffle_hash"), (F.col("of") == F.col("doc")) & (F.col("key") == F.col("rk")), "left")
     empty = F.array().cast("array<struct<start:long,stop:long>>")

@@ -67,6 +67,11 @@ def test_suffix_array_sorts():
         ends = np.flatnonzero(sym == 0)
         own = [tuple(sym[i:ends[np.searchsorted(ends, i)] + 1]) for i in sa]
         assert own == sorted(own)
+        wanted = rng.random(len(sym)) < 0.3
+        some = sd.suffix_array(sym, sd.packed(sym), wanted, 20)
+        assert set(np.flatnonzero(wanted)) <= set(some.tolist()) and len(set(some.tolist())) == len(some)
+        own = [tuple(sym[i:ends[np.searchsorted(ends, i)] + 1])[:20] for i in some]
+        assert own == sorted(own)
         size, doc = np.array([len(s) for s in segs]), rng.integers(0, 9, len(segs))
         firsts = {}
         for s, d in zip(segs, doc):
@@ -90,9 +95,10 @@ def test_segments_hold_every_string_once():
     assert held == [int(o) + i for o, t in zip(offsets, texts) for i in range(len(t) - 49)]
 
 
-@pytest.mark.parametrize("wide,bitmap", [(sd.WIDE, sd.BITMAP_ANCHORS), (1, sd.BITMAP_ANCHORS), (2, 0)])
-def test_operator(spark, rows, wide, bitmap, monkeypatch):
-    """Also where every anchor is wide, and where the anchors are joined instead of kept as a bitmap."""
+@pytest.mark.parametrize("hot,wide,bitmap", [(sd.HOT, sd.WIDE, sd.BITMAP_ANCHORS), (3, 2, sd.BITMAP_ANCHORS), (4, sd.WIDE, sd.BITMAP_ANCHORS), (2, 1, 0)])
+def test_operator(spark, rows, hot, wide, bitmap, monkeypatch):
+    """Also where anchors are hot, where they are wide, and where they are joined instead of kept as a bitmap."""
+    monkeypatch.setattr(sd, "HOT", hot)
     monkeypatch.setattr(sd, "WIDE", wide)
     monkeypatch.setattr(sd, "BITMAP_ANCHORS", bitmap)
     out = sd.dedup_strings(clashing(documents(spark, rows)).repartition(5)).select("row.doc_id", "n_bytes", "n_removed", "spans", "kept").collect()
@@ -100,6 +106,20 @@ def test_operator(spark, rows, wide, bitmap, monkeypatch):
     assert sorted(got, key=order) == sorted(brute(rows), key=order)
 
 
+def test_chunks_end_where_an_anchor_does(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(sd, "CHUNK_ROWS", 7)
+    rng = random.Random(2)
+    anchor = sorted(rng.randint(0, 30) for _ in range(200))
+    batches, lo = [], 0
+    while lo < 200:
+        hi = min(200, lo + rng.randint(0, 25))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(anchor[lo:hi], pa.int64()), pa.array([b"x"] * (hi - lo))], ["anchor", "seg"]))
+        lo = hi
+    parts = [t["anchor"].to_pylist() for t in sd.chunks(iter(batches))]
+    assert sum(parts, []) == anchor and all(a[-1] != b[0] and len(a) >= 7 for a, b in zip(parts, parts[1:])) and len(parts) > 4
+
+
 def test_small_chunks_and_pieces(rows, monkeypatch):
     """Texts cut into overlapping pieces hold the same strings under the same anchors."""
     monkeypatch.setattr(sd.T, "SLICE_BYTES", 100)
