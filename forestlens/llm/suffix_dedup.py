@@ -120,9 +120,9 @@ def anchor_counts(texts: DataFrame) -> DataFrame:
 
 
 def anchor_bitmap(anchors: DataFrame) -> np.ndarray:
-    """A bit for the leading bits of each anchor; its size does not depend on the table."""
-    shift = 64 - (BITMAP_BITS - 1).bit_length()
-    slots = anchors.select(F.shiftrightunsigned("anchor", shift).alias("slot"))
+    """A bit for the last bits of each anchor (an anchor is a minimum, so its leading bits crowd near zero); its size
+    does not depend on the table."""
+    slots = anchors.select(F.col("anchor").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("slot"))
     words = slots.groupBy(F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
     if words.num_rows:
@@ -131,7 +131,7 @@ def anchor_bitmap(anchors: DataFrame) -> np.ndarray:
 
 
 def marked(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    slot = anchors >> np.uint64(64 - (BITMAP_BITS - 1).bit_length())
+    slot = anchors & np.uint64(BITMAP_BITS - 1)
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)) == 1
 
 
