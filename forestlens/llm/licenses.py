@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 A text is lower-cased (A-Z) and read as words. Rules are regular expressions over the words
-joined by one space, each gated by a keyword: a rule runs only on texts whose bytes hold it. A
-detection is the rule's word interval; a detection inside the interval of one with higher
+joined by one space, each gated by keywords, one for each way to match it: a rule runs only on texts
+whose bytes hold one of them. A detection is the rule's word interval; a detection inside the interval of one with higher
 priority (or of equal priority and longer, or equal and listed earlier) is suppressed. Base rules
 have the highest priority and are never suppressed.
 
@@ -35,7 +35,7 @@ _IN_WORD[0x30:0x3A] = _IN_WORD[0x41:0x5B] = _IN_WORD[0x61:0x7B] = _IN_WORD[0x80:
 class Rule:
     name: str
     label: str
-    keyword: str            # a substring of every match's text (of one word)
+    keyword: str            # parts of words, separated by "|"; every match's text holds one of them
     pattern: str            # over words joined by single spaces
     priority: int
     confidence: float
@@ -51,7 +51,7 @@ BASE = [
 ]
 
 V = r"(?:(?:version|v) ?)?"
-# label; keyword; name forms; versions (label suffix: pattern); identifier forms; address forms
+# label; keywords; name forms; versions (label suffix: pattern); identifier forms; address forms
 LICENSES = [
     ("gpl", "gnu", "gnu (?:general public licen[cs]e|gpl)", {"2.0": "2(?: 0)?", "3.0": "3(?: 0)?"}, "gpl", "gnu org licenses gpl"),
     ("lgpl", "gnu", "gnu (?:lesser|library) general public licen[cs]e", {"2.0": "2 0", "2.1": "2 1", "3.0": "3(?: 0)?"}, "lgpl", "gnu org licenses lgpl"),
@@ -73,7 +73,7 @@ LICENSES = [
     ("zlib", "zlib", "zlib(?: libpng)? licen[cs]e", {}, "zlib", "opensource org licenses zlib"),
     ("unlicense", "unlicense", "the unlicense", {}, "unlicense", "unlicense org"),
     ("wtfpl", "wtfpl", "wtfpl", {"2.0": "2(?: 0)?"}, "wtfpl", "wtfpl net"),
-    ("python", "python", "(?:python software foundation|psf) licen[cs]e", {"2.0": "2(?: 0)?"}, "psf", "python org psf license"),
+    ("python", "python|psf", "(?:python software foundation|psf) licen[cs]e", {"2.0": "2(?: 0)?"}, "psf", "python org psf license"),
     ("ruby", "ruby", "ruby licen[cs]e", {}, "ruby", "ruby lang org license"),
     ("php", "php", "php licen[cs]e", {"3.0": "3 0", "3.01": "3 01"}, "php", "php net license"),
     ("postgresql", "postgresql", "postgresql licen[cs]e", {}, "postgresql", "postgresql org about licence"),
@@ -104,11 +104,11 @@ LICENSES = [
     ("cc-by-nc-nd", "cc", "cc by nc nd", {"2.0": "2 0", "2.5": "2 5", "3.0": "3 0", "4.0": "4 0"}, "cc by nc nd", "creativecommons org licenses by nc nd"),
     ("cc-by", "cc", "cc by", {"2.0": "2 0", "2.5": "2 5", "3.0": "3 0", "4.0": "4 0"}, "cc by", "creativecommons org licenses by"),
 ]
-# label; keyword; pattern; confidence
+# label; keywords; pattern; confidence
 SINGLE = [
     ("all-rights-reserved", "reserved", r"all rights reserved", 0.6),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d", 0.5),
-    ("copyright", "copyright", r"(?:copyright|\xc2\xa9)(?: c)? (?:by )?the (?:authors?|contributors?)", 0.5),
+    ("copyright", "copyright|©", r"(?:copyright|\xc2\xa9)(?: c)? (?:by )?the (?:authors?|contributors?)", 0.5),
     ("public-domain", "public", r"(?:in|into|to) the public domain", 0.7),
     ("public-domain", "dedicated", r"(?:has been )?dedicated to the public domain", 0.8),
     ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 0.95),
@@ -127,6 +127,35 @@ SINGLE = [
     ("cc-by-sa", "commons", r"creative commons attribution share ?alike", 0.9),
     ("cc-by-nc", "commons", r"creative commons attribution non ?commercial", 0.9),
     ("cc-by-nd", "commons", r"creative commons attribution no ?deriv(?:ative)?s?", 0.9),
+    # sentences of the licences' bodies, for texts that give a body without its name
+    ("mit", "software", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.95),
+    ("mit", "merchantability", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", 0.7),
+    ("isc", "disclaims", r"the author disclaims all warranties with regard to this software", 0.8),
+    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 0.9),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice", 0.9),
+    ("bsd", "holders", r"this software is provided by the copyright holders and contributors as is", 0.8),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display", 0.95),
+    ("apache", "contributor", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) licen[cs]e", 0.9),
+    ("apache", "writing", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis", 0.9),
+    ("gpl", "licenses", r"the licenses for most software(?: and other practical works)? are designed to take away your freedom to share and change", 0.9),
+    ("gpl", "distributed", r"this program is distributed in the hope that it will be useful but without any warranty", 0.8),
+    ("lgpl", "library", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e", 0.95),
+    ("agpl", "remotely", r"all users interacting with it remotely through a computer network", 0.8),
+    ("gfdl", "invariant", r"with no invariant sections(?: with)? no front cover texts and(?: with)? no back cover texts", 0.95),
+    ("mpl", "mozilla", r"this source code form is subject to the terms of the mozilla public licen[cs]e", 0.98),
+    ("epl", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e", 0.98),
+    ("cddl", "compliance", r"you may not use this file except in compliance with the common development and distribution licen[cs]e", 0.95),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented", 0.9),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such", 0.9),
+    ("boost", "organization", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 0.95),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 0.98),
+    ("unlicense", "compile", r"anyone is free to copy modify publish use compile sell or distribute this software", 0.95),
+    ("wtfpl", "fuck", r"(?:you just )?do what the fuck you want to(?: public licen[cs]e)?", 0.9),
+    ("artistic", "package", r"you may make and give away verbatim copies of the (?:source form of the standard version|standard version) of this package", 0.9),
+    ("ofl", "font", r"the font software may be modified altered or added to", 0.9),
+    ("postgresql", "permission", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee", 0.85),
+    ("cc0", "waives", r"(?:affirmer )?hereby overtly fully permanently irrevocably and unconditionally waives", 0.9),
+    ("creative-commons", "exercising", r"by exercising the licensed rights defined below you accept and agree to be bound", 0.6),
 ]
 
 
@@ -153,18 +182,18 @@ def build_rules() -> list[Rule]:
 
 
 class Scanner:
-    """Compiled rules, grouped by keyword."""
+    """Compiled rules, grouped by keywords."""
 
     def __init__(self, rules: list[Rule]):
         self.rules = rules
-        self.by_keyword: dict[bytes, list[tuple[int, re.Pattern]]] = {}
+        self.by_keywords: dict[tuple[bytes, ...], list[tuple[int, re.Pattern]]] = {}
         for i, r in enumerate(rules):
             p = re.compile(rb"(?<![^ ])" + r.pattern.encode("latin-1") + rb"(?![^ ])")
-            self.by_keyword.setdefault(r.keyword.encode(), []).append((i, p))
+            self.by_keywords.setdefault(tuple(r.keyword.encode().split(b"|")), []).append((i, p))
 
     def scan(self, lowered: bytes) -> list[tuple[int, int, int]]:
         """``(rule, first word, word after the last)``, suppression applied, in text order."""
-        gated = [g for k, g in self.by_keyword.items() if k in lowered]
+        gated = [g for gates, g in self.by_keywords.items() if any(k in lowered for k in gates)]
         if not gated:
             return []
         joined = b" ".join(WORD.findall(lowered))
