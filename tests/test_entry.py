@@ -1,6 +1,9 @@
 """Driver contract, and a DuckDB oracle comparison of the non-forest queries at sf0.001."""
 import math
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -31,6 +34,22 @@ def test_every_query_has_an_oracle_or_is_listed():
     assert all(re.match(r"op\d+_|pipeline$", n) for n in set(qs) - set(sqls))
 
 
+def _entry_names(blocked):
+    code = f"import sys; sys.modules[{blocked!r}] = None; import __spark_entry__ as e; print(*sorted(e.queries()))"
+    return subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(entry.__file__).parent)
+
+
+def test_entry_without_a_package_that_only_the_training_data_operators_need():
+    done = _entry_names("tokenizers")
+    assert done.returncode == 0, done.stderr
+    assert set(done.stdout.split()) == {n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)}
+
+
+def test_entry_does_not_hide_a_missing_module_of_the_library():
+    done = _entry_names("forestlens.operators.ranking")
+    assert done.returncode != 0 and "forestlens.operators.ranking" in done.stderr
+
+
 def _norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 6)
