@@ -371,6 +371,75 @@ def test_token_ids_of_awkward_texts():
     assert [g.tolist() for g in got] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+class CountingTokenizer:
+    """Counts the texts handed to a tokenizer, by method."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, {"encode_batch": 0, "encode_batch_fast": 0}
+
+    def encode_batch(self, texts, **how):
+        self.texts["encode_batch"] += len(texts)
+        return self.tokenizer.encode_batch(texts, **how)
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts["encode_batch_fast"] += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def encoder_and_counts():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from forestlens.llm.tokens import Encoder
+
+    encode = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    encode.tokenizer = CountingTokenizer(encode.tokenizer)
+    return encode, encode.tokenizer.texts
+
+
+def encoded(encode, texts: list[str]) -> list[list[int]]:
+    raw = [t.encode() for t in texts]
+    return [g.tolist() for g in encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))]
+
+
+def expected_ids(encode, texts: list[str]) -> list[list[int]]:
+    return [encode.tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def letters(i: int) -> str:
+    return "".join(chr(97 + int(d)) for d in str(i))
+
+
+def test_units_reach_the_tokenizer_once_and_without_offsets():
+    encode, counts = encoder_and_counts()
+    slices = [[" ".join(map(letters, range(lo, lo + 15_000)))] for lo in range(0, 270_000, 15_000)]
+    first = [encoded(encode, s) for s in slices]
+    assert counts["encode_batch"] == 0 and 0 < counts["encode_batch_fast"] < 270_000 / 32
+    had = dict(counts)
+    assert [encoded(encode, s) for s in slices] == first and counts == had
+    assert first[3] == expected_ids(encode, slices[3])
+
+
+def test_kept_units_are_bounded_and_ids_stay_right(monkeypatch):
+    from forestlens.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT", 50)
+    encode, _ = encoder_and_counts()
+    for lo in (0, 20, 10, 60, 0, 300, 40):
+        texts = ["", " ".join(map(letters, range(lo, lo + 30))) + " don't Été 4x7!", "", "字 " + letters(lo), " "]
+        assert encoded(encode, texts) == expected_ids(encode, texts)
+        assert len(encode.keys) <= 50 and (np.diff(encode.keys) > 0).all()
+    assert encoded(encode, [""]) == [[]]
+
+
+def test_ids_without_a_word_suffix_or_of_units_that_are_several_words():
+    texts = ["one two, 34 éa --", "three Two"]
+    encode, counts = encoder_and_counts()
+    encode.ends_word = None                  # a vocabulary that doesn't tell where words end
+    assert encoded(encode, texts) == expected_ids(encode, texts) and counts["encode_batch"] > 0
+    encode, counts = encoder_and_counts()
+    encode.ends_word[:] = False              # cuts that don't fit the units
+    assert encoded(encode, texts) == expected_ids(encode, texts) and counts["encode_batch"] == 0
+
+
 # --- line classifier -------------------------------------------------------------------------------
 
 def test_forward_backward_is_exact():
