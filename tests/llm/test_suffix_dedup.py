@@ -141,3 +141,75 @@ def test_query_and_empty(spark, rows, tmp_path):
     assert sorted(map(tuple, out.collect()), key=order) == sorted(want, key=order)
     assert sd.dedup_strings(documents(spark, [])).count() == 0
     assert sd.dedup_strings(documents(spark, [(1, None, None, None, None)])).select("n_bytes", "n_removed").first() == (0, 0)
+
+
+def test_unshared_segments_do_not_travel(spark, monkeypatch):
+    """Where the anchors of two documents are too many for one bitmap, texts that share nothing cost no segments on the way: the bytes that all
+    steps hand on stay near those of the texts."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=2_500)) for _ in range(800)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(900, texts[3][100:400]), (901, texts[5])], "doc_id long, text string").repartition(3).localCheckpoint()
+    handed, plain = spark.sparkContext.accumulator(0), DataFrame.mapInArrow
+
+    def counted(self, f, schema, *a, **b):
+        def sizes(batches):
+            for batch in f(batches):
+                handed.add(sum(batch.column(c).drop_null().nbytes for c in batch.schema.names))
+                yield batch
+
+        return plain(self, sizes, schema, *a, **b)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", counted)
+    monkeypatch.setattr(sd, "BITMAP_ANCHORS", 0)
+    out = {r.doc_id: r.n_removed for r in sd.dedup_strings(docs).select("row.doc_id", "n_removed").collect()}
+    assert {d: n for d, n in out.items() if n} == {900: 300, 901: 2_500} and len(out) == 802
+    assert 0 < handed.value < 4 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("hot,wide,bitmap", [(sd.HOT, sd.WIDE, 0), (sd.HOT, sd.WIDE, sd.BITMAP_ANCHORS), (3, 2, 0)])
+def test_many_small_buckets(spark, rows, hot, wide, bitmap, monkeypatch):
+    """Texts in many buckets, anchors in many ranges, blocks and flushes of a few rows, and copies of texts under smaller, larger, equal and null ids."""
+    for name, value in (("HOT", hot), ("WIDE", wide), ("BITMAP_ANCHORS", bitmap), ("PART_BYTES", 3_000), ("HELD_BYTES", 5_000), ("HELD_KEYS", 500),
+                        ("HELD_ROWS", 100), ("BLOCK_BYTES", 700), ("ROWS_EACH", 300)):
+        monkeypatch.setattr(sd, name, value)
+    some = [r for r in rows if len(r[1] or "") < 3_000][:120]
+    some += [(i, *r[1:]) for r in some[::3] for i in (-7 - r[0] if r[0] is not None else 7, None, 9000)] + some[:9] + [(9001, "z" * 49, "en", "a", 0)]
+    out = sd.dedup_strings(documents(spark, some).repartition(5)).select("row.doc_id", "n_bytes", "n_removed", "spans", "kept").collect()
+    got = [(r.doc_id, r.n_bytes, r.n_removed, [tuple(s) for s in r.spans], bytes(r.kept)) for r in out]
+    assert sorted(got, key=order) == sorted(brute(some), key=order)
+
+
+def test_blocks_hold_what_was_put_in():
+    rng = np.random.default_rng(3)
+    numbers = rng.integers(-2**63, 2**63 - 1, (3, 50))
+    n, size, block = sd.to_block(numbers, b"bytes behind")
+    back, data = sd.from_block(n, size, block, 3)
+    assert (back == numbers).all() and data.tobytes() == b"bytes behind"
+    slots = np.unique(rng.integers(0, sd.BITMAP_BITS, 5_000))
+    bitmap = np.zeros(sd.BITMAP_BITS // 64, np.uint64)
+    sd.add_slots(bitmap, slots)
+    assert (sd.words(slots, 0, len(bitmap) - 1) == bitmap).all() and sd.marked(bitmap, slots.astype(np.uint64) + np.uint64(1 << 40)).all()
+    assert np.unpackbits(bitmap.view(np.uint8)).sum() == len(slots)
+    edges = sd.key_edges(37)
+    assert edges[0] == 0 and edges[-1] == 1 << sd.KEY_BITS and (edges[:-1] * 37 >> sd.KEY_BITS == np.arange(37)).all()
+    assert ((edges[1:] - 1) * 37 >> sd.KEY_BITS == np.arange(37)).all()
+
+
+def test_a_string_in_every_text_has_few_entries(spark):
+    """Entries of an anchor are put together by bucket, and still count its segments and texts."""
+    rng = random.Random(4)
+    common = sentence(rng, 30)
+    docs = spark.createDataFrame([(i, 0, f"{sentence(rng, 8)} {common} {sentence(rng, 8)}") for i in range(400)], "doc long, rk long, text string")
+    texts = sd.distinct_texts(docs.repartition(2), 8).localCheckpoint()
+    entries = {}
+    for r in sd.anchor_blocks(texts, 5).collect():
+        (key, bucket, n, of_texts), _ = sd.from_block(r.n, r.size, r.block, 4)
+        for k, b, x, t in zip(np.cumsum(key).tolist(), bucket.tolist(), n.tolist(), of_texts.tolist()):
+            assert k * 5 >> sd.KEY_BITS == r["at"]
+            entries.setdefault(k, []).append((b, x, t))
+    everywhere = [e for e in entries.values() if sum(t for _, _, t in e) == 400]
+    assert everywhere and all(len(e) == len({b for b, _, _ in e}) <= 8 and sum(x for _, x, _ in e) >= 400 for e in everywhere)
+    out = sd.shared_anchors(texts, 5, 8).agg({"anchors": "sum", "most": "max"}).first()
+    assert out["sum(anchors)"] == sum(sum(t for _, _, t in e) > 1 for e in entries.values()) and out["max(most)"] >= 400
